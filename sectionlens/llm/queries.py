@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts, token_files
+from . import packing, quality_rules, token_counts, token_files
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_suffix_sums(token_counts.length_histogram(documents(spark, sf_dir), BYTE_BPE, end_tokens=1))
 
@@ -32,6 +36,35 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_packing": op3_packing,
+    "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+_STOP = ", ".join(f"'{x}'" for x in sorted(set(quality_rules.STOP_WORDS)))
+OP4_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+a AS (
+  SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM a),
+t AS (SELECT rid, i, x, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+n AS (SELECT *, z IS NOT NULL AND count(*) OVER (PARTITION BY rid, x, y, z) > 1 AS twice FROM t),
+c AS (SELECT rid, twice OR coalesce(lag(twice, 1) OVER o, false) OR coalesce(lag(twice, 2) OVER o, false) AS covered FROM n WINDOW o AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT rid, count(*) FILTER (WHERE covered) AS n FROM c GROUP BY rid),
+b AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclamations,
+    len(list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D.,;:]+'), lambda x: x IN ({_STOP}))) AS n_stop_words,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines
+  FROM a LEFT JOIN r USING (rid)),
+v AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    concat_ws(',', {", ".join(f"CASE WHEN {' OR '.join([f'{r.over}::DOUBLE / nullif({r.under}, 0) < {r.least}'] * (r.least is not None) + [f'{r.over}::DOUBLE / nullif({r.under}, 0) > {r.most}'] * (r.most is not None))} THEN '{r.name}' END" for r in quality_rules.RULES)}) AS failed_rules FROM b)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM v
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": OP4_SQL,
+}
