@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, token_counts, token_files
+from . import merkle, packing, quality_rules, secret_scan, token_counts, token_files
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,11 +34,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_suffix_sums(token_counts.length_histogram(documents(spark, sf_dir), BYTE_BPE, end_tokens=1))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(documents(spark, sf_dir))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir)).drop("found")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op7_fingerprints": op7_fingerprints,
+    "op10_secret_scan": op10_secret_scan,
 }
 _STOP = ", ".join(f"'{x}'" for x in sorted(set(quality_rules.STOP_WORDS)))
 OP4_SQL = rf"""
@@ -65,6 +76,55 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM v
 """
 
+
+#: The tree of one text, as SQL over a column ``t`` of (rid, t): fingerprint, root, leaves.
+_TREE_SQL = rf"""
+  SELECT rid, root || ':' || array_to_string(secs, ';') AS fp, root, leaves FROM (
+    SELECT rid, secs, leaves, md5(array_to_string(list_transform(secs, lambda x: left(x, 12)), '')) AS root FROM (
+      SELECT rid, list_transform(string_split(regexp_replace(array_to_string(list_transform(ps, lambda p: p.h || '=' || array_to_string(p.l, '') || CASE WHEN p.h < '4' THEN ';' ELSE ',' END), ''), '[;,]$', ''), ';'),
+          lambda s: left(md5(regexp_replace(s, '=[^,]*', '', 'g')), 12) || '(' || s || ')') AS secs,
+        list_distinct(flatten(list_transform(ps, lambda p: p.l))) AS leaves FROM (
+        SELECT rid, list_transform(ls, lambda l: {{'h': left(md5(array_to_string(l, '')), 12), 'l': l}}) AS ps FROM (
+          SELECT rid, list_transform(string_split(t, chr(10)), lambda x: list_transform(regexp_extract_all(x, '{merkle.LEAF}'), lambda y: left(md5(y), 8) || lpad(length(y)::VARCHAR, 3, '0'))) AS ls FROM SOURCE))))
+"""
+_ALIKE_SQL = """CASE WHEN a.root = {0}.root THEN 1.0::DOUBLE ELSE coalesce(2.0::DOUBLE * coalesce(list_sum(list_transform(list_intersect(a.leaves, {0}.leaves), lambda x: right(x, 3)::INT)), 0)
+  / nullif(coalesce(list_sum(list_transform(a.leaves, lambda x: right(x, 3)::INT)), 0) + coalesce(list_sum(list_transform({0}.leaves, lambda x: right(x, 3)::INT)), 0), 0), 0.0) END"""
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT d.rid, d.doc_id, d.t, coalesce(x.t, (SELECT t FROM d WHERE rid = 1)) AS nt, coalesce(x.rid, 1) AS nrid FROM d LEFT JOIN d x ON x.rid = d.rid + 1),
+e AS (SELECT rid, left(t, length(t) - length(t) // 2) || left(nt, length(t) // 2) AS t FROM n),
+a AS ({_TREE_SQL.replace("SOURCE", "d")}), b AS ({_TREE_SQL.replace("SOURCE", "e")})
+SELECT n.doc_id, length(n.t)::BIGINT AS n_chars, sha256(e.t) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
+  {_ALIKE_SQL.format("b")} AS near_edited, {_ALIKE_SQL.format("f")} AS near_next
+FROM n JOIN e USING (rid) JOIN a USING (rid) JOIN b USING (rid) JOIN a f ON f.rid = n.nrid
+"""
+
+
+def _secret_sql() -> str:
+    """Each rule's matches and their places by splitting, then the digests."""
+    both_cases = re.compile("password|passwd|secret|token|api|key")
+    found, spans = [], []
+    for i, r in enumerate(secret_scan.RULES):
+        pattern = r.pattern
+        if pattern.startswith("(?i)"):
+            pattern = both_cases.sub(lambda m: "".join(f"[{c.upper()}{c}]" for c in m[0]), pattern[4:])
+        pattern = pattern.replace("'", "''")
+        found.append(f"regexp_extract_all(text, '{pattern}') AS m{i}, regexp_extract_all(text, '{pattern}', {r.group}) AS g{i}, string_split_regex(text, '{pattern}') AS p{i}")
+        before = f"(list_sum(list_transform(p{i}[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m{i}[1:k - 1], lambda x: length(x))), 0))::BIGINT"
+        spans.append(f"list_transform(list_filter(range(1, len(m{i}) + 1), lambda k: length(g{i}[k]) >= {r.least}), lambda k: {{'s': {before}, 'o': {i}, 'e': {before} + length(m{i}[k])}})")
+    kinds = ", ".join(f"'{r.kind}'" for r in secret_scan.RULES)
+    text = f"coalesce(array_to_string(list_transform({{0}}, lambda x: ([{kinds}])[x.o + 1] || ':' || x.s || ':' || x.e), ','), '')"
+    base = f"list_filter(f, lambda x: x.o < {len(secret_scan.BASE)})"
+    counts = ", ".join(f"len(list_filter(f, lambda x: x.o = {i}))::BIGINT AS n_{r.kind}" for i, r in enumerate(secret_scan.BASE))
+    return (
+        f"WITH m AS (SELECT doc_id, {', '.join(found)} FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)), "
+        f"f AS (SELECT doc_id, list_sort({' || '.join(spans)}) AS f FROM m) "
+        f"SELECT doc_id, {counts}, sha256({text.format(base)}) AS base_sha256, {text.format('f')} AS spans FROM f"
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_fingerprints": OP7_SQL,
+    "op10_secret_scan": _secret_sql(),
     "op4_quality_rules": OP4_SQL,
 }
