@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, packing, quality_rules, secret_scan, suffix_dedup, token_counts, token_files
+from . import merkle, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, token_counts, token_files
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_token_files(documents(spark, sf_dir), WORD_BPE))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), BYTE_BPE)
 
@@ -48,6 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
