@@ -124,6 +124,12 @@ class BlockEncoder:
         at = np.flatnonzero(begins)
         return data, np.append(at, n), np.searchsorted(at, starts)
 
+    def _encode_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, end to end, and how many each has."""
+        lists = [x.ids for x in self.tokenizer.encode_batch([x.decode("utf-8") for x in pieces], add_special_tokens=False)]
+        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter((i for x in lists for i in x), np.uint32, int(lens.sum())), lens
+
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts, and how many each text has.
 
@@ -142,9 +148,7 @@ class BlockEncoder:
         missing = np.flatnonzero(slots < 0)
         if len(missing):
             new = [distinct[i] for i in missing.tolist()]
-            lists = [x.ids for x in self.tokenizer.encode_batch([x.decode("utf-8") for x in new], add_special_tokens=False)]
-            lens = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((i for x in lists for i in x), np.uint32, int(lens.sum()))
+            flat, lens = self._encode_new(new)
             base = len(self._len)
             slots[missing] = np.arange(base, base + len(new))
             self._slot.update(zip(new, range(base, base + len(new))))
