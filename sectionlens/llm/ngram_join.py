@@ -16,6 +16,8 @@ MinHash signatures are cut into bands; texts that agree in a band meet in its bu
 
 Result, a row for each document: ``doc_id``; ``class_id``, the least id of its group;
 ``copy_id``, the least id of its class; ``n_links``, the other documents at 0.8 or more.
+``representatives`` keeps one row of each group, with all its columns: that of least id
+(null ids last), then first in the files.
 
 A class with a third of all documents is one row after partial aggregation.  A component of
 m different texts costs m * m / 2 comparisons, as its exact link counts require, spread
@@ -34,12 +36,14 @@ import math
 import pickle
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ._shared import open_random, shuffle_partitions, work_dir, written
 from ._tokens import text_blocks
@@ -317,17 +321,27 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close(together)
 
 
-def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """Groups and link counts of all documents (``RESULT``)."""
+@dataclass
+class _Groups:
+    """What the stages have found: the parts' files, each row's class, and the classes' groups."""
+
+    files: list[str]
+    signed: DataFrame
+    known: DataFrame
+
+
+def _grouped(docs: DataFrame, recall: float, carry: tuple[str, ...] = ()) -> _Groups:
     spark = docs.sparkSession
     folder = work_dir(spark, "ngram-join")
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).write.option("compression", "zstd").parquet(f"{folder}/texts")
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carried).write.option("compression", "zstd").parquet(f"{folder}/texts")
     files = sorted(spark.read.parquet(f"{folder}/texts").inputFiles())
     n_parts, n_to = max(1, len(files)), shuffle_partitions(spark)
     parts = spark.createDataFrame(list(enumerate(files)), "part int, file string").repartitionById(n_parts, "part")
     bands, rows = bands_for(THRESHOLD[0] / THRESHOLD[1], recall)
     signed = written(parts.mapInArrow(_sign(bands, rows), SIGNED), f"{folder}/signed")
-    of_class = signed.where("cls is not null").groupBy("cls").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("copy_id"), F.min(F.struct("part", "row")).alias("at"), F.first("bands").alias("bands"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "part", "row")).alias("first")
+    of_class = signed.where("cls is not null").groupBy("cls").agg(F.count("*").alias("n_copies"), first, F.first("bands").alias("bands"))
     classes = written(of_class, f"{folder}/classes")
     keyed = classes.select("cls", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("cls").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
@@ -335,18 +349,56 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     comps = connected(stars, f"{folder}/candidates")
     tiles = comps.groupBy("label").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n_tiles"))
     tile = F.pmod(F.hash("cls"), F.col("n_tiles"))
-    asked = classes.join(comps, classes["cls"] == comps["node"]).join(tiles, "label").select("at.part", "at.row", "cls", "n_copies", F.col("label").alias("comp"), tile.alias("tile"), "n_tiles")
+    asked = classes.join(comps, classes["cls"] == comps["node"]).join(tiles, "label").select("first.part", "first.row", "cls", "n_copies", F.col("label").alias("comp"), tile.alias("tile"), "n_tiles")
     sets = asked.repartitionById(n_parts, "part").mapInArrow(_send_sets(files, n_to), "to int, payload binary")
     found = written(sets.repartitionById(n_to, "to").mapInArrow(_verify, "cls binary, n_links long, root binary"), f"{folder}/links")
     groups = connected(found.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")), f"{folder}/groups")
     links = found.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
-    grouped = classes.select("cls", "n_copies", "copy_id").join(links, "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
+    grouped = classes.select("cls", "n_copies", "first").join(links, "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
     grouped = grouped.withColumn("label", F.coalesce("label", "cls"))
-    least = grouped.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    known = grouped.join(least, "label").select("cls", "class_id", "copy_id", (F.coalesce("n_links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    least = grouped.groupBy("label").agg(F.min("first").alias("least"))
+    known = grouped.join(least, "label").select("cls", "first", "least", (F.coalesce("n_links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    return _Groups(files, signed, known)
+
+
+def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """Groups and link counts of all documents (``RESULT``)."""
+    g = _grouped(docs, recall)
+    known = g.known.select("cls", F.col("least.doc_id").alias("class_id"), F.col("first.doc_id").alias("copy_id"), "n_links")
 
     def own(column: str, default: Column) -> Column:
         return F.when(F.col("cls").isNull(), default).otherwise(F.col(column)).alias(column)
 
-    # texts without words have no class: their key is spread so that they make no hot partition
-    return signed.select("doc_id", "cls").join(known, "cls", "left").select("doc_id", own("class_id", F.col("doc_id")), own("copy_id", F.col("doc_id")), own("n_links", F.lit(0).cast("long")))
+    # texts without words have no class
+    return g.signed.select("doc_id", "cls").join(known, "cls", "left").select("doc_id", own("class_id", F.col("doc_id")), own("copy_id", F.col("doc_id")), own("n_links", F.lit(0).cast("long")))
+
+
+def representatives(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """One row of each group, with the columns of ``docs``; rows without words all stay."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    g = _grouped(docs, recall, others)
+    # the row of a group's least document is that of the class which holds it
+    heads = g.known.where(F.col("first") == F.col("least")).select("first.part", "first.row")
+    stay = heads.unionByName(g.signed.where("cls is null").select("part", "row")).repartitionById(max(1, len(g.files)), "part")
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
+    if others:
+        schema.add("carried", docs.select(F.struct(*others).alias("carried")).schema["carried"].dataType)
+    rows = stay.mapInArrow(_kept_rows(g.files, bool(others)), schema)
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col("carried")[c].alias(c) for c in docs.columns))
+
+
+def _kept_rows(files: list[str], carried: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stay: dict[int, list[np.ndarray]] = defaultdict(list)
+        for batch in batches:
+            part, row = (batch.column(k).to_numpy() for k in range(2))
+            for p in np.unique(part).tolist():
+                stay[p].append(row[part == p])
+        for part, rows in stay.items():
+            wanted, at = np.sort(np.concatenate(rows)), 0
+            for batch in pq.ParquetFile(open_random(files[part])).iter_batches(batch_size=ROWS, columns=["doc_id", "text", *["carried"] * carried]):
+                a, b = np.searchsorted(wanted, [at, at + len(batch)])
+                yield batch.take(pa.array(wanted[a:b] - at))
+                at += len(batch)
+
+    return run

@@ -134,8 +134,9 @@ def compile_rules(rules: tuple[Rule, ...], c: Column) -> Column:
     return F.array_compact(F.array(*failed))
 
 
-def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Counts and verdict of every document; ``keep`` names input columns to carry along."""
+def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and verdict of every document; ``carry`` names input columns that come back in
+    one struct, ``carried``."""
     c = counts(F.coalesce(F.col("text"), F.lit("")))
 
     def verdict(x: Column) -> Column:
@@ -143,13 +144,15 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, .
         return let(F.struct(x.alias("c"), base.alias("base"), compile_rules(rules, x).alias("failed")), lambda y: y)
 
     verdicts = let(c, verdict)
-    rows = docs.select(*(F.col(k) for k in dict.fromkeys(("doc_id", *keep))), verdicts.alias("_verdict"))
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    rows = docs.select("doc_id", *carried, verdicts.alias("_verdict"))
     found = F.col("_verdict")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return rows.select(
-        *(F.col(k) for k in dict.fromkeys(("doc_id", *keep))),
+        "doc_id",
         *(found["c"][k].alias(k) for k in names),
         found["base"].alias("base_failed"),
         (~found["base"] & (F.size(found["failed"]) == 0)).alias("kept"),
         F.array_join(found["failed"], ",").alias("failed_rules"),
+        *(["carried"] if carry else []),
     )

@@ -16,7 +16,7 @@ frequent trigrams make no hot partition.
 
 Defined cases: a null text is empty; spans are code-point offsets, end exclusive, of the
 leftmost non-overlapping matches of each rule; matches that fail a rule's length are
-dropped; repeated rows are scanned each; other columns are not read unless named.
+dropped; repeated rows are scanned each; other columns are not read unless carried.
 """
 
 from __future__ import annotations
@@ -185,16 +185,16 @@ def _equals(value: int):
     return lambda x: x == value
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, n_base: int = len(BASE), keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, n_base: int = len(BASE), carry: tuple[str, ...] = ()) -> DataFrame:
     """Spans of every document: counts of the first ``n_base`` rules, their digest, and all spans.
 
-    ``found`` holds the spans as an array of (start, order, end); ``keep`` names input
-    columns to carry along.
+    ``found`` holds the spans as an array of (start, order, end); ``carry`` names input
+    columns that come back in one struct, ``carried``.
     """
-    kept = list(dict.fromkeys(("doc_id", "text", *keep)))
+    kept = ["doc_id", *(["carried"] if carry else [])]
     indexed = indexed_rules(rules)
     hits = candidates(trigram_index(docs, rules), rules).select(F.col("doc_id").alias("_id"), F.col("kinds").alias("_kinds"))
-    rows = docs.select(*kept)
+    rows = docs.select("doc_id", "text", *([F.struct(*carry).alias("carried")] if carry else []))
     rows = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_id"]), "left").withColumn("_text", F.coalesce("text", F.lit("")))
     none = F.array().cast("array<struct<start:int,order:int,end:int>>")
 
@@ -210,10 +210,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, n_base: int = len(BAS
         each = [F.size(F.filter(orders, _equals(i))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules[:n_base])]
         return F.struct(*each, F.sha2(_as_text(base, rules), 256).alias("base_sha256"), _as_text(found, rules).alias("spans"), found.alias("found"))
 
-    rows = rows.select(*(k for k in kept), let(F.col("_found"), body).alias("_out"))
+    rows = rows.select(*kept, let(F.col("_found"), body).alias("_out"))
     out = F.col("_out")
     names = [f"n_{r.kind}" for r in rules[:n_base]] + ["base_sha256", "spans", "found"]
-    return rows.select(*dict.fromkeys(("doc_id", *keep)), *(out[k].alias(k) for k in names))
+    return rows.select("doc_id", *(out[k].alias(k) for k in names), *kept[1:])
 
 
 def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:

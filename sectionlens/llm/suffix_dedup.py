@@ -30,7 +30,8 @@ occurrences, some 170 bytes each.
 
 Defined cases: a null text is empty; null ids count as larger than all others; rows with
 equal ids are separate documents in the order of their files; texts under ``length`` bytes
-lose nothing; an empty table gives an empty result; other columns aren't read.
+lose nothing; an empty table gives an empty result; other columns aren't read unless
+``carry`` names them: they come back in one struct, ``carried``, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = int(_RNG.integers(1 << 61, 1 << 62, dtype=np.uint64)) | 1
 _PACK = "to int, sender int, payload binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-RESULT_WITH_TEXT = RESULT + ", kept binary, spans array<long>"
+RESULT_WITH_TEXT = RESULT + ", kept binary, kept_text string, spans array<long>"
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -156,15 +157,19 @@ class _Part:
     def __init__(self, file: str):
         self.file = pq.ParquetFile(open_random(file))
 
-    def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(number of the first row, ids, bytes, starts)"""
+    def carrying(self, carried: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.Array | None]]:
+        """(number of the first row, ids, bytes, starts, carried columns)"""
         row = 0
-        for batch in self.file.iter_batches(batch_size=ROWS, columns=["doc_id", "text"]):
+        for batch in self.file.iter_batches(batch_size=ROWS, columns=["doc_id", "text", *["carried"] * carried]):
             ids = batch.column(0).fill_null(_LAST_ID).to_numpy(zero_copy_only=False)
             for i, j, data, starts in text_blocks(batch.column(1), BLOCK):
-                yield row + i, ids[i:j], data, starts
+                yield row + i, ids[i:j], data, starts, batch.column(2).slice(i, j - i) if carried else None
             row += len(batch)
 
+    def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(number of the first row, ids, bytes, starts)"""
+        return (x[:4] for x in self.carrying(False))
+
 
 def _packed(rows: list[tuple[int, int, tuple]]) -> pa.RecordBatch:
     return pa.record_batch(
@@ -389,7 +394,7 @@ def _compare(length: int, gram: int):
     return run
 
 
-def _cut(files: list[str], with_text: bool):
+def _cut(files: list[str], with_text: bool, with_carried: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list] = defaultdict(list)
         parts: list[int] = []
@@ -403,7 +408,7 @@ def _cut(files: list[str], with_text: bool):
             spans = [np.concatenate(c) for c in zip(*got[part])] if got[part] else [np.zeros(0, np.int64)] * 3
             by = np.lexsort((spans[1], spans[0]))
             row, begin, end = (x[by].astype(np.int64) for x in spans)
-            for first, ids, data, starts in _Part(files[part]).blocks():
+            for first, ids, data, starts, carried in _Part(files[part]).carrying(with_carried):
                 n = len(ids)
                 bounds = np.searchsorted(row, np.arange(first, first + n + 1)).tolist()
                 out: list[list] = [[] for _ in range(6)]
@@ -426,19 +431,25 @@ def _cut(files: list[str], with_text: bool):
                 columns = [pa.array(ids, pa.int64(), mask=ids == _LAST_ID), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3])]
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 if with_text:
-                    columns += [pa.array(out[4], pa.binary()), pa.array(out[5], pa.list_(pa.int64()))]
-                    names += ["kept", "spans"]
+                    texts = [x.decode("utf-8", "ignore") for x in out[4]]
+                    columns += [pa.array(out[4], pa.binary()), pa.array(texts), pa.array(out[5], pa.list_(pa.int64()))]
+                    names += ["kept", "kept_text", "spans"]
+                if with_carried:
+                    columns.append(carried)
+                    names.append("carried")
                 yield pa.record_batch(columns, names=names)
 
     return run
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: what is removed and the digest of the rest (``RESULT``);
-    ``with_text`` adds the kept bytes and the removed spans (starts and ends in turn)."""
+    ``with_text`` adds the kept bytes, the text of them (without what is left of characters
+    that were cut through) and the removed spans (starts and ends in turn)."""
     spark = docs.sparkSession
     folder = work_dir(spark, "suffix-dedup")
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).write.option("compression", "zstd").parquet(f"{folder}/texts")
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carried).write.option("compression", "zstd").parquet(f"{folder}/texts")
     files = sorted(spark.read.parquet(f"{folder}/texts").inputFiles())
     n_parts, n_to = max(1, len(files)), shuffle_partitions(spark)
     parts = spark.createDataFrame(list(enumerate(files)), "part int, file string").repartitionById(n_parts, "part")
@@ -450,4 +461,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
     suffixes = repeated.mapInArrow(_send_suffixes(files, splitters, length, gram), _PACK).repartitionById(n_to, "to")
     spans = suffixes.mapInArrow(_compare(length, gram), _PACK)
     asks = parts.select(F.col("part").alias("to"), F.lit(0).alias("sender"), F.lit(None).cast("binary").alias("payload"))
-    return spans.unionByName(asks).repartitionById(n_parts, "to").mapInArrow(_cut(files, with_text), RESULT_WITH_TEXT if with_text else RESULT)
+    schema = RESULT_WITH_TEXT if with_text else RESULT
+    if carry:
+        schema += f", carried {docs.select(carried).schema['carried'].dataType.simpleString()}"
+    return spans.unionByName(asks).repartitionById(n_parts, "to").mapInArrow(_cut(files, with_text, bool(carry)), schema)

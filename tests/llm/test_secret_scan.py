@@ -24,10 +24,10 @@ def brute(text):
 
 
 def check(df):
-    got = S.scan(df, keep=("text",)).collect()
+    got = S.scan(df, carry=("text",)).collect()
     assert len(got) == df.count()
     for r in got:
-        assert [r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans] == brute(r.text or ""), r
+        assert [r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans] == brute(r.carried.text or ""), r
     return got
 
 
@@ -65,7 +65,7 @@ def test_candidates_hold_every_match(spark):
 def test_redact(spark):
     text = "é token=abcdefgh and AKIA" + "Q" * 16 + " end"
     df = spark.createDataFrame([(1, text), (2, "clean"), (3, None)], "doc_id long, text string")
-    rows = {r.doc_id: r.t for r in S.scan(df, keep=("text",)).select("doc_id", S.redact(F.col("text"), F.col("found")).alias("t")).collect()}
+    rows = {r.doc_id: r.t for r in S.scan(df, carry=("text",)).select("doc_id", S.redact(F.col("carried.text"), F.col("found")).alias("t")).collect()}
     assert rows == {1: "é [SECRET] and [SECRET] end", 2: "clean", 3: None}
 
 
