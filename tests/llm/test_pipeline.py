@@ -56,4 +56,4 @@ def test_stages_take_odd_rows_and_empty_tables(spark):
             assert done.columns == docs.columns or name == "packing"
             done.collect()
             rows = stage(spark, rows, SMALL)
-        assert rows.count() == (1 if docs.count() else 0)
+        assert len({r.doc_id for r in rows.collect()}) == (1 if docs.count() else 0)
