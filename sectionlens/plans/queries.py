@@ -383,9 +383,10 @@ def names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return of_query, of_chunk, vectors
 
 
-@query(f"""WITH {NAMES}, m AS (SELECT chunk_idx, list(m ORDER BY i) AS mean FROM (SELECT chunk_idx, i, avg(x) AS m FROM (SELECT chunk_idx, unnest(range(len(vec))) AS i, unnest(vec) AS x FROM cn JOIN nv USING (name)) GROUP BY 1, 2) GROUP BY 1),
-a AS (SELECT vec_id AS chunk_idx, embedding::DOUBLE[] AS e, CASE WHEN mean IS NOT NULL THEN list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE + 0.1::DOUBLE * mean[i]) END AS v0, coalesce(v0, embedding::DOUBLE[]) AS v FROM embeddings LEFT JOIN m ON chunk_idx = vec_id)
-SELECT chunk_idx, unnest(range(len(e)))::BIGINT AS i, round(unnest(CASE WHEN v0 IS NULL THEN e ELSE list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-8)) END), 6) AS x FROM a""")
+@query(f"""WITH {NAMES}, e AS (SELECT vec_id AS chunk_idx, unnest(range(len(embedding)))::BIGINT AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings),
+m AS (SELECT chunk_idx, i, avg(y) AS m FROM (SELECT chunk_idx, unnest(range(len(vec)))::BIGINT AS i, unnest(vec) AS y FROM cn JOIN nv USING (name)) GROUP BY 1, 2),
+j AS (SELECT e.*, m, x + 0.1::DOUBLE * m AS v FROM e LEFT JOIN m USING (chunk_idx, i))
+SELECT chunk_idx, i, round(CASE WHEN m IS NULL THEN x ELSE v / (sqrt(sum(v * v) OVER (PARTITION BY chunk_idx)) + 1e-8) END, 6) AS x FROM j""")
 def kg_infusion(spark, sf_dir):
     _, of_chunk, vectors = names(spark, sf_dir)
     rows = entities.infuse_chunks(chunk_vectors(spark, sf_dir), of_chunk, vectors)

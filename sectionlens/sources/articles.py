@@ -122,6 +122,7 @@ def read_articles(spark: SparkSession, path: str, mode: str = "nested") -> DataF
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parse = ArticleParser(mode)
+        names = ["doc_id", "title", "abstract", "references", "sections", "paragraphs", "error"]
         for pdf in frames:
             rows = []
             for name, content in zip(pdf.path, pdf.content):
@@ -129,8 +130,8 @@ def read_articles(spark: SparkSession, path: str, mode: str = "nested") -> DataF
                 try:
                     rows.append(parse(bytes(content), stem))
                 except ET.ParseError as e:
-                    rows.append({"doc_id": stem, "error": str(e)})
-            yield pd.DataFrame(rows, columns=["doc_id", "title", "abstract", "references", "sections", "paragraphs", "error"])
+                    rows.append(dict.fromkeys(names) | {"doc_id": stem, "error": str(e)})
+            yield pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in names})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path).select("path", "content")
     return files.mapInPandas(run, ARTICLE)
