@@ -99,8 +99,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, starts in text_blocks(batch.column(1)):
             hashes, bounds = _distinct(data, starts)
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.record_batch([batch.column(0).slice(i, j - i), lists], names=["grade", "words"])
+            packed = [hashes[a:b].tobytes() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary())], names=["grade", "words"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, float]]:
@@ -118,17 +118,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[Da
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_words: int = 1000, least_z: float = 5.0, ridge: float = 0.02, steps: int = 400) -> Model:
     """The model of a bounded sample of labelled documents."""
     rows, stands_for = labelled_sample(docs, labels, sample)
-    got = rows.mapInArrow(_features, "grade int, words array<long>").collect()
-    got.sort(key=lambda r: (r.grade, r.words))  # whatever the order of partitions
+    got = rows.mapInArrow(_features, "grade int, words binary").collect()
+    got.sort(key=lambda r: (r.grade, bytes(r.words)))  # whatever the order of partitions
     grade = np.array([r.grade for r in got], np.int64)
     weight = np.array([stands_for[int(g > 0)] for g in grade])
     none = np.zeros(0, np.uint64)
     if not len(got) or grade.min() > 0 or grade.max() == 0:
         only = int(np.bincount(grade).argmax()) if len(got) else 0
         return Model(none, np.zeros(0), np.where(np.arange(GRADES - 1) < only, -40.0, 40.0))
-    lens = np.array([len(r.words) for r in got])
-    flat = np.concatenate([np.array(r.words, np.int64).view(np.uint64) for r in got])
-    doc = np.repeat(np.arange(len(got)), lens)
+    lens = np.array([len(r.words) // 8 for r in got])
+    flat = np.frombuffer(b"".join(bytes(r.words) for r in got), np.uint64)
+    del got
+    doc = np.repeat(np.arange(len(lens)), lens)
     words, index = np.unique(flat, return_inverse=True)
     bad = grade > 0
     with_bad, with_good = np.bincount(index, bad[doc]), np.bincount(index, ~bad[doc])
@@ -142,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_words: int
     column = np.full(len(words), -1)
     column[keep] = np.arange(len(keep))
     has = column[index] >= 0
-    x = np.zeros((len(got), len(keep)), np.float32)
+    x = np.zeros((len(grade), len(keep)), np.float32)
     x[doc[has], column[index[has]]] = 1
     return Model(words[keep], *_fit(x, grade, weight / weight.sum(), ridge, steps))
 
