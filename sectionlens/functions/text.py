@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` worked out once and not again at every use of it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Words between white space; null gives none."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)), F.array().cast("array<string>"))
@@ -40,9 +47,13 @@ def windows(ws: Column, most: int, overlap: int) -> Column:
     """
     overlap = overlap if overlap < most else most // 4
     step = most - overlap
-    last = F.ceil(F.greatest(F.size(ws) - F.lit(most), F.lit(0)) / step).cast("int")
-    made = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(ws, i * step + 1, F.lit(most)), " "))
-    return F.when(F.size(ws) > 0, made).otherwise(F.array().cast("array<string>"))
+
+    def cut(xs: Column) -> Column:
+        last = F.ceil(F.greatest(F.size(xs) - F.lit(most), F.lit(0)) / step).cast("int")
+        made = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(xs, i * step + 1, F.lit(most)), " "))
+        return F.when(F.size(xs) > 0, made).otherwise(F.array().cast("array<string>"))
+
+    return let(ws, cut)
 
 
 def hard_split(text: Column, most: int) -> Column:
@@ -61,21 +72,27 @@ def token_set(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of lower-case word sets; 0 if one is empty."""
-    x, y = token_set(a), token_set(b)
-    share = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(share)
+
+    def share(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+
+    return let(F.struct(token_set(a).alias("x"), token_set(b).alias("y")), share)
 
 
 def token_f1(predicted: Column, gold: Column) -> Column:
     """Of lower-case words with their multiplicities; 0 if one text has none or none is common."""
-    p, g = words(F.lower(predicted)), words(F.lower(gold))
 
-    def times(xs: Column, w: Column) -> Column:
-        return F.size(F.filter(xs, lambda x: x == w))
+    def f1(s: Column) -> Column:
+        p, g = s["p"], s["g"]
+
+        def times(xs: Column, w: Column) -> Column:
+            return F.size(F.filter(xs, lambda x: x == w))
+
+        common = F.aggregate(F.array_intersect(p, g), F.lit(0), lambda n, w: n + F.least(times(p, w), times(g, w)))
+        return F.when((F.size(p) == 0) | (F.size(g) == 0), F.lit(0.0)).otherwise(2.0 * common / (F.size(p) + F.size(g)))
 
-    common = F.aggregate(F.array_intersect(p, g), F.lit(0), lambda n, w: n + F.least(times(p, w), times(g, w)))
-    total = F.size(p) + F.size(g)
-    return F.when((F.size(p) == 0) | (F.size(g) == 0), F.lit(0.0)).otherwise(2.0 * common / total)
+    return let(F.struct(words(F.lower(predicted)).alias("p"), words(F.lower(gold)).alias("g")), f1)
 
 
 def decision(answer: Column) -> Column:
