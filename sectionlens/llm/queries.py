@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import merge_dropout, merkle, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, token_counts, token_files, toxicity
+from ._shared import work_dir, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,7 +37,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.with_suffix_sums(token_counts.length_histogram(documents(spark, sf_dir), BYTE_BPE, end_tokens=1))
+    histogram = token_counts.length_histogram(documents(spark, sf_dir), BYTE_BPE, end_tokens=1)
+    # the sums read it twice: texts are encoded once
+    return token_counts.with_suffix_sums(written(histogram, work_dir(spark, "token-counts")))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
