@@ -9,8 +9,8 @@ still exact: in every window of ``length`` bytes the ``gram``-byte string of lea
 places, and only suffixes at anchors can begin a repeat.  The stages:
 
 1. The texts are written once to the shared folder; each file is a *part*.
-2. Each part sends the hashes of its anchors (once each, twice if it holds several), dealt
-   by hash; the receivers send back those that more than one place holds.
+2. Each part sends the hashes of its anchors and how often it holds each, dealt by hash;
+   the receivers send back those that more than one place holds.
 3. Parts cut the suffixes at repeated anchors, with the bytes around them that the
    anchor's windows cover, merge identical ones, and send them to ranges of leading bytes,
    whose splitters come from a sample.
@@ -24,9 +24,11 @@ places, and only suffixes at anchors can begin a repeat.  The stages:
 
 What moves is packed: one row for each sender and receiver, so Spark handles few rows.
 Parts read their file from the shared folder and never move texts.  A part's repeats of one
-suffix count once before anything is sent, which flattens groups of copies.  A run of one
-anchor whose surroundings all differ is sorted in one range; its rows are the passage's
-occurrences, some 170 bytes each.
+suffix count once before anything is sent, which flattens groups of copies.  The anchors at
+the ends of a passage have surroundings that differ at each occurrence, and all would meet
+in one range.  If an anchor has more than ``hot_anchor`` occurrences, its windows are dealt
+out one by one by their own 128-bit digests instead: those inside the passage are one row a
+part, those that reach beyond it are spread evenly.
 
 Defined cases: a null text is empty; null ids count as larger than all others; rows with
 equal ids are separate documents in the order of their files; texts under ``length`` bytes
@@ -55,21 +57,24 @@ LENGTH, GRAM = 100, 32
 BLOCK, ROWS = 1 << 20, 512
 #: Splitters are drawn from so many leading words for each range.
 SAMPLES_A_RANGE = 64
+#: Occurrences of one anchor from which on its windows are dealt out by their own content.
+HOT_ANCHOR = 100_000
 _LAST_ID = np.iinfo(np.int64).max
 _RNG = np.random.default_rng(20_240_229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = int(_RNG.integers(1 << 61, 1 << 62, dtype=np.uint64)) | 1
+_BASE_2 = int(_RNG.integers(1 << 61, 1 << 62, dtype=np.uint64)) | 1
 _PACK = "to int, sender int, payload binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 RESULT_WITH_TEXT = RESULT + ", kept binary, kept_text string, spans array<long>"
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of the ``gram`` bytes from each place on (places beyond the end wrap to 0)."""
+def gram_hashes(data: np.ndarray, gram: int, base: int = _BASE) -> np.ndarray:
+    """A 64-bit hash of the ``gram`` bytes from each place on that has as many."""
     n = len(data) - gram + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    power, size, have = _BASE, 1, _BYTE[data]
+    power, size, have = base, 1, _BYTE[data]
     out, covered = None, 0
     k = gram
     while k:
@@ -289,23 +294,54 @@ def _send_hashes(length: int, gram: int, n_to: int):
             for part, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = [anchors(data, starts, length, gram)[1] for _, _, data, starts in _Part(file).blocks()]
                 values, times = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
-                values = np.repeat(values, np.minimum(times, 2))
                 to = (values % np.uint64(n_to)).astype(np.int64)
-                yield _packed([(k, part, (values[rows],)) for k, rows in _by_receiver(to)])
+                yield _packed([(k, part, (values[rows], np.minimum(times[rows], 255).astype(np.uint8), *_many(times[rows]))) for k, rows in _by_receiver(to)])
 
     return run
 
 
-def _return_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for to, rows in _received(batches).items():
-        values = np.concatenate([x[0] for _, x in rows])
-        owner = np.repeat([s for s, _ in rows], [len(x[0]) for _, x in rows])
-        by = np.argsort(values, kind="stable")
-        values, owner = values[by], owner[by]
-        same = np.diff(values) == 0
-        repeated = np.append(False, same) | np.append(same, False)
-        values, owner = values[repeated], owner[repeated]
-        yield _packed([(k, to, (np.unique(values[own]),)) for k, own in _by_receiver(owner)])
+def _many(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of counts that a byte can't hold."""
+    at = np.flatnonzero(times > 255)
+    return at.astype(np.int32), times[at].astype(np.int64)
+
+
+def _return_repeated(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for to, rows in _received(batches).items():
+            values = np.concatenate([x[0] for _, x in rows])
+            counts = []
+            for _, x in rows:
+                counts.append(x[1].astype(np.int64))
+                counts[-1][x[2]] = x[3]
+            owner = np.repeat([s for s, _ in rows], [len(x[0]) for _, x in rows])
+            by = np.argsort(values, kind="stable")
+            values, owner, counts = values[by], owner[by], np.concatenate(counts)[by]
+            starts = np.flatnonzero(np.append(True, np.diff(values) != 0)[: len(values)])
+            total = np.repeat(np.add.reduceat(counts, starts), np.diff(np.append(starts, len(values)))) if len(values) else counts
+            own = np.flatnonzero(total > 1)
+            values, owner, hot = values[own], owner[own], total[own] > most
+            yield _packed([(k, to, (values[r], hot[r])) for k, r in _by_receiver(owner)])
+
+    return run
+
+
+def _runs(row: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of what windows of ``length`` at these starts cover, neighbours joined."""
+    by = np.lexsort((start, row))
+    row, start = row[by], start[by]
+    new = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(start) != 1))[: len(row)])
+    last = np.append(new[1:], len(row)) - 1 if len(row) else new
+    return row[new].astype(np.int32), start[new], start[last] + length
+
+
+def _later(order: tuple[np.ndarray, ...], high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Which rows have an equal digest (high, low) earlier in the order (its last key counts most)."""
+    by = np.lexsort((*order, low, high))
+    same = np.append(False, (np.diff(high[by]) == 0) & (np.diff(low[by]) == 0))[: len(by)]
+    out = np.zeros(len(by), bool)
+    out[by[same]] = True
+    return out
 
 
 def _sample_words(length: int, gram: int, most: int):
@@ -322,22 +358,45 @@ def _sample_words(length: int, gram: int, most: int):
     return run
 
 
-def _send_suffixes(files: list[str], splitters: np.ndarray, length: int, gram: int):
+def _single_windows(part: int, held: list[tuple[np.ndarray, ...]], n_to: int, length: int) -> list[tuple[int, int, tuple]]:
+    """Windows of hot anchors, by their digests; those that the part has earlier are told at once."""
+    high, low, ids, row, start = (np.concatenate(x) for x in zip(*held))
+    later = _later((start, row, ids), high, low)
+    rows = [(part % n_to, part, ("spans", *_runs(row[later], start[later], length)))]
+    high, low, ids, row, start = (x[~later] for x in (high, low, ids, row.astype(np.int32), start))
+    for k, r in _by_receiver((high % np.uint64(n_to)).astype(np.int64)):
+        rows.append((k, part, ("windows", high[r], low[r], ids[r], row[r], start[r])))
+    return rows
+
+
+def _send_suffixes(files: list[str], splitters: np.ndarray, n_to: int, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, replies in _received(batches).items():
-            repeated = np.unique(np.concatenate([x[0] for _, x in replies]))
+            repeated, hot = (np.concatenate([x[k] for _, x in replies]) for k in range(2))
+            by = np.argsort(repeated)
+            repeated, hot = repeated[by], hot[by]
             held: list[tuple[np.ndarray, ...]] = []
+            single: list[tuple[np.ndarray, ...]] = []
             for row, ids, data, starts in _Part(files[part]).blocks():
                 place, value, first, last = anchors(data, starts, length, gram)
                 at = np.minimum(np.searchsorted(repeated, value), len(repeated) - 1)
                 own = np.flatnonzero(repeated[at] == value)
                 if not len(own):
                     continue
+                if (often := hot[at[own]]).any():
+                    x = _ragged(first[own[often]], last[own[often]] - first[own[often]] + 1)
+                    doc = np.searchsorted(starts, x, "right") - 1
+                    single.append((gram_hashes(data, length)[x], gram_hashes(data, length, _BASE_2)[x], ids[doc], row + doc, x - starts[doc]))
+                    own = own[~often]
+                    if not len(own):
+                        continue
                 place, first, last = place[own], first[own], last[own]
                 doc = np.searchsorted(starts, place, "right") - 1
                 lens = last - first + length
                 word = _leading_words(data, place, gram)
                 held.append((word, ids[doc], row + doc, place - starts[doc], place - last, place - first, lens, data[_ragged(first, lens)]))
+            if single:
+                yield _packed(_single_windows(part, single, n_to, length))
             if not held:
                 continue
             word, ids, row, place, low, high, lens, flat = (np.concatenate(x) for x in zip(*held))
@@ -358,7 +417,7 @@ def _send_suffixes(files: list[str], splitters: np.ndarray, length: int, gram: i
                 send = head[of]
                 new[send] = np.arange(len(send))
                 t = twins[twins_of[k]] if k in twins_of else twins[:0]
-                rows.append((k, part, (ids[send], row[send].astype(np.int32), place[send], low[send].astype(np.uint8), high[send].astype(np.uint8), flat[_ragged(begin[send], lens[send])], row[t].astype(np.int32), place[t], low[t].astype(np.uint8), high[t].astype(np.uint8))))
+                rows.append((k, part, ("suffixes", ids[send], row[send].astype(np.int32), place[send], low[send].astype(np.uint8), high[send].astype(np.uint8), flat[_ragged(begin[send], lens[send])], row[t].astype(np.int32), place[t], low[t].astype(np.uint8), high[t].astype(np.uint8))))
             yield _packed(rows)
 
     return run
@@ -375,19 +434,32 @@ def _equal_runs(lens: np.ndarray, flat: np.ndarray, low: np.ndarray, high: np.nd
 
 def _compare(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for to, got in _received(batches).items():
-            sender = np.repeat([s for s, _ in got], [len(x[0]) for _, x in got])
-            ids, row, place, low, high, flat = (np.concatenate([x[k] for _, x in got]) for k in range(6))
-            low, high = low.astype(np.int64), high.astype(np.int64)
-            rank = np.empty(len(ids), np.int64)
-            rank[np.lexsort((place, row, sender, ids))] = np.arange(len(ids))
-            rows = _surroundings(high - low + length, flat, high, length, gram)
-            least, most = first_and_repeats(rows, low, high, rank, length, gram)
-            hit = np.flatnonzero(most >= 0)
-            spans = {k: [(row[hit[s]], place[hit[s]] - most[hit[s]], place[hit[s]] - least[hit[s]] + length)] for k, s in _by_receiver(sender[hit])}
+        for to, received in _received(batches).items():
+            spans: dict[int, list[tuple]] = defaultdict(list)
+            for s, x in received:
+                if x[0] == "spans":
+                    spans[s].append(x[1:])
+            if single := [(s, x[1:]) for s, x in received if x[0] == "windows"]:
+                sender = np.repeat([s for s, _ in single], [len(x[0]) for _, x in single])
+                high, low, ids, row, place = (np.concatenate([x[k] for _, x in single]) for k in range(5))
+                later = np.flatnonzero(_later((place, row, sender, ids), high, low))
+                for k, r in _by_receiver(sender[later]):
+                    spans[k].append(_runs(row[later[r]], place[later[r]], length))
+            got = [(s, x[1:]) for s, x in received if x[0] == "suffixes"]
+            if got:
+                sender = np.repeat([s for s, _ in got], [len(x[0]) for _, x in got])
+                ids, row, place, low, high, flat = (np.concatenate([x[k] for _, x in got]) for k in range(6))
+                low, high = low.astype(np.int64), high.astype(np.int64)
+                rank = np.empty(len(ids), np.int64)
+                rank[np.lexsort((place, row, sender, ids))] = np.arange(len(ids))
+                rows = _surroundings(high - low + length, flat, high, length, gram)
+                least, most = first_and_repeats(rows, low, high, rank, length, gram)
+                hit = np.flatnonzero(most >= 0)
+                for k, r in _by_receiver(sender[hit]):
+                    spans[k].append((row[hit[r]], place[hit[r]] - most[hit[r]], place[hit[r]] - least[hit[r]] + length))
             for s, x in got:  # places whose whole surroundings their part had already
                 if len(x[6]):
-                    spans.setdefault(s, []).append((x[6], x[7] - x[9], x[7] - x[8] + length))
+                    spans[s].append((x[6], x[7] - x[9], x[7] - x[8] + length))
             if spans:
                 yield _packed([(k, to, tuple(np.concatenate(c) for c in zip(*v))) for k, v in spans.items()])
 
@@ -442,7 +514,7 @@ def _cut(files: list[str], with_text: bool, with_carried: bool):
     return run
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, carry: tuple[str, ...] = (), hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """One row for each document: what is removed and the digest of the rest (``RESULT``);
     ``with_text`` adds the kept bytes, the text of them (without what is left of characters
     that were cut through) and the removed spans (starts and ends in turn)."""
@@ -457,8 +529,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
     words = np.sort(np.array([r.word for r in parts.mapInArrow(_sample_words(length, gram, most), "word long").collect()], np.int64).view(np.uint64))
     splitters = np.unique(words[np.linspace(0, len(words) - 1, n_to + 1).astype(int)[1:-1]]) if len(words) else words
     asked = parts.mapInArrow(_send_hashes(length, gram, n_to), _PACK).repartitionById(n_to, "to")
-    repeated = asked.mapInArrow(_return_repeated, _PACK).repartitionById(n_parts, "to")
-    suffixes = repeated.mapInArrow(_send_suffixes(files, splitters, length, gram), _PACK).repartitionById(n_to, "to")
+    repeated = asked.mapInArrow(_return_repeated(hot_anchor), _PACK).repartitionById(n_parts, "to")
+    suffixes = repeated.mapInArrow(_send_suffixes(files, splitters, n_to, length, gram), _PACK).repartitionById(n_to, "to")
     spans = suffixes.mapInArrow(_compare(length, gram), _PACK)
     asks = parts.select(F.col("part").alias("to"), F.lit(0).alias("sender"), F.lit(None).cast("binary").alias("payload"))
     schema = RESULT_WITH_TEXT if with_text else RESULT

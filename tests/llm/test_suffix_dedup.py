@@ -34,8 +34,9 @@ def ordered(df):
     return sorted(((r.doc_id, r.text) for r in rows), key=lambda r: (r[0] is None, r[0] or 0))
 
 
+@pytest.mark.parametrize("hot", [0, 25, 100_000])
 @pytest.mark.parametrize(("length", "gram"), [(12, 5), (20, 8), (100, 32)])
-def test_equals_brute_force(spark, length, gram):
+def test_equals_brute_force(spark, length, gram, hot):
     rng = random.Random(length)
     passages = ["".join(rng.choice("abé ") for _ in range(rng.randint(length // 2, 3 * length))) for _ in range(12)]
     texts = []
@@ -44,7 +45,7 @@ def test_equals_brute_force(spark, length, gram):
         texts.append("".join(parts))
     texts += [texts[5], texts[7], "aaaa" * length, "ab" * (3 * length), None, "", "x" * (length - 1), "x" * length, "x" * (length + 1)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    got = sorted((tuple(r) for r in S.dedup(df, length, gram).collect()), key=str)
+    got = sorted((tuple(r) for r in S.dedup(df, length, gram, hot_anchor=hot).collect()), key=str)
     assert got == brute(ordered(df), length)
 
 
