@@ -9,7 +9,7 @@ block of ``BLOCK_IDS`` ids at a time, so memory is bounded and a lost task is si
 again.  A block of T ids gets T // capacity whole sequences, and for the rest of T one
 sequence for each power of two in it: lengths that need no padding.  Documents longer than
 a sequence first fill whole sequences; the last piece of each goes through the agenda.
-When no sequence has room for a piece, it is cut at the roomiest one.  Total room equals T,
+When none of the 64 cheapest sequences has room for a piece, it is cut at the roomiest of them.  Total room equals T,
 so every block is packed without padding.
 
 Defined cases: a null text is empty (its document is its end id alone); repeated ids are

@@ -211,9 +211,11 @@ def _surroundings(lens: np.ndarray, flat: np.ndarray, reach: np.ndarray, length:
     """Surroundings as rows of ``2 * length - gram`` bytes, their anchors at one place, 0 beyond."""
     left = length - gram
     out = np.zeros((len(lens), left + length), np.uint8)
-    at = np.repeat(np.arange(len(lens)) * out.shape[1] + left - reach, lens)
     ends = np.cumsum(lens)
-    out.ravel()[at + np.arange(len(flat)) - np.repeat(ends - lens, lens)] = flat
+    for i in range(0, len(lens), 1 << 13):  # so that the indices stay small
+        n, width = lens[i : i + (1 << 13)], out.shape[1]
+        to = _ragged(np.arange(len(n)) * width + left - reach[i : i + (1 << 13)], n)
+        out[i : i + (1 << 13)].reshape(-1)[to] = flat[ends[i] - lens[i] : ends[i + len(n) - 1]]
     return out
 
 
