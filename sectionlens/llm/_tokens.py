@@ -130,17 +130,8 @@ class BlockEncoder:
         lens = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter((i for x in lists for i in x), np.uint32, int(lens.sum())), lens
 
-    def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (uint32) of all texts, and how many each text has.
-
-        ``data``: the texts' UTF-8 bytes end to end; ``starts``: where each text begins,
-        and ``len(data)`` at the end.
-        """
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(starts) - 1, np.int64)
-        solid, offsets, first_piece = self._pieces(data, starts)
-        n = len(offsets) - 1
-        pieces = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(solid))])
+    def _look_up(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each piece in the cache, into which new ones are encoded."""
         coded = pieces.dictionary_encode()
         distinct = _values(coded.dictionary)
         get = self._slot.get
@@ -155,17 +146,38 @@ class BlockEncoder:
             self._off = np.concatenate([self._off, len(self._ids) + np.cumsum(lens) - lens])
             self._len = np.concatenate([self._len, lens])
             self._ids = np.concatenate([self._ids, flat])
-        of_piece = slots[coded.indices.to_numpy(zero_copy_only=False)]
-        lens = self._len[of_piece]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if n else 0
-        ids = self._ids[np.repeat(self._off[of_piece] - (ends - lens), lens) + np.arange(total)]
-        bounds = np.append(0, ends)[first_piece]
+        return slots[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def _ids_of(self, pieces: pa.Array, first_piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each piece begin in them and how many they are."""
+        of_piece = self._look_up(pieces)
+        return self._ids, self._off[of_piece], self._len[of_piece]
+
+    def encode(self, data: np.ndarray, starts: np.ndarray, *own) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (uint32) of all texts, and how many each text has.
+
+        ``data``: the texts' UTF-8 bytes end to end; ``starts``: where each text begins,
+        and ``len(data)`` at the end; ``own``: what ``_ids_of`` takes besides.
+        """
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(starts) - 1, np.int64)
+        solid, offsets, first_piece = self._pieces(data, starts)
+        n = len(offsets) - 1
+        pieces = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(solid))])
+        flat, off, lens = self._ids_of(pieces, first_piece, *own)
+        ids = gathered(flat, off, lens)
+        bounds = np.append(0, np.cumsum(lens))[first_piece]
         if len(self._slot) > CACHE_PIECES or len(self._ids) > CACHE_IDS:
             self._reset()
         return ids, np.diff(bounds)
 
 
+def gathered(flat: np.ndarray, off: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``off``, end to end."""
+    ends = np.cumsum(lens)
+    return flat[np.repeat(off - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def text_blocks(column: pa.Array | pa.ChunkedArray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string column into blocks: (first row, end row, bytes, starts); null texts are empty."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]

@@ -2,19 +2,20 @@
 
 A word's symbols are merged in the order of an agenda: the best-scored adjacent pair first,
 the leftmost of equals.  With dropout each candidate pair is skipped for good if a hash of
-(seed, variant, word, bounds of the pair) falls below the rate, so an encoding is varied
-but depends on nothing else: not on partitions, order or retries.  A document's variant is
-drawn by a hash of the seed and its id, so a word is cut differently in different documents.
-At rate 0 the ids equal the sentencepiece library's.
+(seed, id of the document, place of the word in it, bounds of the pair) falls below the rate,
+so every occurrence of a word is cut by its own draws, which depend on nothing else: not on
+partitions, order or retries.  At rate 0 the ids equal the sentencepiece library's.
 
-Method: a block's distinct words are encoded together.  Words of up to ``MOST_LOCKSTEP``
-symbols run their agendas in lockstep, as rows of a matrix of which each step merges the
-best pair of every row; longer words run a heap.  Both are the same agenda (tests hold
-this).  Decoding maps pieces to bytes and is exact for every text.
+Method: a block's distinct words are encoded together without dropout, and their ids and
+merges are kept.  An occurrence that skips none of its word's merges has the word's ids,
+since skipping other candidates changes nothing; the others run agendas of their own.  Words
+of up to ``MOST_LOCKSTEP`` symbols run them in lockstep, as rows of a matrix of which each
+step merges the best pair of every row; longer words run a heap.  Both are the same agenda
+(tests hold this).  Decoding maps pieces to bytes and is exact for every text.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; characters
 without a piece become byte pieces; so does U+2581, which the model uses for the space (the
-library would decode it as one); null ids have variant 0; repeated rows are encoded alike;
+library would decode it as one); null ids draw alike; repeated rows are encoded alike;
 an empty table gives an empty result; other columns aren't read.
 """
 
@@ -29,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tokens import BlockEncoder, crc32, text_blocks
+from ._tokens import BlockEncoder, _values, crc32, gathered, text_blocks
 
 MOST_LOCKSTEP = 32
-N_VARIANTS = 4
+#: Words whose merges are held against their draws at once.
+PORTION = 1 << 17
 SPACE = "▁"
 ENCODED = "doc_id long, ids array<int>"
 DIGEST = "doc_id long, variant int, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean"
@@ -45,9 +47,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def variant_of(doc_ids: np.ndarray, seed: int, n_variants: int) -> np.ndarray:
+def document_keys(doc_ids: pa.Array, seed: int) -> np.ndarray:
+    """Hashes of documents' ids; 0 for null ids."""
     key = np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64))
-    return (_mix(doc_ids.astype(np.int64).view(np.uint64) ^ key) % np.uint64(n_variants)).astype(np.int64)
+    keys = _mix(doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ key)
+    return np.where(doc_ids.is_null().to_numpy(zero_copy_only=False), np.uint64(0), keys)
 
 
 class PieceTable:
@@ -118,26 +122,30 @@ class PieceTable:
 
 
 class DropoutEncoder(BlockEncoder):
-    """Encodes blocks of texts in one variant of a seed."""
+    """Encodes blocks of texts with the draws of a seed; ``variant`` tells draws of one seed apart."""
 
-    _variants: dict[tuple, DropoutEncoder] = {}
+    _last: tuple[tuple, DropoutEncoder] | None = None
 
     @classmethod
-    def variant(cls, path: str, seed: int, rate: float, variant: int) -> DropoutEncoder:
-        key = (path, seed, rate, variant)
-        if key not in cls._variants:
-            for old in [k for k in cls._variants if k[:3] != key[:3]]:
-                del cls._variants[old]
-            cls._variants[key] = cls(*key)
-        return cls._variants[key]
-
-    def __init__(self, path: str, seed: int, rate: float, variant: int):
+    def of(cls, path: str, seed: int, rate: float) -> DropoutEncoder:
+        key = (path, seed, rate)
+        if cls._last is None or cls._last[0] != key:
+            cls._last = key, cls(*key)
+        return cls._last[1]
+
+    def __init__(self, path: str, seed: int, rate: float, variant: int = 0):
         self.table = PieceTable.of(path)
         self.key = int.from_bytes(hashlib.blake2b(f"{seed}:{variant}".encode(), digest_size=8).digest(), "little")
         self.below = np.uint64(min(int(rate * 2**64), 2**64 - 1))
         self.rate = rate
         self._reset()
 
+    def _reset(self) -> None:
+        super()._reset()
+        self._merges = np.zeros(0, np.uint64)
+        self._merges_off = np.zeros(0, np.int64)
+        self._merges_len = np.zeros(0, np.int64)
+
     def _pieces(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A space is put before every text that isn't empty; a word begins at each run of spaces."""
         some = starts[:-1][np.diff(starts) > 0]
@@ -150,23 +158,70 @@ class DropoutEncoder(BlockEncoder):
         at = np.flatnonzero(begins | first)
         return wide, np.append(at, len(wide)), np.searchsorted(at, begin)
 
-    def _skipped(self, words: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
-        span = (start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
-        return _mix(words ^ _mix(span + np.uint64(self.key))) < self.below
+    def _spans(self, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bounds of pairs."""
+        return _mix(((start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)) + np.uint64(self.key))
+
+    def _skipped(self, words: np.ndarray, spans: np.ndarray) -> np.ndarray:
+        return _mix(words ^ spans) < self.below
 
     def _encode_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [x.decode("utf-8") for x in pieces]
-        hashes = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in pieces], np.uint64) if self.rate else np.zeros(len(pieces), np.uint64)
+        """Ids of words without dropout; what they merge is kept."""
+        merges: list[tuple[np.ndarray, np.ndarray]] = []
+        flat, off, counts = self._run([x.decode("utf-8") for x in pieces], None, merges)
+        rows, spans = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.uint64)), *merges))
+        lens = np.bincount(rows, minlength=len(pieces))
+        self._merges_off = np.concatenate([self._merges_off, len(self._merges) + np.cumsum(lens) - lens])
+        self._merges_len = np.concatenate([self._merges_len, lens])
+        self._merges = np.concatenate([self._merges, spans[np.argsort(rows, kind="stable")]])
+        return gathered(flat, off, counts), counts
+
+    def _ids_of(self, pieces: pa.Array, first_piece: np.ndarray, docs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``docs``: the keys of the texts' documents (0 if not given)."""
+        of_piece = self._look_up(pieces)
+        off, lens = self._off[of_piece], self._len[of_piece]
+        if not self.rate:
+            return self._ids, off, lens
+        n_words = np.diff(first_piece)
+        place = np.arange(len(of_piece)) - np.repeat(first_piece[:-1], n_words)
+        words = _mix(np.repeat(np.zeros(len(n_words), np.uint64) if docs is None else docs, n_words) ^ _mix(place.astype(np.uint64) + np.uint64(self.key)))
+        pools = [self._ids]
+        base = len(self._ids)
+        for i in range(0, len(of_piece), PORTION):
+            at = of_piece[i : i + PORTION]
+            k = self._merges_len[at]
+            skipped = self._skipped(np.repeat(words[i : i + PORTION], k), gathered(self._merges, self._merges_off[at], k))
+            varied = i + np.unique(np.searchsorted(np.cumsum(k), np.flatnonzero(skipped), "right"))
+            texts = [x.decode("utf-8") for x in _values(pieces.take(pa.array(varied, pa.int64())))]
+            flat, own, counts = self._run(texts, words[varied])
+            off[varied], lens[varied] = base + own, counts
+            pools.append(flat)
+            base += len(flat)
+        return np.concatenate(pools), off, lens
+
+    def _run(self, texts: list[str], words: np.ndarray | None, merges: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each word begin and how many they are, with the draws of ``words`` (None: no dropout)."""
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
-        out: list[np.ndarray | list[int] | None] = [None] * len(texts)
-        for low, high in ((0, 8), (8, 16), (16, MOST_LOCKSTEP)):
+        off, counts = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        pools, base = [np.zeros(0, np.uint32)], 0
+
+        def keep(rows: np.ndarray, flat: np.ndarray, n: np.ndarray) -> None:
+            nonlocal base
+            off[rows], counts[rows] = base + np.cumsum(n) - n, n
+            pools.append(flat.astype(np.uint32))
+            base += len(flat)
+
+        low = 0
+        for high in (5, 8, 12, 16, 32):
+            high = min(high, MOST_LOCKSTEP)
             rows = np.flatnonzero((lens > low) & (lens <= high))
-            for i in range(0, len(rows), 20_000):
-                self._lockstep(rows[i : i + 20_000], texts, hashes, high, out)
+            for i in range(0, len(rows), 3000):
+                keep(rows[i : i + 3000], *self._lockstep(rows[i : i + 3000], texts, words, high, merges))
+            low = high
         for k in np.flatnonzero(lens > MOST_LOCKSTEP).tolist():
-            out[k] = self.agenda(texts[k], hashes[k])
-        counts = np.fromiter(map(len, out), np.int64, len(out))
-        return np.concatenate([np.zeros(0, np.uint32), *(np.asarray(x, np.uint32) for x in out)]), counts
+            ids = self.agenda(texts[k], None if words is None else words[k], None if merges is None else (merges, k))
+            keep(np.array([k]), np.array(ids), np.array([len(ids)]))
+        return np.concatenate(pools), off, counts
 
     def _bytes(self, symbols: list[int], places: list[int], text: str) -> list[int]:
         """Ids of symbols; those without a piece as the bytes of their character."""
@@ -175,7 +230,8 @@ class DropoutEncoder(BlockEncoder):
             out += [s] if s >= 0 else self.table.byte_ids[list(text[p].encode())].tolist()
         return out
 
-    def _lockstep(self, rows: np.ndarray, texts: list[str], hashes: np.ndarray, width: int, out: list) -> None:
+    def _lockstep(self, rows: np.ndarray, texts: list[str], words: np.ndarray | None, width: int, merges: list | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of these rows, end to end, and how many each has."""
         table, n = self.table, len(rows)
         own = [texts[k] for k in rows.tolist()]
         chars = np.array(own, dtype=f"U{width}").view(np.uint32).reshape(n, width)
@@ -186,7 +242,7 @@ class DropoutEncoder(BlockEncoder):
         before = after - 2
         rank = np.full((n, width), _NEVER, np.int64)
         into = np.zeros((n, width), np.int64)
-        word = hashes[rows]
+        word = None if words is None else words[rows]
 
         def rate(r: np.ndarray, c: np.ndarray) -> None:
             """Looks the pair up that begins at column c of row r."""
@@ -194,8 +250,8 @@ class DropoutEncoder(BlockEncoder):
             ok = nxt < size[r]
             r, c, nxt = r[ok], c[ok], nxt[ok]
             got, merged = table.find(ids[r, c], ids[r, nxt])
-            if self.rate:
-                got[self._skipped(word[r], c, nxt, after[r, nxt])] = _NEVER
+            if word is not None:
+                got[self._skipped(word[r], self._spans(c, nxt, after[r, nxt]))] = _NEVER
             rank[r, c], into[r, c] = got, merged
 
         r, c = np.nonzero(inside[:, 1:])
@@ -212,6 +268,8 @@ class DropoutEncoder(BlockEncoder):
             ids[active, gone] = -2
             rank[active, gone] = rank[active, c] = _NEVER
             end = after[active, gone]
+            if merges is not None:
+                merges.append((rows[active], self._spans(c, gone, end)))
             after[active, c] = end
             inner = end < size[active]
             before[active[inner], end[inner]] = c[inner]
@@ -223,18 +281,24 @@ class DropoutEncoder(BlockEncoder):
         alive = ids != -2
         counts = alive.sum(axis=1)
         flat = ids[alive]
-        bounds = np.append(0, np.cumsum(counts)).tolist()
-        odd = np.zeros(n, bool)
-        odd[np.nonzero(ids == -1)[0]] = True
-        for k, (row, a, b) in enumerate(zip(rows.tolist(), bounds, bounds[1:])):
-            out[row] = flat[a:b] if not odd[k] else self._bytes(flat[a:b].tolist(), np.flatnonzero(alive[k]).tolist(), own[k])
-
-    def agenda(self, text: str, hashed: int) -> list[int]:
+        odd = np.unique(np.nonzero(ids == -1)[0]).tolist()
+        if odd:
+            bounds = np.append(0, np.cumsum(counts)).tolist()
+            parts, done = [], 0
+            for k in odd:
+                own_ids = self._bytes(flat[bounds[k] : bounds[k + 1]].tolist(), np.flatnonzero(alive[k]).tolist(), own[k])
+                parts += [flat[done : bounds[k]], np.array(own_ids, np.int64)]
+                done, counts[k] = bounds[k + 1], len(own_ids)
+            flat = np.concatenate([*parts, flat[done:]])
+        return flat, counts
+
+    def agenda(self, text: str, hashed: np.uint64 | None, merges: tuple[list, int] | None = None) -> list[int]:
         """One word, by a heap of candidate pairs."""
         table, n = self.table, len(text)
         ids = table.of_char[np.array([text], dtype=f"U{n}").view(np.uint32)].astype(np.int64)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        word = np.array([hashed], np.uint64)
+        word = None if hashed is None else np.array([hashed], np.uint64)
+        made: list[tuple[int, int, int]] = []
         symbols: list[int] = ids.tolist()
         heap: list[tuple[int, int, int, int, int]] = []
 
@@ -246,8 +310,8 @@ class DropoutEncoder(BlockEncoder):
             nxt = np.array([after[k] for k in starts])
             end = np.array([after[k] for k in nxt.tolist()])
             got, merged = table.find(np.array([symbols[k] for k in starts]), np.array([symbols[k] for k in nxt.tolist()]))
-            if self.rate:
-                got[self._skipped(word.repeat(len(c)), c, nxt, end)] = _NEVER
+            if word is not None:
+                got[self._skipped(word.repeat(len(c)), self._spans(c, nxt, end))] = _NEVER
             for row in zip(got.tolist(), starts, nxt.tolist(), end.tolist(), merged.tolist()):
                 if row[0] < _NEVER:
                     heapq.heappush(heap, row)
@@ -259,41 +323,37 @@ class DropoutEncoder(BlockEncoder):
             if not alive[c] or after[c] != nxt or not alive[nxt] or after[nxt] != end:
                 continue  # one of the two has grown since
             symbols[c], alive[nxt], after[c] = merged, False, end
+            made.append((c, nxt, end))
             if end < n:
                 before[end] = c
             offer([before[c], c])
+        if merges is not None and made:
+            merges[0].append((np.full(len(made), merges[1]), self._spans(*np.array(made).T)))
         places = [k for k in range(n) if alive[k]]
         return self._bytes([symbols[k] for k in places], places, text)
 
 
-def _encoded(batch: pa.RecordBatch, model: str, seed: int, rate: float, n_variants: int) -> Iterator[tuple]:
-    """For the texts of a batch, by block and variant: rows, variant, ids, counts, and the texts' bytes."""
+def _encoded(batch: pa.RecordBatch, model: str, seed: int, rate: float) -> Iterator[tuple]:
+    """For the texts of a batch, by block: doc ids, their keys, ids, counts, and the texts' bytes."""
     for i, j, data, starts in text_blocks(batch.column(1)):
-        ids = batch.column(0).slice(i, j - i)
-        variant = variant_of(ids.fill_null(0).to_numpy(zero_copy_only=False), seed, n_variants)
-        variant[ids.is_null().to_numpy(zero_copy_only=False)] = 0
-        lens = np.diff(starts)
-        for v in np.unique(variant).tolist():
-            rows = np.flatnonzero(variant == v)
-            ends = np.cumsum(lens[rows])
-            own = data[np.repeat(starts[rows] - (ends - lens[rows]), lens[rows]) + np.arange(ends[-1])]
-            bounds = np.append(0, ends)
-            tokens, counts = DropoutEncoder.variant(model, seed, rate, v).encode(own, bounds)
-            yield i + rows, v, tokens, counts, own, bounds
+        names = batch.column(0).slice(i, j - i)
+        keys = document_keys(names, seed)
+        tokens, counts = DropoutEncoder.of(model, seed, rate).encode(data, starts, keys)
+        yield names, keys, tokens, counts, data, starts
 
 
 def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text"))
 
 
-def encode_documents(docs: DataFrame, model: str, seed: int = 0, rate: float = 0.1, n_variants: int = N_VARIANTS) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, seed: int = 0, rate: float = 0.1) -> DataFrame:
     """(doc_id, ids) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, _, tokens, counts, _, _ in _encoded(batch, model, seed, rate, n_variants):
+            for names, _, tokens, counts, _, _ in _encoded(batch, model, seed, rate):
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(tokens.astype(np.int32)))
-                yield pa.record_batch([batch.column(0).take(pa.array(rows)), lists], names=["doc_id", "ids"])
+                yield pa.record_batch([names, lists], names=["doc_id", "ids"])
 
     return _columns(docs).mapInArrow(run, ENCODED)
 
@@ -312,17 +372,20 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def encode_and_decode(docs: DataFrame, model: str, seed: int = 0, rate: float = 0.1, n_variants: int = N_VARIANTS) -> DataFrame:
-    """Digest of every document's ids, and of the text that they decode to (``DIGEST``)."""
+def encode_and_decode(docs: DataFrame, model: str, seed: int = 0, rate: float = 0.1) -> DataFrame:
+    """Digest of every document's ids, and of the text that they decode to (``DIGEST``).
+
+    ``variant`` is the first 31 bits of the document's key, from which its words' draws come.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = PieceTable.of(model)
         for batch in batches:
-            for rows, v, tokens, counts, own, bounds in _encoded(batch, model, seed, rate, n_variants):
+            for names, keys, tokens, counts, own, bounds in _encoded(batch, model, seed, rate):
                 texts = table.decode(tokens, counts)
                 at = np.append(0, np.cumsum(counts)).tolist()
                 columns = [
-                    batch.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), v, np.int32)), pa.array(counts, pa.int64()),
+                    names, pa.array((keys >> np.uint64(33)).astype(np.int32)), pa.array(counts, pa.int64()),
                     pa.array([crc32(tokens[a:b]) for a, b in zip(at, at[1:])], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts]),
                     pa.array([own[a:b].tobytes() == x for a, b, x in zip(bounds.tolist(), bounds[1:].tolist(), texts)]),
                 ]

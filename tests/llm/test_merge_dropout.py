@@ -62,3 +62,32 @@ def test_dropout_varies_and_decodes(spark):
 def test_all_dropped_leaves_single_characters():
     got = encode(M.DropoutEncoder(MODEL, 1, 1.0, 0), ["hello the"])[0]
     assert len(got) == len(" hello the")
+
+
+def test_every_occurrence_draws_its_own(spark):
+    text = " ".join(["reasonable"] * 40)
+    docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
+    rows = {r.doc_id: r.ids for r in M.encode_documents(docs, MODEL, seed=3, rate=0.3).collect()}
+    table, cuts = M.PieceTable.of(MODEL), {}
+    for i, ids in rows.items():
+        words, at = [[] for _ in range(40)], -1
+        for x, n, start in zip(ids, table.lens[ids], table.starts[ids]):
+            at += table.bytes[start : start + n].tobytes().startswith(b" ")
+            words[at].append(x)
+        cuts[i] = [tuple(w) for w in words]
+    assert all(len(set(c)) > 8 for c in cuts.values())  # by occurrence
+    assert len({tuple(c) for c in cuts.values()}) == 40 and len({c[0] for c in cuts.values()}) > 8  # by document
+
+
+def test_kept_merges_change_no_draw(monkeypatch):
+    ts = texts()
+    for rate in (0.1, 0.5):
+        rows = encode(M.DropoutEncoder(MODEL, 5, rate), ts)
+        coder = M.DropoutEncoder(MODEL, 5, rate)
+        skipped = coder._skipped
+        # every word with a merge runs an agenda of its own
+        with monkeypatch.context() as m:
+            run = coder._run
+            m.setattr(coder, "_run", lambda t, w, made=None: (m.setattr(coder, "_skipped", skipped), run(t, w, made), m.setattr(coder, "_skipped", lambda a, b: np.ones(len(a), bool)))[1])
+            m.setattr(coder, "_skipped", lambda a, b: np.ones(len(a), bool))
+            assert encode(coder, ts) == rows
