@@ -9,8 +9,9 @@ block of ``BLOCK_IDS`` ids at a time, so memory is bounded and a lost task is si
 again.  A block of T ids gets T // capacity whole sequences, and for the rest of T one
 sequence for each power of two in it: lengths that need no padding.  Documents longer than
 a sequence first fill whole sequences; the last piece of each goes through the agenda.
-When none of the 64 cheapest sequences has room for a piece, it is cut at the roomiest of them.  Total room equals T,
-so every block is packed without padding.
+Only when no sequence has room for a piece is it cut, at the roomiest (the cheapest of
+equals), and its rest is dealt like any piece.  Total room equals T, so every block is
+packed without padding.
 
 Defined cases: a null text is empty (its document is its end id alone); repeated ids are
 separate documents; an empty table gives no pieces; an extremely long text makes a block
@@ -19,7 +20,6 @@ of its own.  Other columns of the input are not read.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,32 +66,18 @@ def pack(lengths: list[int], capacity: int = 2048, linear: float = 1.0, quadrati
             seq += 1
         if n % capacity:
             rests.append((n % capacity, doc))
-    agenda = [(0.0, s) for s in range(seq, len(room))]  # sorted, so a heap
+    # the sequences that aren't whole: their cost so far and the room that is left
+    so_far, left = np.zeros(len(room) - seq), np.array(room[seq:], np.int64)
     for n, doc in sorted(rests, key=lambda x: (-x[0], x[1])):
-        start, aside = lengths[doc] - n, []
-        while agenda and room[agenda[0][1]] - filled[agenda[0][1]] < n:
-            aside.append(heapq.heappop(agenda))
-            if len(aside) == 64:
-                break
-        if agenda and room[agenda[0][1]] - filled[agenda[0][1]] >= n:
-            s = heapq.heappop(agenda)[1]
-            put(doc, start, n, s)
-            if filled[s] < room[s]:
-                heapq.heappush(agenda, (cost[s], s))
-            for x in aside:
-                heapq.heappush(agenda, x)
-            continue
-        # none of the cheapest has room: cut at the roomiest of them, again and again
+        start = lengths[doc] - n
         while n:
-            roomiest = max(range(len(aside)), key=lambda k: (room[aside[k][1]] - filled[aside[k][1]], -k)) if aside else -1
-            s = aside.pop(roomiest)[1] if aside else heapq.heappop(agenda)[1]
-            take = min(n, room[s] - filled[s])
-            put(doc, start, take, s)
+            k = int(np.where(left >= n, so_far, np.inf).argmin())
+            if left[k] < n:  # none has room
+                k = int(np.where(left == left.max(), so_far, np.inf).argmin())
+            take = min(n, int(left[k]))
+            put(doc, start, take, seq + k)
+            so_far[k], left[k] = cost[seq + k], left[k] - take
             start, n = start + take, n - take
-            if filled[s] < room[s]:
-                aside.append((cost[s], s))
-        for x in aside:
-            heapq.heappush(agenda, x)
     return pieces
 
 

@@ -130,3 +130,21 @@ def test_token_counts(spark):
         assert token_counts.truncated_total(sums, limit).first().tokens == sum(min(x, limit) for x in lengths)
     assert token_counts.quantile(sums, 0.5).first().length == lengths[(len(lengths) - 1) // 2]
     assert token_counts.with_suffix_sums(token_counts.length_histogram(odd.empty(spark), BYTE_BPE)).count() == 0
+
+
+def test_pack_cuts_only_what_no_sequence_holds():
+    rng = np.random.default_rng(4)
+    for draw in (lambda: rng.lognormal(6, 1), lambda: rng.lognormal(6.5, 0.8), lambda: rng.uniform(1, 2047)):
+        lengths = []
+        while sum(lengths) < 500_000:
+            lengths.append(max(1, int(draw())))
+        left, cost = packing.room_for(sum(lengths), 2048), defaultdict(float)
+        for doc, start, n, s, _ in packing.pack(lengths, 2048):
+            want = lengths[doc] - start  # what was left of the document
+            if n < 2048:
+                fits = [k for k, x in enumerate(left) if x >= want]
+                assert n == want if fits else n == max(left)
+                assert not fits or s == min(fits, key=lambda k: (cost[k], k))
+            left[s] -= n
+            cost[s] += n + n * n / 2048
+        assert not any(left)
