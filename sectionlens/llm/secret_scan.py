@@ -47,8 +47,12 @@ BASE = (
     # a match of [0-9a-f]+ is a whole run, so those of 24 or more are the matches of:
     Rule("hex", r"[0-9a-f]{24,}", 24),
 )
+#: A whole PEM key: up to the END line or, if that is missing, over the base64 that follows.  Classes are
+#: repeated rather than groups, whose unbounded repeats would recurse in Java.
+_PEM_END = r"[^-]*(?:-{1,4}[^-]+){0,200}-----END [A-Z ]{0,40}PRIVATE KEY-----"
+_PEM_CUT = r"[A-Za-z0-9+/=\x09\x0A\x0D\x20\x5C]*[A-Za-z0-9+/=]{24}(?:[\x09\x0D\x20]*\x0A[\x09\x20]*[A-Za-z0-9+/]{1,23}={0,2}[\x09\x0D\x20]*(?:\x0A|$))?"
 ADDED = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:{_PEM_END}|{_PEM_CUT})?"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("google", r"AIza[0-9A-Za-z_-]+", 39),
