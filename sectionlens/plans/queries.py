@@ -546,7 +546,7 @@ def strategy_rr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_significance(spark, sf_dir):
-    return significance.significance(strategy_rr(spark, sf_dir), "graph", 2000)
+    return significance.significance(strategy_rr(spark, sf_dir), "graph")
 
 
 @query("""SELECT source AS competitor, p AS p_value, round(max(least(p * (n - k + 1), 1)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING), 9) AS adjusted_p_value FROM (

@@ -329,3 +329,22 @@ def test_strategies_end_to_end(spark, strategy):
     terms = spark.createDataFrame([(f"topic{d}", f"D{d}") for d in range(6)], "term string, concept_id string")
     row = evaluation.evaluate(paras, questions, strategy, embedding.HashingEmbedder(256), embedding.HashingTokenEncoder(256), terms).first()
     assert row.strategy == strategy.name and row.n_questions == 6 and row.n_found == 6 and row.MRR > 0.2
+
+
+def test_bootstrap_query_draws_as_many_as_the_reference(monkeypatch):
+    from inspect import signature
+
+    from sectionlens.plans import queries
+
+    seen = []
+    form = signature(significance.significance)
+
+    def record(*args, **named):
+        bound = form.bind(*args, **named)
+        bound.apply_defaults()
+        seen.append(bound.arguments["n_bootstrap"])
+
+    monkeypatch.setattr(queries.significance, "significance", record)
+    monkeypatch.setattr(queries, "strategy_rr", lambda spark, sf_dir: None)
+    queries.bootstrap_significance(None, "")
+    assert seen == [10_000]
