@@ -6,8 +6,9 @@ MinHash signatures are cut into bands; texts that agree in a band meet in its bu
 1. The texts are written once to the shared folder; each file is a *part*.  One pass gives
    each document's class (a 128-bit digest of its n-gram set: texts of one class have
    Jaccard 1) and band hashes.  All that follows handles classes, so copies cost one row.
-2. Band hashes are shuffled.  A bucket of m classes yields m - 1 edges to its least class,
-   never its pairs.  The components of these edges hold every candidate pair.
+2. Band hashes are shuffled.  A bucket's head is its least class.  A class is joined to the
+   least of its buckets' heads, and so is each of these heads: about one edge a class, never
+   a bucket's pairs.  The components of these edges hold every candidate pair.
 3. Each component's full n-gram sets, read by the parts again, meet in one task, or in
    tiles of ``TILE`` classes a side if it is larger, and all pairs in it are verified
    exactly, by counting common n-grams.  A task reports for each class how many documents
@@ -180,21 +181,41 @@ def _blocks(file: str) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]
 def connected(edges: DataFrame, folder: str) -> DataFrame:
     """(node, label): the least node of each node's component.  ``edges``: (a, b), any order.
 
-    Each round takes the least label of the neighbours, then the label's own label.  Rounds
-    are written tables; what the driver sees of one is how many labels changed.
+    Each round hooks every node to its least neighbour, shortens these chains, and puts labels
+    in the place of the edges' ends; loops and repeats go, and so does every component that is
+    settled.  Of the nodes left, each hooks in this round or the next, so their number halves
+    in two rounds at most and the rounds end by themselves.  Rounds are written tables; what
+    the driver sees of one is whether edges are left.
     """
-    both = written(edges.union(edges.select("b", "a")).where("a <> b").distinct(), f"{folder}/edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), f"{folder}/round-0")
-    for turn in range(1, 64):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        of = labels.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        jumped = hooked.join(of, hooked["label"] == of["at"], "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label"))
-        done = written(jumped, f"{folder}/round-{turn}")
-        labels = done.select("node", "label")
-        if done.where("old <> label").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    left = written(edges.where("a <> b").distinct(), f"{folder}/edges-0")
+    labels = written(_hooked(left, f"{folder}/hooks-0"), f"{folder}/labels-0")
+    rounds = [labels]
+    while True:
+        turn = len(rounds)
+        of_a, of_b = (labels.select(F.col("node").alias(f"_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
+        moved = left.join(of_a, left["a"] == of_a["_a"]).join(of_b, F.col("b") == of_b["_b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+        # a label that isn't its own label yet stays joined to it
+        chains = labels.join(of_a, labels["label"] == of_a["_a"]).select(F.col("label").alias("a"), F.col("label_a").alias("b"))
+        left = written(moved.union(chains).where("a <> b").distinct(), f"{folder}/edges-{turn}")
+        if left.isEmpty():
+            break
+        labels = written(_hooked(left, f"{folder}/hooks-{turn}"), f"{folder}/labels-{turn}")
+        rounds.append(labels)
+    out = rounds[0]
+    for later in rounds[1:]:
+        of = later.select(F.col("node").alias("_at"), F.col("label").alias("_next"))
+        out = out.join(of, out["label"] == of["_at"], "left").select("node", F.coalesce("_next", "label").alias("label"))
+    return out
+
+
+def _hooked(edges: DataFrame, folder: str) -> DataFrame:
+    """(node, label): each node's least neighbour (itself, if that is less), followed four times."""
+    ends = edges.union(edges.select("b", "a"))
+    label = written(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), folder)
+    for _ in range(2):
+        of = label.select(F.col("node").alias("_at"), F.col("label").alias("_next"))
+        label = label.join(of, label["label"] == of["_at"]).select("node", F.col("_next").alias("label"))
+    return label
 
 
 def _packed(rows: list[tuple[int, tuple]]) -> pa.RecordBatch:
@@ -344,8 +365,10 @@ def _grouped(docs: DataFrame, recall: float, carry: tuple[str, ...] = ()) -> _Gr
     of_class = signed.where("cls is not null").groupBy("cls").agg(F.count("*").alias("n_copies"), first, F.first("bands").alias("bands"))
     classes = written(of_class, f"{folder}/classes")
     keyed = classes.select("cls", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("cls").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    stars = keyed.join(buckets, "key").where("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b")).distinct()
+    buckets = keyed.groupBy("key").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
+    # a class reaches its buckets' heads through the least of them: about one edge a class
+    met = keyed.join(buckets, "key").groupBy("cls").agg(F.min("head").alias("b"), F.collect_set("head").alias("heads"))
+    stars = met.select(F.col("cls").alias("a"), "b").union(met.select(F.explode("heads").alias("a"), "b"))
     comps = connected(stars, f"{folder}/candidates")
     tiles = comps.groupBy("label").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n_tiles"))
     tile = F.pmod(F.hash("cls"), F.col("n_tiles"))
