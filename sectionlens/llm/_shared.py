@@ -9,17 +9,28 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests on one machine.
+#: Used only on one machine whose session names no spark.checkpoint.dir, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder, under the one that all executors share, for one run of an operator."""
+    """A new folder, under the one that all executors share, for one run of an operator.
+
+    It goes when the driver's JVM ends, since results may read it until then.  On a cluster
+    a session without ``spark.checkpoint.dir`` is an error: no other folder is surely shared.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = LOCAL_CHECKPOINTS
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return folder
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -26,11 +26,11 @@ What moves is packed: one row for each sender and receiver, so Spark handles few
 Parts read their file from the shared folder and never move texts.  A part's repeats of one
 suffix count once before anything is sent, which flattens groups of copies.  The anchors at
 the ends of a passage have surroundings that differ at each occurrence, and all would meet
-in one range.  If an anchor has more than ``hot_anchor`` occurrences, its windows are dealt
-out one by one by their own 128-bit digests instead: those inside the passage are one row a
-part, those that reach beyond it are spread evenly.
+in one range.  An anchor that outweighs its range (see ``HOT_SHARE``: a share of what is there,
+not a size) has its windows dealt out one by one by their own 128-bit digests instead: those
+inside the passage are one row a part, those that reach beyond it are spread evenly.
 
-Defined cases: a null text is empty; null ids count as larger than all others; rows with
+Defined cases: a null text is empty; null ids come last, like the greatest long; rows with
 equal ids are separate documents in the order of their files; texts under ``length`` bytes
 lose nothing; an empty table gives an empty result; other columns aren't read unless
 ``carry`` names them: they come back in one struct, ``carried``, whatever their names.
@@ -57,8 +57,10 @@ LENGTH, GRAM = 100, 32
 BLOCK, ROWS = 1 << 20, 512
 #: Splitters are drawn from so many leading words for each range.
 SAMPLES_A_RANGE = 64
-#: Occurrences of one anchor from which on its windows are dealt out by their own content.
-HOT_ANCHOR = 100_000
+#: An anchor whose occurrences are more than this times the rows (of any repeated anchor, one
+#: for each part) that the task which counts it holds would weigh down its range: its windows
+#: are dealt out by their own content.
+HOT_SHARE = 1.0
 _LAST_ID = np.iinfo(np.int64).max
 _RNG = np.random.default_rng(20_240_229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -123,37 +125,56 @@ def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows of 64-bit words, and the depth (in words) at which each row first differs
     from the one before it (the number of words if it doesn't).
 
-    Multikey quicksort, a level at a time: rows that a word tells apart are done; only those
-    that tie go on to the next word.
+    Multikey quicksort, all groups of tied rows at once: a group is parted at a pivot, the
+    median of three of its words, into less, equal and greater; the equal go on to the next
+    word, the others stay at theirs; groups of one row, or out of words, are done.
     """
     n, m = words.shape
     order, depth = np.arange(n), np.zeros(n, np.int64)
-    if n < 2:
-        return order, depth
-    active = np.arange(n)  # slots of the order that still tie with a neighbour
-    group = np.zeros(n, np.int64)
-    for level in range(m):
-        key = words[order[active], level]
-        by = np.lexsort((key, group))
-        order[active] = order[active][by]
-        key = key[by]
-        starts = np.append(True, (group[1:] != group[:-1]))
-        fresh = starts | np.append(True, key[1:] != key[:-1])
-        depth[active[fresh & ~starts]] = level
-        depth[active[~fresh]] = level + 1
-        number = np.cumsum(fresh)
-        tied = np.bincount(number)[number] > 1
-        active, group = active[tied], number[tied]
-        if not len(active):
-            break
+    slot = np.arange(n if n > 1 else 0)  # of rows that still tie with others
+    begins = np.append(True, np.zeros(max(0, len(slot) - 1), bool))[: len(slot)]
+    level = np.zeros(len(slot), np.int64)
+    while len(slot):
+        key = words[order[slot], level]
+        first = np.flatnonzero(begins)
+        size = np.diff(np.append(first, len(slot)))
+        a, b, c = key[first], key[first + size // 2], key[first + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+        kind = (key >= pivot).astype(np.int8) + (key > pivot)
+        # places: within its group a row follows the rows of lesser kinds, in order
+        to = np.repeat(first, size) - 1
+        part = np.zeros((3, len(first)), np.int64)
+        for k in range(3):
+            count = np.cumsum(kind == k)
+            before = np.append(0, count)[first]
+            part[k] = np.append(count[first[1:] - 1], count[-1]) - before
+            of = np.flatnonzero(kind == k)
+            to[of] += (count - np.repeat(before - part[:k].sum(axis=0), size))[of]
+        moved = order[slot]
+        order[slot[to]] = moved
+        # of each part: where it begins, how long it is, and its word
+        begin = first[None, :] + np.cumsum(part, axis=0) - part
+        some = part.T.ravel() > 0
+        begin, length = begin.T.ravel()[some], part.T.ravel()[some]
+        word = np.stack([level[first], level[first] + 1, level[first]], axis=1).ravel()[some]
+        inner = ~begins[begin]
+        depth[slot[begin[inner]]] = level[begin[inner]]
+        ended = word == m
+        if ended.any():  # rows equal in all words
+            equal = np.repeat(ended, length)
+            equal[begin] = False
+            depth[slot[equal]] = m
+        on = np.repeat((length > 1) & ~ended, length)
+        begins = np.zeros(len(slot), bool)
+        begins[begin] = True
+        slot, begins, level = slot[on], begins[on], np.repeat(word, length)[on]
     return order, depth
 
 
-def _leading_words(data: np.ndarray, place: np.ndarray, gram: int) -> np.ndarray:
-    """The anchor's first 8 bytes (all, if it has fewer) as big-endian numbers."""
-    rows = np.zeros((len(place), 8), np.uint8)
-    rows[:, : min(8, gram)] = data[place[:, None] + np.arange(min(8, gram))]
-    return rows.view(">u8").ravel().astype(np.uint64)
+def _anchor_bytes(data: np.ndarray, place: np.ndarray, gram: int) -> np.ndarray:
+    """The anchors at these places as byte strings of one width."""
+    rows = np.ascontiguousarray(data[place[:, None] + np.arange(gram)]).reshape(len(place), gram)
+    return rows.view(f"S{gram}").ravel()
 
 
 class _Part:
@@ -162,18 +183,18 @@ class _Part:
     def __init__(self, file: str):
         self.file = pq.ParquetFile(open_random(file))
 
-    def carrying(self, carried: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.Array | None]]:
+    def carrying(self, carried: bool = True) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, pa.Array | None]]:
         """(number of the first row, ids, bytes, starts, carried columns)"""
         row = 0
         for batch in self.file.iter_batches(batch_size=ROWS, columns=["doc_id", "text", *["carried"] * carried]):
-            ids = batch.column(0).fill_null(_LAST_ID).to_numpy(zero_copy_only=False)
             for i, j, data, starts in text_blocks(batch.column(1), BLOCK):
-                yield row + i, ids[i:j], data, starts, batch.column(2).slice(i, j - i) if carried else None
+                yield row + i, batch.column(0).slice(i, j - i), data, starts, batch.column(2).slice(i, j - i) if carried else None
             row += len(batch)
 
     def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(number of the first row, ids, bytes, starts)"""
-        return (x[:4] for x in self.carrying(False))
+        """(number of the first row, ids to order by, bytes, starts)"""
+        for row, ids, data, starts, _ in self.carrying(False):
+            yield row, ids.fill_null(_LAST_ID).to_numpy(zero_copy_only=False), data, starts
 
 
 def _packed(rows: list[tuple[int, int, tuple]]) -> pa.RecordBatch:
@@ -308,7 +329,7 @@ def _many(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), times[at].astype(np.int64)
 
 
-def _return_repeated(most: int):
+def _return_repeated(hot_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for to, rows in _received(batches).items():
             values = np.concatenate([x[0] for _, x in rows])
@@ -322,7 +343,7 @@ def _return_repeated(most: int):
             starts = np.flatnonzero(np.append(True, np.diff(values) != 0)[: len(values)])
             total = np.repeat(np.add.reduceat(counts, starts), np.diff(np.append(starts, len(values)))) if len(values) else counts
             own = np.flatnonzero(total > 1)
-            values, owner, hot = values[own], owner[own], total[own] > most
+            values, owner, hot = values[own], owner[own], total[own] > hot_share * len(own)
             yield _packed([(k, to, (values[r], hot[r])) for k, r in _by_receiver(owner)])
 
     return run
@@ -354,7 +375,7 @@ def _sample_words(length: int, gram: int, most: int):
                     place = anchors(data, starts, length, gram)[0]
                     if len(place):
                         place = place[:: max(1, len(place) // most)][:most]
-                        yield pa.record_batch([pa.array(_leading_words(data, place, gram).view(np.int64))], names=["word"])
+                        yield pa.record_batch([pa.array(_anchor_bytes(data, place, gram).tolist(), pa.binary())], names=["word"])
                         break
 
     return run
@@ -395,7 +416,7 @@ def _send_suffixes(files: list[str], splitters: np.ndarray, n_to: int, length: i
                 place, first, last = place[own], first[own], last[own]
                 doc = np.searchsorted(starts, place, "right") - 1
                 lens = last - first + length
-                word = _leading_words(data, place, gram)
+                word = _anchor_bytes(data, place, gram)
                 held.append((word, ids[doc], row + doc, place - starts[doc], place - last, place - first, lens, data[_ragged(first, lens)]))
             if single:
                 yield _packed(_single_windows(part, single, n_to, length))
@@ -502,7 +523,7 @@ def _cut(files: list[str], with_text: bool, with_carried: bool):
                     whole = b"".join([*kept, text[at:]])
                     for c, v in zip(out, (len(text), len(text) - len(whole), len(merged), hashlib.sha256(whole).hexdigest(), whole, [x for m in merged for x in m])):
                         c.append(v)
-                columns = [pa.array(ids, pa.int64(), mask=ids == _LAST_ID), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3])]
+                columns = [ids, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3])]
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 if with_text:
                     texts = [x.decode("utf-8", "ignore") for x in out[4]]
@@ -516,7 +537,7 @@ def _cut(files: list[str], with_text: bool, with_carried: bool):
     return run
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, carry: tuple[str, ...] = (), hot_anchor: int = HOT_ANCHOR) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, carry: tuple[str, ...] = (), hot_share: float = HOT_SHARE) -> DataFrame:
     """One row for each document: what is removed and the digest of the rest (``RESULT``);
     ``with_text`` adds the kept bytes, the text of them (without what is left of characters
     that were cut through) and the removed spans (starts and ends in turn)."""
@@ -528,10 +549,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
     n_parts, n_to = max(1, len(files)), shuffle_partitions(spark)
     parts = spark.createDataFrame(list(enumerate(files)), "part int, file string").repartitionById(n_parts, "part")
     most = max(1, SAMPLES_A_RANGE * n_to // n_parts)
-    words = np.sort(np.array([r.word for r in parts.mapInArrow(_sample_words(length, gram, most), "word long").collect()], np.int64).view(np.uint64))
+    words = np.sort(np.array([r.word for r in parts.mapInArrow(_sample_words(length, gram, most), "word binary").collect()], f"S{gram}"))
     splitters = np.unique(words[np.linspace(0, len(words) - 1, n_to + 1).astype(int)[1:-1]]) if len(words) else words
     asked = parts.mapInArrow(_send_hashes(length, gram, n_to), _PACK).repartitionById(n_to, "to")
-    repeated = asked.mapInArrow(_return_repeated(hot_anchor), _PACK).repartitionById(n_parts, "to")
+    repeated = asked.mapInArrow(_return_repeated(hot_share), _PACK).repartitionById(n_parts, "to")
     suffixes = repeated.mapInArrow(_send_suffixes(files, splitters, n_to, length, gram), _PACK).repartitionById(n_to, "to")
     spans = suffixes.mapInArrow(_compare(length, gram), _PACK)
     asks = parts.select(F.col("part").alias("to"), F.lit(0).alias("sender"), F.lit(None).cast("binary").alias("payload"))

@@ -34,7 +34,7 @@ def ordered(df):
     return sorted(((r.doc_id, r.text) for r in rows), key=lambda r: (r[0] is None, r[0] or 0))
 
 
-@pytest.mark.parametrize("hot", [0, 25, 100_000])
+@pytest.mark.parametrize("hot", [0, 0.05, 1.0, 1e9])
 @pytest.mark.parametrize(("length", "gram"), [(12, 5), (20, 8), (100, 32)])
 def test_equals_brute_force(spark, length, gram, hot):
     rng = random.Random(length)
@@ -45,7 +45,7 @@ def test_equals_brute_force(spark, length, gram, hot):
         texts.append("".join(parts))
     texts += [texts[5], texts[7], "aaaa" * length, "ab" * (3 * length), None, "", "x" * (length - 1), "x" * length, "x" * (length + 1)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    got = sorted((tuple(r) for r in S.dedup(df, length, gram, hot_anchor=hot).collect()), key=str)
+    got = sorted((tuple(r) for r in S.dedup(df, length, gram, hot_share=hot).collect()), key=str)
     assert got == brute(ordered(df), length)
 
 
@@ -64,12 +64,15 @@ def test_documents_and_odd_rows(spark):
     got = S.dedup(strange).collect()
     assert sum(r.n_bytes for r in got) == sum(len((r.text or "").encode()) for r in strange.collect()) and len(got) == strange.count()
     assert sum(r.doc_id is None for r in got) == 1
+    far = [2**63 - 1, -(2**63), None, 9007199254740993, 2**63 - 1]
+    ends = spark.createDataFrame([(d, f"{k % 3} " * 80) for k, d in enumerate(far)], "doc_id long, text string").coalesce(1)
+    assert sorted((tuple(r) for r in S.dedup(ends).collect()), key=str) == brute(ordered(ends), 100)
     assert S.dedup(odd.empty(spark)).count() == 0
 
 
 def test_multikey_order():
     rng = np.random.default_rng(0)
-    for n, top in ((0, 2), (1, 2), (50, 2), (400, 3), (300, 1 << 60)):
+    for n, top in ((0, 2), (1, 2), (2, 1), (50, 2), (400, 3), (300, 1 << 60), (5000, 2), (3000, 1)):
         words = rng.integers(0, top, (n, 5), dtype=np.uint64)
         order, depth = S.multikey_order(words)
         rows = [tuple(x) for x in words[order].tolist()]
