@@ -4,8 +4,10 @@ Encoding a corpus word by word repeats most of its work, since most words repeat
 ``BlockEncoder`` cuts a block of UTF-8 texts at white space where the vocabulary's own
 pre-tokenizer must cut as well, finds the distinct pieces with Arrow, has the tokenizers
 library encode each distinct piece once, and gathers the ids of the whole block with numpy.
-The ids equal those of ``Tokenizer.encode(text, add_special_tokens=False)`` with
-``encode_special_tokens`` on (tests hold this).
+The ids equal those of ``Tokenizer.encode(text, add_special_tokens=False)`` (tests hold
+this): strings of special tokens become those tokens, and the texts around them are encoded
+apart.  Vocabularies whose normalizer or pre-tokenizer isn't one of the two known kinds are
+refused, since the cuts wouldn't be known to be theirs.
 """
 
 from __future__ import annotations
@@ -35,6 +37,14 @@ _WIDE_SPACE = [
     b"\xe2\x81\x9f", b"\xe3\x80\x80",
 ]
 
+#: Normalizers and pre-tokenizers whose cuts are known (fixed values of the vocabulary files).
+_BYTE_LEVEL = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_LEVEL = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORD_SPLIT}, "behavior": "Removed", "invert": True}, {**_BYTE_LEVEL[1], "use_regex": False}]},
+)
+
 
 def _values(column: pa.Array) -> list[bytes]:
     raw = column.buffers()
@@ -47,9 +57,11 @@ class BlockEncoder:
     """Encodes blocks of texts with one vocabulary file.
 
     ``keeps_space`` tells whether the vocabulary encodes white space (byte-level BPE) or
-    drops it (word BPE); it is read from the file's pre-tokenizer.
+    drops it (word BPE); it is read from the file's pre-tokenizer.  ``specials`` are the
+    strings that become a token of their own, with their ids.
     """
 
+    specials: tuple[tuple[bytes, int], ...] = ()
     _made: dict[str, BlockEncoder] = {}
 
     @classmethod
@@ -67,10 +79,15 @@ class BlockEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.keeps_space = spec["normalizer"] is None
+        kind = spec["normalizer"], spec["pre_tokenizer"]
+        if kind not in (_BYTE_LEVEL, _WORD_LEVEL):
+            raise ValueError(f"{path}: a normalizer or pre-tokenizer whose cuts aren't known")
+        if any(x[k] for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: an added token that takes in its surroundings")
+        self.keeps_space = kind == _BYTE_LEVEL
+        self.specials = tuple((x["content"].encode(), x["id"]) for x in spec["added_tokens"])
         self.vocab_size = self.tokenizer.get_vocab_size()
         self._reset()
 
@@ -161,6 +178,8 @@ class BlockEncoder:
         """
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(starts) - 1, np.int64)
+        if found := self._found_specials(data, starts):
+            return self._encode_around(found, data, starts)
         solid, offsets, first_piece = self._pieces(data, starts)
         n = len(offsets) - 1
         pieces = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(solid))])
@@ -171,11 +190,44 @@ class BlockEncoder:
             self._reset()
         return ids, np.diff(bounds)
 
+    def _found_specials(self, data: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, end, id) of each special string that lies in one text, by start."""
+        if not self.specials:
+            return []
+        whole, found = data.tobytes(), []
+        for string, number in self.specials:
+            at = whole.find(string)
+            while at >= 0:
+                if starts[np.searchsorted(starts, at, "right")] >= at + len(string):
+                    found.append((at, at + len(string), number))
+                at = whole.find(string, at + 1)
+        return sorted(found)
+
+    def _encode_around(self, found: list[tuple[int, int, int]], data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes what stands around special strings as texts of their own, and puts their ids between."""
+        begin, end, number = (np.array(x, np.int64) for x in zip(*found))
+        left = np.ones(len(data), bool)
+        left[_ragged(begin, end - begin)] = False
+        before = np.append(0, np.cumsum(left))
+        # a text of k special strings is k + 1 texts
+        doc = np.searchsorted(starts, begin, "right") - 1
+        cuts = np.insert(before[starts], doc + 1, before[end])
+        ids, lens = self.encode(data[left], cuts)
+        first = np.arange(len(starts)) + np.searchsorted(doc, np.arange(len(starts)))
+        ends = np.append(0, np.cumsum(lens))
+        out = np.insert(ids, ends[np.arange(len(doc)) + doc + 1], number.astype(np.uint32))
+        return out, np.diff(ends[first]) + np.bincount(doc, minlength=len(starts) - 1)
+
+
+def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Indices of runs of ``lens`` from ``starts`` on, end to end."""
+    ends = np.cumsum(lens)
+    return np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)
+
 
 def gathered(flat: np.ndarray, off: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The runs of ``flat`` that begin at ``off``, end to end."""
-    ends = np.cumsum(lens)
-    return flat[np.repeat(off - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
+    return flat[_ragged(off, lens)]
 
 
 def text_blocks(column: pa.Array | pa.ChunkedArray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

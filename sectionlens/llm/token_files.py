@@ -6,14 +6,14 @@ Each row of a file is one sequence: ``input_ids``, a fixed-size list of ``seq_le
 and ``mask``, as many booleans.  Only a file's last sequence is padded.  ``TokenFile``
 memory-maps such a file and hands out any sequence or any range of ids without a copy.
 
-Method: the documents are range-partitioned by id (one shuffle of the texts) and sorted in
-each partition; each task encodes its partition block by block and writes one file and one
+Method: the documents are range-partitioned by id, hash of the text and place in the input
+(one shuffle of the texts; a third of all rows may share an id) and sorted in each partition; each task encodes its partition block by block and writes one file and one
 index of its documents.  A task names its files afresh at each attempt and the manifest, a
 written table of one row per file, holds the names of the attempts that succeeded, so lost
 executors and repeated attempts leave no wrong file behind.  Readers get one file per task.
 
 Defined cases: a null text is empty (its document has the end id alone); null ids come
-first; rows with equal ids are kept, in the order of their texts; an empty table gives an
+first; rows with equal ids are kept, in the order of their texts' hashes; an empty table gives an
 empty manifest; other columns of the input are not read, so their names can't clash.
 """
 
@@ -141,8 +141,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
             row = [[part], [f"{name}.arrow"], [f"{name}.docs.arrow"], [n_docs], [out.n_ids], [out.n_sequences]]
             yield pa.record_batch([pa.array(x, k) for x, k in zip(row, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["part", "file", "index_file", "n_docs", "n_ids", "n_sequences"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    ordered = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # rows of one id (or of none) are told apart, so that no range has to take them all
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    order = [F.col("doc_id").asc_nulls_first(), "_hash", "_row"]
+    ordered = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     return written(ordered.mapInArrow(write, MANIFEST), f"{folder}/manifest")
 
 

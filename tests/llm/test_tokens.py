@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -6,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from public_tokenizers import path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sectionlens.llm import packing, token_counts, token_files
@@ -18,7 +20,6 @@ from . import odd
 
 def encode(name, texts):
     t = Tokenizer.from_file(name)
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
 
 
@@ -31,6 +32,8 @@ def test_blocks_equal_the_library(name):
     rng = random.Random(3)
     letters = list("ab1.,('s \n\t éÀ÷日　\x85 ̈TK≮")
     texts = odd.TEXTS + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    parts = [*letters, "<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "<|", "hello"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
     coder, at = BlockEncoder(path(name)), 0
     expected = encode(path(name), texts)
     for i, j, data, starts in text_blocks(pa.array(texts), 2000):
@@ -42,13 +45,21 @@ def test_blocks_equal_the_library(name):
     assert at == len(texts)
 
 
+def test_unknown_vocabularies_are_refused(tmp_path):
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        spec = json.loads(open(BYTE_BPE, encoding="utf-8").read()) | change
+        (tmp_path / "other.json").write_text(json.dumps(spec))
+        with pytest.raises(ValueError, match="aren't known"):
+            BlockEncoder(str(tmp_path / "other.json"))
+
+
 def test_token_files_read_back(spark, tmp_path):
     df = odd.documents(spark)
     manifest = token_files.write_token_files(df, WORD_BPE, f"file://{tmp_path}/out", seq_len=64)
     got = sorted(token_files.read_documents(manifest).collect(), key=lambda r: r.start)
-    rows = sorted(((r.doc_id, r.text) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    rows = sorted(((r.doc_id, r.h, r.text) for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     start = 0
-    for r, (doc_id, ids) in zip(got, zip([x[0] for x in rows], encode(WORD_BPE, [x[1] for x in rows])), strict=True):
+    for r, (doc_id, ids) in zip(got, zip([x[0] for x in rows], encode(WORD_BPE, [x[2] for x in rows])), strict=True):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, start, len(ids), crc(ids))
         start += len(ids)
     for row in manifest.collect():
@@ -62,6 +73,12 @@ def test_token_files_read_back(spark, tmp_path):
     assert token_files.read_documents(token_files.write_token_files(odd.empty(spark), WORD_BPE)).count() == 0
 
 
+def test_rows_without_ids_are_split(spark):
+    df = spark.createDataFrame([(None, "one text for all")] * 2000, "doc_id long, text string").repartition(4)
+    manifest = token_files.write_token_files(df, WORD_BPE).collect()
+    assert sum(r.n_docs for r in manifest) == 2000 and max(r.n_docs for r in manifest) < 1000
+
+
 def check_pieces(pieces, docs, capacity):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for doc, start, n, seq, offset in pieces:
