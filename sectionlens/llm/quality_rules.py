@@ -7,7 +7,8 @@ functions: no shuffle, no user function, whole texts.
 Repeated 3-word windows are counted by sorting: each window becomes one long (part of its
 hash above, its place below), equal neighbours are compared word by word, and the places
 of the windows found twice give the words they cover.  That takes n log n steps however
-often a text repeats itself.
+often a text repeats itself.  If neighbours of one hash have other words, the text's windows
+are sorted by their whole hashes and words instead, so the count is exact in any case.
 
 Defined cases: a null text has no words and fails the base; a text of white space has no
 words; words are runs of characters other than ``\\x20`` and ``\\x09-\\x0D``; repeated rows
@@ -73,27 +74,48 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def n_repeat_words(w: Column) -> Column:
-    """Words in 3-word windows that the word array holds twice or more."""
+def n_repeat_words(w: Column, hash_bits: int = 64 - PLACE_BITS) -> Column:
+    """Words in 3-word windows that the word array holds twice or more; ``hash_bits`` of a window's hash are sorted first."""
     low = (1 << PLACE_BITS) - 1
+    kept = F.lit((1 << hash_bits) - 1)
+
+    def hashed(x: Column, i: Column) -> Column:
+        return F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))
 
     def key(x: Column, i: Column) -> Column:
-        hashed = F.shiftleft(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), PLACE_BITS)
-        return hashed.bitwiseOR(i.cast("long"))
-
-    def covered(s: Column) -> Column:
-        def same(a: Column, b: Column) -> Column:
-            i, j = a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")
-            words_equal = [F.get(w, i + k) == F.get(w, j + k) for k in range(3)]
-            return (F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS)) & words_equal[0] & words_equal[1] & words_equal[2]
-
-        twice = F.filter(s, lambda a, j: F.coalesce(same(a, F.get(s, j - 1)), F.lit(False)) | F.coalesce(same(a, F.get(s, j + 1)), F.lit(False)))
-        places = F.sort_array(F.transform(twice, lambda a: a.bitwiseAND(low)))
-        steps = let(places, lambda p: F.transform(p, lambda a, j: F.least(F.coalesce(F.get(p, j + 1) - a, F.lit(3)), F.lit(3))))
+        part = hashed(x, i) if hash_bits == 64 - PLACE_BITS else hashed(x, i).bitwiseAND(kept)
+        return F.shiftleft(part, PLACE_BITS).bitwiseOR(i.cast("long"))
+
+    def same_hash(a: Column, b: Column) -> Column:
+        return F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS)
+
+    def same_words(a: Column, b: Column) -> Column:
+        i, j = a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")
+        equal = [F.get(w, i + k) == F.get(w, j + k) for k in range(3)]
+        return equal[0] & equal[1] & equal[2]
+
+    def beside(test, s: Column, a: Column, j: Column) -> Column:
+        return F.coalesce(test(a, F.get(s, j - 1)), F.lit(False)) | F.coalesce(test(a, F.get(s, j + 1)), F.lit(False))
+
+    def covered(places: Column) -> Column:
+        steps = let(F.sort_array(places), lambda p: F.transform(p, lambda a, j: F.least(F.coalesce(F.get(p, j + 1) - a, F.lit(3)), F.lit(3))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
 
+    def exactly() -> Column:
+        rows = F.transform(first, lambda x, i: F.struct(hashed(x, i).alias("h"), x.alias("x"), F.get(w, i + 1).alias("y"), F.get(w, i + 2).alias("z"), i.cast("long").alias("place")))
+        equal = lambda a, b: (a["h"] == b["h"]) & (a["x"] == b["x"]) & (a["y"] == b["y"]) & (a["z"] == b["z"])
+        return let(F.sort_array(rows), lambda s: covered(F.transform(F.filter(s, lambda a, j: beside(equal, s, a, j)), lambda a: a["place"])))
+
+    def counted(s: Column) -> Column:
+        return let(F.filter(s, lambda a, j: beside(same_hash, s, a, j)), by_hash)
+
+    def by_hash(twice: Column) -> Column:
+        clash = F.exists(F.transform(twice, lambda a, j: same_hash(a, F.get(twice, j + 1)) & ~same_words(a, F.get(twice, j + 1))), lambda x: x)
+        return F.when(F.coalesce(clash, F.lit(False)), exactly()).otherwise(covered(F.transform(twice, lambda a: a.bitwiseAND(low))))
+
     n = F.size(w)
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(F.sort_array(F.transform(F.slice(w, F.lit(1), n - 2), key)), covered))
+    first = F.slice(w, F.lit(1), n - 2)
+    return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(F.sort_array(F.transform(first, key)), counted))
 
 
 def counts(text: Column) -> Column:

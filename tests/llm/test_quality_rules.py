@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from sectionlens.llm import quality_rules
 from tests.conftest import SMALL
 
@@ -35,6 +37,15 @@ def test_counts_equal_brute_force(spark):
     check(odd.empty(spark))
 
 
+def test_windows_of_one_hash_are_told_apart(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(n)) for n in (3, 4, 40, 300, 700)]
+    df = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    for bits in (0, 1, 5):
+        got = df.select("doc_id", quality_rules.n_repeat_words(quality_rules.words(F.col("text")), bits).alias("n")).collect()
+        assert {r.doc_id: r.n for r in got} == {i: base(t)[4] for i, t in enumerate(texts)}
+
+
 def test_rules_reject_junk_and_keep_prose(spark):
     prose = " ".join(f"the {a}{b} of and {b}{a} in it" for a in "kelm toru".split() for b in "ab cd ef gh ij kl".split())
     junk = {
