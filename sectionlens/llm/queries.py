@@ -102,18 +102,21 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 """
 
 
-#: The tree of one text, as SQL over a column ``t`` of (rid, t): fingerprint, root, leaves.
+#: The tree of one text, as SQL over a column ``t`` of (rid, t): fingerprint, root, counts of leaves, their characters.
+_ENDS = "CASE WHEN p.h < '4' THEN ';' ELSE ',' END"
 _TREE_SQL = rf"""
-  SELECT rid, root || ':' || array_to_string(secs, ';') AS fp, root, leaves FROM (
-    SELECT rid, secs, leaves, md5(array_to_string(list_transform(secs, lambda x: left(x, 12)), '')) AS root FROM (
-      SELECT rid, list_transform(string_split(regexp_replace(array_to_string(list_transform(ps, lambda p: p.h || '=' || array_to_string(p.l, '') || CASE WHEN p.h < '4' THEN ';' ELSE ',' END), ''), '[;,]$', ''), ';'),
-          lambda s: left(md5(regexp_replace(s, '=[^,]*', '', 'g')), 12) || '(' || s || ')') AS secs,
-        list_distinct(flatten(list_transform(ps, lambda p: p.l))) AS leaves FROM (
-        SELECT rid, list_transform(ls, lambda l: {{'h': left(md5(array_to_string(l, '')), 12), 'l': l}}) AS ps FROM (
-          SELECT rid, list_transform(string_split(t, chr(10)), lambda x: list_transform(regexp_extract_all(x, '{merkle.LEAF}'), lambda y: left(md5(y), 8) || lpad(length(y)::VARCHAR, 3, '0'))) AS ls FROM SOURCE))))
+  SELECT rid, root || ':' || array_to_string(list_transform(range(1, len(hs) + 1), lambda i: left(hs[i], 12) || '(' || bodies[i] || ')'), ';') AS fp, root,
+    list_aggregate(leaves, 'histogram') AS counts, coalesce(list_sum(list_transform(leaves, lambda x: right(x, 3)::INT)), 0) AS weight FROM (
+    SELECT rid, hs, bodies, leaves, md5(array_to_string(hs, '')) AS root FROM (
+      SELECT rid, list_transform(string_split(regexp_replace(array_to_string(list_transform(ps, lambda p: p.h || {_ENDS}), ''), '[;,]$', ''), ';'), lambda x: md5(x)) AS hs,
+        string_split(regexp_replace(array_to_string(list_transform(ps, lambda p: left(p.h, 12) || '=' || array_to_string(p.l, '') || {_ENDS}), ''), '[;,]$', ''), ';') AS bodies,
+        flatten(list_transform(ps, lambda p: p.l)) AS leaves FROM (
+        SELECT rid, list_transform(ls, lambda l: {{'h': md5(array_to_string(list_transform(l, lambda y: md5(y)), '')), 'l': list_transform(l, lambda y: left(md5(y), 8) || lpad(length(y)::VARCHAR, 3, '0'))}}) AS ps FROM (
+          SELECT rid, list_transform(string_split(t, chr(10)), lambda x: regexp_extract_all(x, '{merkle.LEAF}')) AS ls FROM SOURCE))))
 """
-_ALIKE_SQL = """CASE WHEN a.root = {0}.root THEN 1.0::DOUBLE ELSE coalesce(2.0::DOUBLE * coalesce(list_sum(list_transform(list_intersect(a.leaves, {0}.leaves), lambda x: right(x, 3)::INT)), 0)
-  / nullif(coalesce(list_sum(list_transform(a.leaves, lambda x: right(x, 3)::INT)), 0) + coalesce(list_sum(list_transform({0}.leaves, lambda x: right(x, 3)::INT)), 0), 0), 0.0) END"""
+_ALIKE_SQL = """CASE WHEN a.root = {0}.root THEN 1.0::DOUBLE ELSE coalesce(least(
+  2.0::DOUBLE * coalesce(list_sum(list_transform(map_keys(a.counts), lambda k: right(k, 3)::BIGINT * least(map_extract(a.counts, k)[1], coalesce(map_extract({0}.counts, k)[1], 0)))), 0) / nullif(a.weight + {0}.weight, 0),
+  (a.weight + {0}.weight)::DOUBLE / (a.weight + {0}.weight + 1)), 0.0) END"""
 OP7_SQL = f"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT d.rid, d.doc_id, d.t, coalesce(x.t, (SELECT t FROM d WHERE rid = 1)) AS nt, coalesce(x.rid, 1) AS nrid FROM d LEFT JOIN d x ON x.rid = d.rid + 1),

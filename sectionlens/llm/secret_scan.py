@@ -7,12 +7,12 @@ trigrams that the rule set's queries name; ``candidates`` intersects postings pe
 and ``scan`` verifies candidates with the expression itself.  Rules without mandatory
 trigrams scan every text.  All of it is built-in functions: no Python touches the rows.
 
-The index only narrows: a document's postings are a superset of what its rows hold, so
-rows with equal or null ids are served by one merged candidate entry and verified apart.
+``scan`` writes the texts once, each with a number of its own.  Postings and candidates go by
+this number, not by ``doc_id``, so rows that share an id (or have none) are spread like others.
 
-Scale: postings are filtered in the scan and partially aggregated per document before the
-one shuffle that joins candidates with the texts by id; no trigram is a shuffle key, so
-frequent trigrams make no hot partition.
+Scale: postings are filtered in the scan and partially aggregated per row before the one
+shuffle that joins candidates with the texts; no trigram is a shuffle key, so frequent
+trigrams make no hot partition.
 
 Defined cases: a null text is empty; spans are code-point offsets, end exclusive, of the
 leftmost non-overlapping matches of each rule; matches that fail a rule's length are
@@ -27,6 +27,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import work_dir, written
 from .quality_rules import let
 
 
@@ -122,15 +123,15 @@ def indexed_rules(rules: tuple[Rule, ...]) -> dict[str, list[list[str]]]:
     return {r.kind: c for r in rules if (c := trigram_clauses(r.pattern)) is not None}
 
 
-def trigram_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Postings (trigram, doc_id) of the trigrams that the rules' queries name."""
+def trigram_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id") -> DataFrame:
+    """Postings (trigram, doc_id) of the trigrams that the rules' queries name; ``key`` names the column of the ids."""
     grams = sorted({g for clauses in indexed_rules(rules).values() for c in clauses for g in c})
 
     def present(text: Column) -> Column:
         return F.array_compact(F.array(*(F.when(text.contains(g), F.lit(g)) for g in grams), F.lit(None).cast("string")))
 
     lowered = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    return docs.select(F.col("doc_id"), F.explode(let(lowered, present)).alias("trigram")).select("trigram", "doc_id")
+    return docs.select(F.col(key).alias("doc_id"), F.explode(let(lowered, present)).alias("trigram")).select("trigram", "doc_id")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -147,7 +148,7 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 _BLOCK = 256
 
 
-def _sums_before(xs: Column) -> Column:
+def sums_before(xs: Column) -> Column:
     """For each number of an array, the sum of those before it."""
 
     def total(x: Column) -> Column:
@@ -171,7 +172,7 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
         lens = F.transform(s["found"], F.char_length)
         # a match starts after all pieces up to its own and all matches before it
         steps = F.zip_with(F.slice(s["pieces"], F.lit(1), F.size(s["found"])), lens, lambda piece, n: F.char_length(piece) + n)
-        ends = F.zip_with(let(steps, _sums_before), steps, lambda a, b: a + b)
+        ends = F.zip_with(let(steps, sums_before), steps, lambda a, b: a + b)
         rows = F.zip_with(F.zip_with(ends, lens, lambda e, n: F.struct((e - n).alias("start"), F.lit(order).alias("order"), e.alias("end"))), s["group"], lambda x, g: F.struct(x.alias("x"), g.alias("g")))
         return F.transform(F.filter(rows, lambda r: F.char_length(r["g"]) >= rule.least), lambda r: r["x"])
 
@@ -197,9 +198,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, n_base: int = len(BAS
     """
     kept = ["doc_id", *(["carried"] if carry else [])]
     indexed = indexed_rules(rules)
-    hits = candidates(trigram_index(docs, rules), rules).select(F.col("doc_id").alias("_id"), F.col("kinds").alias("_kinds"))
-    rows = docs.select("doc_id", "text", *([F.struct(*carry).alias("carried")] if carry else []))
-    rows = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_id"]), "left").withColumn("_text", F.coalesce("text", F.lit("")))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text", *([F.struct(*carry).alias("carried")] if carry else []))
+    rows = written(rows, work_dir(docs.sparkSession, "secret-scan"))
+    hits = candidates(trigram_index(rows, rules, "_row"), rules).select(F.col("doc_id").alias("_hit"), F.col("kinds").alias("_kinds"))
+    rows = rows.join(hits, F.col("_row") == F.col("_hit"), "left").withColumn("_text", F.coalesce("text", F.lit("")))
     none = F.array().cast("array<struct<start:int,order:int,end:int>>")
 
     def spans(rule: Rule, order: int) -> Column:

@@ -62,6 +62,14 @@ def test_candidates_hold_every_match(spark):
             assert not re.search(pattern, r.text or "") or kind in found.get(r.doc_id, ())
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rows = [(None, "token=abcdefgh"), (None, "clean"), (None, None), (7, "AKIA" + "Q" * 16), (7, "clean"), (2**63 - 1, "xoxb-1234567890-abc"), (-(2**63), "")]
+    got = check(spark.createDataFrame(rows * 3, "doc_id long, text string"))
+    assert sum(r.n_assign for r in got) == 3 and sum(r.n_access for r in got) == 3
+    plan = S.scan(spark.createDataFrame(rows, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(_row", plan)
+
+
 def test_redact(spark):
     text = "é token=abcdefgh and AKIA" + "Q" * 16 + " end"
     df = spark.createDataFrame([(1, text), (2, "clean"), (3, None)], "doc_id long, text string")
