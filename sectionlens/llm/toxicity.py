@@ -15,7 +15,8 @@ weights, bounded by ``most_words``) goes to the tasks with the function.
 Words are runs of ASCII letters and of bytes beyond ASCII, in lower case.
 
 Defined cases: a null or empty text has no features and gets the grade of no words; null
-labels and labels without a document are left out of the sample; without a toxic or
+labels and labels without a document are left out of the sample; of documents that share a
+labelled id one, that of least hash, is in the sample; without a toxic or
 without an untoxic example the fit knows one grade, that of its rows; rows with equal ids
 are scored each; an empty table gives an empty result; other columns aren't read.
 """
@@ -30,13 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import work_dir, written
 from ._tokens import text_blocks
+from .ngram_join import _BYTE, _mix, _powers
 
 GRADES = 3
 SCORED = "doc_id long, expected_severity double, grade int, toxic boolean"
-_RNG = np.random.default_rng(20_240_308)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = int(_RNG.integers(1 << 61, 1 << 62, dtype=np.uint64)) | 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
@@ -74,16 +74,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     ends = word.copy()
     ends[:-1] &= ~word[1:] | first[1:n]
     a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    # hashes of words by Horner's rule, a character of every word at a time
-    out, lens = np.zeros(len(a), np.uint64), b - a
-    live = np.arange(len(a))
-    for k in range(int(lens.max(initial=0))):
-        live = live[lens[live] > k]
-        out[live] = out[live] * np.uint64(_BASE) + _BYTE[data[a[live] + k]]
-        if k >= 64:  # no longer word is told from its first 65 bytes
-            break
-    out ^= out >> np.uint64(31)
-    return out * np.uint64(0x9E3779B97F4A7C15), np.searchsorted(starts, a, "right") - 1
+    # hashes of whole words, as differences of prefix sums
+    up, down = _powers(n + 1)
+    total = np.append(np.uint64(0), np.cumsum(_BYTE[data] * up[:n], dtype=np.uint64))
+    return _mix((total[b] - total[a]) * down[a]), np.searchsorted(starts, a, "right") - 1
 
 
 def _distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,55 +91,79 @@ def _distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, data, starts in text_blocks(batch.column(1)):
+        for i, j, data, starts in text_blocks(batch.column(2)):
             hashes, bounds = _distinct(data, starts)
             packed = [hashes[a:b].tobytes() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
-            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary())], names=["grade", "words"])
+            yield pa.record_batch([*(batch.column(k).slice(i, j - i) for k in range(2)), pa.array(packed, pa.binary())], names=["row", "grade", "words"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, float]]:
-    """(grade, text) of at most ``sample`` rows of each class, and the rows that each stands for."""
+    """(row, grade, text) of at most ``sample`` label rows of each class, and the rows that each stands for."""
     toxic = (F.col("toxic") > 0).cast("int")
     known = labels.where("doc_id is not null and toxic is not null")
     known = known.select(F.col("doc_id").alias("_id"), toxic.alias("_toxic"), (toxic * F.when(F.col("quality") <= 0, 2).otherwise(1)).alias("grade"))
     classes = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     picked = [known.where(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id", "grade").limit(sample) for c in (0, 1)]
-    bounded = picked[0].union(picked[1])  # 2 * sample rows at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(bounded), F.col("doc_id") == F.col("_id")).select("grade", "text")
+    bounded = picked[0].union(picked[1]).withColumn("row", F.monotonically_increasing_id())  # 2 * sample rows at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(bounded), F.col("doc_id") == F.col("_id")).select("row", "grade", "text")
     return rows, {c: n / min(n, sample) for c, n in classes.items()}
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of a batch have each word: (word, toxic texts, others)."""
+    for batch in batches:
+        lists = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+        bad = np.repeat(batch.column(0).to_numpy() > 0, [len(x) for x in lists])
+        words, index = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]), return_inverse=True)
+        counts = [np.bincount(index, x, len(words)).astype(np.int64) for x in (bad, ~bad)]
+        yield pa.record_batch([pa.array(words.view(np.int64)), *map(pa.array, counts)], names=["word", "n_bad", "n_good"])
+
+
+def _kept_words(words: np.ndarray):
+    """Which of these (sorted) words each text has, as packed bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for x in batch.column(1).to_pylist():
+                own = np.zeros(len(words), bool)
+                own[np.searchsorted(words, np.intersect1d(words, np.frombuffer(x, np.uint64)))] = True
+                bits.append(np.packbits(own).tobytes())
+            yield pa.record_batch([batch.column(0), pa.array(bits, pa.binary())], names=["grade", "bits"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_words: int = 1000, least_z: float = 5.0, ridge: float = 0.02, steps: int = 400) -> Model:
-    """The model of a bounded sample of labelled documents."""
+    """The model of a bounded sample of labelled documents.
+
+    Words are counted on the executors; the driver gets the ``most_words`` best of them and
+    one bit for each of these and each row of the sample.
+    """
     rows, stands_for = labelled_sample(docs, labels, sample)
-    got = rows.mapInArrow(_features, "grade int, words binary").collect()
-    got.sort(key=lambda r: (r.grade, bytes(r.words)))  # whatever the order of partitions
-    grade = np.array([r.grade for r in got], np.int64)
-    weight = np.array([stands_for[int(g > 0)] for g in grade])
+    found = written(rows.mapInArrow(_features, "row long, grade int, words binary"), work_dir(docs.sparkSession, "toxicity"))
+    # of documents that share a labelled id, one stands for the label
+    one = found.groupBy("row").agg(F.first("grade").alias("grade"), F.min(F.struct(F.xxhash64("words"), "words")).alias("of")).select("grade", F.col("of.words").alias("words"))
+    size = {r["bad"]: r["n"] for r in one.groupBy((F.col("grade") > 0).alias("bad")).agg(F.count("*").alias("n")).collect()}
     none = np.zeros(0, np.uint64)
-    if not len(got) or grade.min() > 0 or grade.max() == 0:
-        only = int(np.bincount(grade).argmax()) if len(got) else 0
-        return Model(none, np.zeros(0), np.where(np.arange(GRADES - 1) < only, -40.0, 40.0))
-    lens = np.array([len(r.words) // 8 for r in got])
-    flat = np.frombuffer(b"".join(bytes(r.words) for r in got), np.uint64)
-    del got
-    doc = np.repeat(np.arange(len(lens)), lens)
-    words, index = np.unique(flat, return_inverse=True)
-    bad = grade > 0
-    with_bad, with_good = np.bincount(index, bad[doc]), np.bincount(index, ~bad[doc])
-    n_bad, n_good = bad.sum(), (~bad).sum()
-    odds = np.log((with_bad + 0.5) / (n_bad - with_bad + 0.5)) - np.log((with_good + 0.5) / (n_good - with_good + 0.5))
-    error = np.sqrt(1 / (with_bad + 0.5) + 1 / (n_bad - with_bad + 0.5) + 1 / (with_good + 0.5) + 1 / (n_good - with_good + 0.5))
-    z = np.abs(odds) / error
+    if len(size) < 2:
+        only = {r["grade"]: r["n"] for r in one.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+        most = max(sorted(only), key=only.get, default=0)
+        return Model(none, np.zeros(0), np.where(np.arange(GRADES - 1) < most, -40.0, 40.0))
+    counts = one.mapInArrow(_word_counts, "word long, n_bad long, n_good long").groupBy("word").agg(F.sum("n_bad").alias("n_bad"), F.sum("n_good").alias("n_good"))
+    cells = [x + F.lit(0.5) for c, b in (("n_bad", True), ("n_good", False)) for x in (F.col(c), F.lit(size[b]) - F.col(c))]
+    odds = F.log(cells[0] / cells[1]) - F.log(cells[2] / cells[3])
+    rated = counts.select("word", F.abs(odds / F.sqrt(sum((1 / c for c in cells[1:]), 1 / cells[0]))).alias("z"))
+    best = rated.orderBy(F.desc("z"), "word").limit(most_words).collect()
     # small samples reach less: the best words of theirs still count
-    keep = np.flatnonzero(z >= min(least_z, max(2.0, 0.6 * z.max())))
-    keep = np.sort(keep[np.argsort(-z[keep], kind="stable")[:most_words]])
-    column = np.full(len(words), -1)
-    column[keep] = np.arange(len(keep))
-    has = column[index] >= 0
-    x = np.zeros((len(grade), len(keep)), np.float32)
-    x[doc[has], column[index[has]]] = 1
-    return Model(words[keep], *_fit(x, grade, weight / weight.sum(), ridge, steps))
+    least = min(least_z, max(2.0, 0.6 * best[0]["z"])) if best else 0.0
+    words = np.sort(np.array([r["word"] for r in best if r["z"] >= least], np.int64).view(np.uint64))
+    got = one.mapInArrow(_kept_words(words), "grade int, bits binary").collect()  # a row a label, most_words bits each
+    got.sort(key=lambda r: (r["grade"], bytes(r["bits"])))  # whatever the order of partitions
+    grade = np.array([r["grade"] for r in got], np.int64)
+    weight = np.array([stands_for[int(g > 0)] for g in grade])
+    x = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in got), np.uint8).reshape(len(got), -1), axis=1)[:, : len(words)].astype(np.float32)
+    return Model(words, *_fit(x, grade, weight / weight.sum(), ridge, steps))
 
 
 def _fit(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 import pytest
 
@@ -41,6 +44,43 @@ def test_odd_rows_and_one_class(spark, toxic):
     assert T.score_documents(odd.empty(spark), T.fit(odd.empty(spark), labels)).count() == 0
 
 
+def test_long_words_are_told_apart():
+    same = "日" * 40
+    data = f"{same}a {same}b {same}a".encode()
+    hashes, _ = T.word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert hashes[0] == hashes[2] != hashes[1]
+
+
+def test_scores_equal_a_plain_computation(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = T.fit(docs, labels)
+    weight = dict(zip(model.words.tolist(), model.weights))
+
+    def one(word):
+        return int(T.word_hashes(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))[0][0])
+
+    rows = docs.where("doc_id % 9 = 0").collect()
+    got = {r.doc_id: r for r in T.score_documents(docs.where("doc_id % 9 = 0"), model).collect()}
+    for r in rows:
+        found = {one(w) for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+", r.text or "")}
+        score = sum(weight.get(h, 0.0) for h in found)
+        below = [0.0, *(1 / (1 + math.exp(score - t)) for t in model.thresholds), 1.0]
+        p = [b - a for a, b in zip(below, below[1:])]
+        assert abs(got[r.doc_id].expected_severity - (p[1] + 2 * p[2])) < 1e-6 and got[r.doc_id].toxic == (p[0] < 0.5)
+
+
+def test_words_are_those_of_greatest_odds(spark):
+    rows = [(i, f"common w{i % 7} " + ("vile " if i % 2 else "kind ") + ("rare" if i == 1 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(3, "another text of id three")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = T.fit(docs, labels)
+    hashes = {w: int(T.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]) for w in ("vile", "kind", "common", "rare")}
+    kept = dict(zip(model.words.tolist(), model.weights))
+    assert kept[hashes["vile"]] > 0 > kept[hashes["kind"]] and hashes["common"] not in kept and hashes["rare"] not in kept
+    scored = {r.doc_id: r.toxic for r in T.score_documents(docs.limit(60), model).collect()}
+    assert all(scored[i] == bool(i % 2) for i in range(60) if i != 3)
+
+
 def test_words():
     text = "Ab, aB cd\n\nÉt ab".encode()
     hashes, doc = T.word_hashes(np.frombuffer(text + b"ab", np.uint8), np.array([0, len(text), len(text) + 2]))
