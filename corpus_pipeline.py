@@ -50,8 +50,8 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens (op 3)."""
-    return packing.pack_documents(docs, BYTE_BPE)
+    """Pieces of all documents, with their ids, in sequences of at most 2048 tokens (op 3)."""
+    return packing.pack_documents(docs, BYTE_BPE, with_ids=True)
 
 
 STAGES = [
