@@ -47,6 +47,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_WORD64 = (1 << 64) - 1
+
+
+def _mix_one(x: int) -> int:
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _WORD64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _WORD64
+    return x ^ (x >> 31)
+
+
 def document_keys(doc_ids: pa.Array, seed: int) -> np.ndarray:
     """Hashes of documents' ids; 0 for null ids."""
     key = np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64))
@@ -58,6 +67,7 @@ class PieceTable:
     """Pieces of a merge-type model, and which adjacent pieces merge into which."""
 
     _made: dict[str, PieceTable] = {}
+    _pairs: dict[tuple[int, int], tuple[int, int]] | None = None
 
     @classmethod
     def of(cls, path: str) -> PieceTable:
@@ -112,6 +122,13 @@ class PieceTable:
         has = (self.keys[at] == key) & (left >= 0) & (right >= 0)
         return np.where(has, self.ranks[at], _NEVER), self.merged[at]
 
+    def pairs(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """``find`` for one pair at a time: (rank, id) by pair; made when first asked for."""
+        if self._pairs is None:
+            a, b = np.divmod(self.keys, self.size)
+            self._pairs = dict(zip(zip(a.tolist(), b.tolist()), zip(self.ranks.tolist(), self.merged.tolist())))
+        return self._pairs
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """Texts of ``counts`` ids each, end to end, without the space that encoding puts first."""
         lens = self.lens[ids]
@@ -165,6 +182,11 @@ class DropoutEncoder(BlockEncoder):
     def _skipped(self, words: np.ndarray, spans: np.ndarray) -> np.ndarray:
         return _mix(words ^ spans) < self.below
 
+    def _skips(self, word: int, start: int, middle: int, end: int) -> bool:
+        """``_skipped`` of one pair, in whole numbers."""
+        span = _mix_one((((start << 42) ^ (middle << 21) ^ end) + self.key) & _WORD64)
+        return _mix_one(word ^ span) < int(self.below)
+
     def _encode_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words without dropout; what they merge is kept."""
         merges: list[tuple[np.ndarray, np.ndarray]] = []
@@ -302,21 +324,25 @@ class DropoutEncoder(BlockEncoder):
         symbols: list[int] = ids.tolist()
         heap: list[tuple[int, int, int, int, int]] = []
 
-        def offer(starts: list[int]) -> None:
-            starts = [c for c in starts if c >= 0 and after[c] < n]
-            if not starts:
-                return
-            c = np.array(starts)
-            nxt = np.array([after[k] for k in starts])
-            end = np.array([after[k] for k in nxt.tolist()])
-            got, merged = table.find(np.array([symbols[k] for k in starts]), np.array([symbols[k] for k in nxt.tolist()]))
+        def offer(starts: np.ndarray) -> None:
+            """Many pairs at once: those of the word as it begins."""
+            nxt = starts + 1
+            got, merged = table.find(ids[starts], ids[nxt])
             if word is not None:
-                got[self._skipped(word.repeat(len(c)), self._spans(c, nxt, end))] = _NEVER
-            for row in zip(got.tolist(), starts, nxt.tolist(), end.tolist(), merged.tolist()):
-                if row[0] < _NEVER:
-                    heapq.heappush(heap, row)
+                got[self._skipped(word.repeat(len(starts)), self._spans(starts, nxt, nxt + 1))] = _NEVER
+            heap.extend(row for row in zip(got.tolist(), starts.tolist(), nxt.tolist(), (nxt + 1).tolist(), merged.tolist()) if row[0] < _NEVER)
+            heapq.heapify(heap)
+
+        def offer_one(c: int) -> None:
+            """One pair, without arrays."""
+            if c < 0 or after[c] >= n:
+                return
+            nxt = after[c]
+            found = table.pairs().get((symbols[c], symbols[nxt]))
+            if found and not (word is not None and self._skips(int(word[0]), c, nxt, after[nxt])):
+                heapq.heappush(heap, (found[0], c, nxt, after[nxt], found[1]))
 
-        offer(list(range(n)))
+        offer(np.arange(n - 1))
         alive = [True] * n
         while heap:
             _, c, nxt, end, merged = heapq.heappop(heap)
@@ -326,7 +352,8 @@ class DropoutEncoder(BlockEncoder):
             made.append((c, nxt, end))
             if end < n:
                 before[end] = c
-            offer([before[c], c])
+            offer_one(before[c])
+            offer_one(c)
         if merges is not None and made:
             merges[0].append((np.full(len(made), merges[1]), self._spans(*np.array(made).T)))
         places = [k for k in range(n) if alive[k]]

@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -218,12 +219,14 @@ def _hooked(edges: DataFrame, folder: str) -> DataFrame:
     return label
 
 
-def _packed(rows: list[tuple[int, tuple]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([pickle.dumps(r[1], 5) for r in rows], pa.binary())], names=["to", "payload"])
+def _packed(rows: list[tuple[int, bytes, tuple]]) -> pa.RecordBatch:
+    to, task, payload = zip(*rows)
+    return pa.record_batch([pa.array(to, pa.int32()), pa.array(task, pa.binary()), pa.array([pickle.dumps(x, 5) for x in payload], pa.binary())], names=["to", "task", "payload"])
 
 
 def _send_sets(files: list[str], n_to: int):
-    """Requests (part, row, cls, n_copies, comp, tile, n_tiles) become n-gram sets at their tiles."""
+    """Requests (part, row, cls, n_copies, comp, tile, n_tiles) become n-gram sets at their tasks:
+    a component, or two tiles of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[int, dict[int, tuple]] = defaultdict(dict)
@@ -232,7 +235,7 @@ def _send_sets(files: list[str], n_to: int):
             for part, row, *rest in zip(*columns):
                 asked[part][row] = tuple(rest)
         for part, rows in asked.items():
-            out: dict[int, list] = defaultdict(list)
+            out: dict[tuple[int, bytes], list] = defaultdict(list)
             held = 0
             for first, ids, data, starts in _blocks(files[part]):
                 own = [k for k in range(len(ids)) if first + k in rows]
@@ -243,22 +246,23 @@ def _send_sets(files: list[str], n_to: int):
                     cls, copies, comp, tile, tiles = rows[first + k]
                     one = grams[bounds[k] : bounds[k + 1]]
                     for other in range(tiles):
-                        pair = (min(tile, other), max(tile, other), tiles)
-                        to = int.from_bytes(comp[:6], "little") + 7919 * pair[0] + 104_729 * pair[1]
-                        out[to % n_to].append((comp, pair, tile, cls, copies, one))
+                        i, j = min(tile, other), max(tile, other)
+                        to = (int.from_bytes(comp[:6], "little") + 7919 * i + 104_729 * j) % n_to
+                        # tasks sort by their number of tiles, so that whole components come first
+                        out[to, struct.pack(">III", tiles, i, j) + comp].append((tile, cls, copies, one))
                         held += len(one)
                 if held > 1 << 21:
-                    yield _packed([(to, _columns(x)) for to, x in out.items()])
+                    yield _packed([(to, task, _columns(x)) for (to, task), x in out.items()])
                     out, held = defaultdict(list), 0
             if out:
-                yield _packed([(to, _columns(x)) for to, x in out.items()])
+                yield _packed([(to, task, _columns(x)) for (to, task), x in out.items()])
 
     return run
 
 
 def _columns(rows: list[tuple]) -> tuple:
-    comp, pair, tile, cls, copies, sets = zip(*rows)
-    return comp, pair, tile, cls, np.array(copies, np.int64), np.array([len(x) for x in sets]), np.concatenate(sets)
+    tile, cls, copies, sets = zip(*rows)
+    return tile, cls, np.array(copies, np.int64), np.array([len(x) for x in sets]), np.concatenate(sets)
 
 
 #: N-grams that more sets than this hold are counted by matrix products, others pair by pair.
@@ -314,32 +318,35 @@ def _verified(cls: list[bytes], copies: np.ndarray, lens: np.ndarray, flat: np.n
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tasks: dict[tuple, list] = defaultdict(list)
-    for batch in batches:
-        for payload in batch.column(1).to_pylist():
-            comp, pair, tile, cls, copies, lens, flat = pickle.loads(payload)
-            ends = np.cumsum(lens)
-            for k in range(len(cls)):
-                tasks[comp[k], pair[k]].append((tile[k], cls[k], copies[k], flat[ends[k] - lens[k] : ends[k]]))
+    """Counts the links of each task; rows come sorted by task, so one is held at a time."""
 
-    def close(rows: list[tuple], mask: np.ndarray | None = None) -> pa.RecordBatch:
+    def close(rows: list[tuple], apart: bool = False) -> pa.RecordBatch:
+        rows.sort(key=lambda r: r[1])
+        tile = np.array([r[0] for r in rows])
         cls = [r[1] for r in rows]
+        mask = tile[:, None] != tile[None, :] if apart else None
         n_links, root = _verified(cls, np.array([r[2] for r in rows]), np.array([len(r[3]) for r in rows]), np.concatenate([r[3] for r in rows]), mask)
         return pa.record_batch([pa.array(cls, pa.binary()), pa.array(n_links, pa.int64()), pa.array([cls[r] for r in root], pa.binary())], names=["cls", "n_links", "root"])
 
-    together: list[tuple] = []  # whole small components share a count; links between them would be true ones
-    for (_, (i, j, tiles)), rows in sorted(tasks.items(), key=lambda x: (len(x[1]), x[0])):
-        rows.sort(key=lambda r: r[1])
-        if tiles > 1:
-            tile = np.array([r[0] for r in rows])
-            yield close(rows, None if i == j else tile[:, None] != tile[None, :])
-            continue
-        if together and len(together) + len(rows) > 512:
-            yield close(together)
-            together = []
-        together = together + rows
-    if together:
-        yield close(together)
+    held: list[tuple] = []
+    last: bytes | None = None
+    for batch in batches:
+        for task, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if task != last and held:
+                tiles, i, j = struct.unpack_from(">III", last)
+                # whole small components share a count; links between them would be true ones
+                if tiles > 1 or len(held) > 512:
+                    yield close(held, tiles > 1 and i != j)
+                    held = []
+                elif struct.unpack_from(">I", task)[0] > 1:
+                    yield close(held)
+                    held = []
+            last = task
+            tile, cls, copies, lens, flat = pickle.loads(payload)
+            held += zip(tile, cls, copies, np.split(flat, np.cumsum(lens)[:-1]))
+    if held:
+        tiles, i, j = struct.unpack_from(">III", last)
+        yield close(held, tiles > 1 and i != j)
 
 
 @dataclass
@@ -373,8 +380,8 @@ def _grouped(docs: DataFrame, recall: float, carry: tuple[str, ...] = ()) -> _Gr
     tiles = comps.groupBy("label").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n_tiles"))
     tile = F.pmod(F.hash("cls"), F.col("n_tiles"))
     asked = classes.join(comps, classes["cls"] == comps["node"]).join(tiles, "label").select("first.part", "first.row", "cls", "n_copies", F.col("label").alias("comp"), tile.alias("tile"), "n_tiles")
-    sets = asked.repartitionById(n_parts, "part").mapInArrow(_send_sets(files, n_to), "to int, payload binary")
-    found = written(sets.repartitionById(n_to, "to").mapInArrow(_verify, "cls binary, n_links long, root binary"), f"{folder}/links")
+    sets = asked.repartitionById(n_parts, "part").mapInArrow(_send_sets(files, n_to), "to int, task binary, payload binary")
+    found = written(sets.repartitionById(n_to, "to").sortWithinPartitions("task").mapInArrow(_verify, "cls binary, n_links long, root binary"), f"{folder}/links")
     groups = connected(found.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")), f"{folder}/groups")
     links = found.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
     grouped = classes.select("cls", "n_copies", "first").join(links, "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")

@@ -4,15 +4,18 @@ P(grade <= k) = sigmoid(threshold_k - score), with one weight for each word shar
 thresholds, which rise with k.  ``score_documents`` outputs each text's expected severity
 (the mean grade), its likeliest grade and whether it is toxic (P(grade >= 1) of one half).
 
-Grades come from labels: 0 without the toxic mark; 1 with it; 2 with it in a text marked as
-of low quality.  ``fit`` reads a bounded sample of labelled rows: ``sample`` rows of each
+Grades come from labels: 0 without the toxic mark; 1 with it in a text marked as of low
+quality, of which readers see little; 2 with it in any other.  (The other way round the grades
+wouldn't rise with the words: junk that is marked as toxic has few of them.)  ``fit`` reads a bounded sample of labelled rows: ``sample`` rows of each
 class (toxic or not), those whose hashed ids are least, weighted so that both classes count
-as they do among all labelled rows.  A feature is that a word occurs in the text; words kept
-are those whose odds differ between the classes by ``least_z`` standard errors or more, at
-most ``most_words``.  Scoring reads every whole text; the model (the kept words' hashes and
+as they do among all labelled rows.  A feature is that a word occurs in the text, or one that
+begins with the same ``PREFIX`` characters, which inflected and compounded forms share.  Those
+are kept whose shares in the two classes differ most, by the signed root of the likelihood
+ratio (in standard errors; words that one class never has rank as high as they are frequent):
+``least_z`` or more, at most ``most_words``.  Scoring reads every whole text; the model (the kept words' hashes and
 weights, bounded by ``most_words``) goes to the tasks with the function.
 
-Words are runs of ASCII letters and of bytes beyond ASCII, in lower case.
+Words are runs of ASCII letters and of bytes beyond ASCII, ASCII letters in lower case.
 
 Defined cases: a null or empty text has no features and gets the grade of no words; null
 labels and labels without a document are left out of the sample; of documents that share a
@@ -28,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import work_dir, written
@@ -36,6 +39,9 @@ from ._tokens import text_blocks
 from .ngram_join import _BYTE, _mix, _powers
 
 GRADES = 3
+#: Characters of a word's beginning that are a feature of their own.
+PREFIX = 4
+_PREFIX_SALT = np.uint64(0x9E3779B97F4A7C15)
 SCORED = "doc_id long, expected_severity double, grade int, toxic boolean"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -61,8 +67,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of a block's texts, and the text that it is in."""
+def feature_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a block's texts, then of the beginnings of longer words, and the text that each is in."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -74,15 +80,20 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     ends = word.copy()
     ends[:-1] &= ~word[1:] | first[1:n]
     a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    chars = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin
+    beyond = np.append(chars, np.full(PREFIX, n))[np.searchsorted(chars, a) + PREFIX]
+    long = np.flatnonzero(beyond < b)
     # hashes of whole words, as differences of prefix sums
     up, down = _powers(n + 1)
     total = np.append(np.uint64(0), np.cumsum(_BYTE[data] * up[:n], dtype=np.uint64))
-    return _mix((total[b] - total[a]) * down[a]), np.searchsorted(starts, a, "right") - 1
+    doc = np.searchsorted(starts, a, "right") - 1
+    whole, short = ((total[e] - total[s]) * down[s] for s, e in ((a, b), (a[long], beyond[long])))
+    return np.append(_mix(whole), _mix(short ^ _PREFIX_SALT)), np.append(doc, doc[long])
 
 
 def _distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct word hashes of each text, end to end, and bounds."""
-    hashes, doc = word_hashes(data, starts)
+    """Distinct features of each text, end to end, and bounds."""
+    hashes, doc = feature_hashes(data, starts)
     by = np.lexsort((hashes, doc))
     hashes, doc = hashes[by], doc[by]
     new = np.append(True, (np.diff(hashes) != 0) | (np.diff(doc) != 0))[: len(hashes)]
@@ -101,7 +112,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[Da
     """(row, grade, text) of at most ``sample`` label rows of each class, and the rows that each stands for."""
     toxic = (F.col("toxic") > 0).cast("int")
     known = labels.where("doc_id is not null and toxic is not null")
-    known = known.select(F.col("doc_id").alias("_id"), toxic.alias("_toxic"), (toxic * F.when(F.col("quality") <= 0, 2).otherwise(1)).alias("grade"))
+    known = known.select(F.col("doc_id").alias("_id"), toxic.alias("_toxic"), (toxic * F.when(F.col("quality") <= 0, 1).otherwise(2)).alias("grade"))
     classes = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     picked = [known.where(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id", "grade").limit(sample) for c in (0, 1)]
     bounded = picked[0].union(picked[1]).withColumn("row", F.monotonically_increasing_id())  # 2 * sample rows at most
@@ -134,7 +145,7 @@ def _kept_words(words: np.ndarray):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_words: int = 1000, least_z: float = 5.0, ridge: float = 0.02, steps: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_words: int = 1000, least_z: float = 2.5, ridge: float = 0.02, steps: int = 400) -> Model:
     """The model of a bounded sample of labelled documents.
 
     Words are counted on the executors; the driver gets the ``most_words`` best of them and
@@ -151,13 +162,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_words: int
         most = max(sorted(only), key=only.get, default=0)
         return Model(none, np.zeros(0), np.where(np.arange(GRADES - 1) < most, -40.0, 40.0))
     counts = one.mapInArrow(_word_counts, "word long, n_bad long, n_good long").groupBy("word").agg(F.sum("n_bad").alias("n_bad"), F.sum("n_good").alias("n_good"))
-    cells = [x + F.lit(0.5) for c, b in (("n_bad", True), ("n_good", False)) for x in (F.col(c), F.lit(size[b]) - F.col(c))]
-    odds = F.log(cells[0] / cells[1]) - F.log(cells[2] / cells[3])
-    rated = counts.select("word", F.abs(odds / F.sqrt(sum((1 / c for c in cells[1:]), 1 / cells[0]))).alias("z"))
+    share = (F.col("n_bad") + F.col("n_good")) / F.lit(size[True] + size[False])
+
+    def surprise(n: Column, expected: Column) -> Column:
+        return F.when(n > 0, n * F.log(n / expected)).otherwise(F.lit(0.0))
+
+    def of_class(n: str, rows: int) -> Column:
+        return surprise(F.col(n), share * rows) + surprise(rows - F.col(n), (1 - share) * rows)
+
+    ratio = of_class("n_bad", size[True]) + of_class("n_good", size[False])
+    rated = counts.select("word", F.round(F.sqrt(2 * F.greatest(ratio, F.lit(0.0))), 9).alias("z"))
     best = rated.orderBy(F.desc("z"), "word").limit(most_words).collect()
-    # small samples reach less: the best words of theirs still count
-    least = min(least_z, max(2.0, 0.6 * best[0]["z"])) if best else 0.0
-    words = np.sort(np.array([r["word"] for r in best if r["z"] >= least], np.int64).view(np.uint64))
+    words = np.sort(np.array([r["word"] for r in best if r["z"] >= least_z], np.int64).view(np.uint64))
     got = one.mapInArrow(_kept_words(words), "grade int, bits binary").collect()  # a row a label, most_words bits each
     got.sort(key=lambda r: (r["grade"], bytes(r["bits"])))  # whatever the order of partitions
     grade = np.array([r["grade"] for r in got], np.int64)
@@ -199,7 +215,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, starts in text_blocks(batch.column(1)):
-                hashes, doc = word_hashes(data, starts)
+                hashes, doc = feature_hashes(data, starts)
                 score = np.zeros(j - i)
                 if len(model.words):
                     at = np.minimum(np.searchsorted(model.words, hashes), len(model.words) - 1)

@@ -1,4 +1,7 @@
+import hashlib
 import random
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -91,3 +94,55 @@ def test_kept_merges_change_no_draw(monkeypatch):
             m.setattr(coder, "_run", lambda t, w, made=None: (m.setattr(coder, "_skipped", skipped), run(t, w, made), m.setattr(coder, "_skipped", lambda a, b: np.ones(len(a), bool)))[1])
             m.setattr(coder, "_skipped", lambda a, b: np.ones(len(a), bool))
             assert encode(coder, ts) == rows
+
+
+def mixed(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+    return x ^ (x >> 31)
+
+
+def plain_dropout(model, text, doc_id, seed, rate):
+    """An encoder of its own: pieces from the library, one merge at a time, every pair looked at anew."""
+    piece = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+    key = int.from_bytes(hashlib.blake2b(f"{seed}:0".encode(), digest_size=8).digest(), "little")
+    doc = 0 if doc_id is None else mixed((doc_id % 2**64) ^ ((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64))
+    out = []
+    for place, word in enumerate(re.findall(r" +[^ ]*", " " + text) if text else []):
+        own = mixed(doc ^ mixed((place + key) % 2**64))
+        symbols = [(("\u2581" if c == " " else None if c == "\u2581" else c), k, k + 1, c) for k, c in enumerate(word)]
+        while True:
+            best = None
+            for k, (a, b) in enumerate(zip(symbols, symbols[1:])):
+                if a[0] is None or b[0] is None or a[0] not in piece or b[0] not in piece or a[0] + b[0] not in piece:
+                    continue
+                if mixed(own ^ mixed(((a[1] << 42 ^ b[1] << 21 ^ b[2]) + key) % 2**64)) < int(rate * 2**64):
+                    continue
+                score = model.get_score(piece[a[0] + b[0]])
+                if best is None or score > best[0]:
+                    best = score, k
+            if best is None:
+                break
+            k = best[1]
+            symbols[k : k + 2] = [(symbols[k][0] + symbols[k + 1][0], symbols[k][1], symbols[k + 1][2], "")]
+        for s, _, _, c in symbols:
+            out += [piece[s]] if s in piece else [model.piece_to_id(f"<0x{x:02X}>") for x in c.encode()]
+    return out
+
+
+def test_dropout_equals_an_encoder_of_its_own(spark):
+    model = SentencePieceProcessor(model_file=MODEL)
+    rows = [*texts()[-120:], *(t[:400] for t in texts()[20:40]), "a▁b ▁ c", "x" * 100, "reasonable" * 30, "  two  spaces "]
+    ids = [None, 2**63 - 1, -(2**63), *range(len(rows))]
+    docs = spark.createDataFrame([(ids[k], t) for k, t in enumerate(rows)], "doc_id long, text string")
+    for rate in (0.1, 0.5):
+        got = [(r.doc_id, r.ids) for r in M.encode_documents(docs.coalesce(1), MODEL, seed=11, rate=rate).collect()]
+        assert got == [(ids[k], plain_dropout(model, t, ids[k], 11, rate)) for k, t in enumerate(rows)]
+
+
+def test_a_very_long_word_takes_little_time():
+    rng = random.Random(1)
+    word = "".join(rng.choice("etaoinshr") for _ in range(300_000))
+    began = time.time()
+    ids = encode(M.DropoutEncoder(MODEL, 1, 0.1), [word])[0]
+    assert time.time() - began < 30 and 30_000 < len(ids) < 300_000

@@ -79,6 +79,54 @@ def test_bands_reach_the_recall():
     assert J.bands_for(0.8, 0.9)[1] > rows
 
 
+def test_bands_find_pairs_at_the_threshold():
+    """Measured: of 4,000 pairs of sets at Jaccard 0.8 exactly, those that share a bucket."""
+    rng = np.random.default_rng(12)
+    bands, rows = J.bands_for(0.8)
+    sets = []
+    for _ in range(4000):
+        grams = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        sets += [np.sort(grams[:54]), np.sort(grams[6:])]  # 48 in common, 60 in all
+    bounds = np.append(0, np.cumsum([len(x) for x in sets]))
+    _, keys = J.signatures(np.concatenate(sets), bounds, bands, rows)
+    found = (keys[::2] == keys[1::2]).any(axis=1)
+    assert found.mean() >= 0.999
+    selective = (keys[::2][:-1] == keys[1::2][1:]).any(axis=1)
+    assert not selective.any()
+
+
+def test_links_of_near_copies_equal_brute_force(spark):
+    """One group in which every two differ a little, many of them just over or under the threshold."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(160):
+        copy = [*base]
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 99)}"
+        texts.append(" ".join(copy))
+    check(odd.documents(spark, odd.TEXTS + texts))
+
+
+def test_components_of_paths_and_stars(spark, tmp_path):
+    rng = random.Random(1)
+    n = 300
+    shuffled = rng.sample(range(n), n)
+    for k, edges in enumerate([list(zip(range(n), range(1, n))), list(zip(shuffled, shuffled[1:])), [(rng.randrange(n), rng.randrange(n)) for _ in range(250)], [(0, i) for i in range(1, 99)] + [(5, 5)]]):
+        root = list(range(n + 1))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        got = {r.node: r.label for r in J.connected(spark.createDataFrame(edges, "a int, b int"), f"{tmp_path}/{k}").collect()}
+        assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
 def test_ngrams_tell_documents_apart():
     texts = [b"a b c d e f", b"", b"a b", b"  a\tb\nc d e ", b"a b c d e a b c d e"]
     starts = np.append(0, np.cumsum([len(t) for t in texts]))

@@ -127,8 +127,19 @@ def test_pack_documents(spark):
         own = ids[r.doc_id]
         assert r.doc_tokens == len(own) and r.ids_crc32 == crc(own[r.start : r.start + r.length])
         assert list(r.input_ids) == own[r.start : r.start + r.length]
-    odd_rows = packing.pack_documents(odd.documents(spark), BYTE_BPE).collect()
-    assert sum(r.length for r in odd_rows) == sum(map(len, encode(BYTE_BPE, [r.text for r in odd.documents(spark).collect()])))
+    strange = odd.documents(spark).collect()
+    of_id = defaultdict(list)
+    for r, own in zip(strange, encode(BYTE_BPE, [r.text for r in strange])):
+        of_id[r.doc_id].append(own)
+    pieces = defaultdict(list)
+    for r in packing.pack_documents(odd.documents(spark), BYTE_BPE, with_ids=True).collect():
+        assert len(r.input_ids) == r.length and crc(r.input_ids) == r.ids_crc32
+        pieces[r.doc_id].append((r.start, r.doc_tokens, list(r.input_ids)))
+    assert set(pieces) == set(of_id)
+    for doc_id, own in of_id.items():
+        assert sorted(n for s, n, _ in pieces[doc_id] if s == 0) == sorted(map(len, own)) and sorted(k for _, _, x in pieces[doc_id] for k in x) == sorted(k for x in own for k in x)
+        if len(own) == 1:
+            assert [k for _, _, x in sorted(pieces[doc_id]) for k in x] == own[0]
     assert packing.pack_documents(odd.empty(spark), BYTE_BPE).count() == 0
 
 

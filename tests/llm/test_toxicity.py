@@ -40,15 +40,15 @@ def test_odd_rows_and_one_class(spark, toxic):
     df = odd.documents(spark)
     labels = spark.createDataFrame([(i, 1, toxic) for i in range(6)] + [(None, 1, 1), (999, 0, None)], "doc_id long, quality int, toxic int")
     rows = T.score_documents(df, T.fit(df, labels)).collect()
-    assert len(rows) == df.count() and all(r.toxic == bool(toxic) and abs(r.expected_severity - (toxic or 0)) < 1e-6 for r in rows)
+    assert len(rows) == df.count() and all(r.toxic == bool(toxic) and abs(r.expected_severity - 2 * (toxic or 0)) < 1e-6 for r in rows)
     assert T.score_documents(odd.empty(spark), T.fit(odd.empty(spark), labels)).count() == 0
 
 
 def test_long_words_are_told_apart():
     same = "日" * 40
     data = f"{same}a {same}b {same}a".encode()
-    hashes, _ = T.word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-    assert hashes[0] == hashes[2] != hashes[1]
+    hashes, _ = T.feature_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert hashes[0] == hashes[2] != hashes[1] and hashes[3] == hashes[4] == hashes[5]  # their beginnings
 
 
 def test_scores_equal_a_plain_computation(spark):
@@ -56,13 +56,14 @@ def test_scores_equal_a_plain_computation(spark):
     model = T.fit(docs, labels)
     weight = dict(zip(model.words.tolist(), model.weights))
 
-    def one(word):
-        return int(T.word_hashes(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))[0][0])
+    def known(word):
+        low = "".join(c.lower() if c < "\x80" else c for c in word).encode()
+        return T.feature_hashes(np.frombuffer(low, np.uint8), np.array([0, len(low)]))[0].tolist()
 
     rows = docs.where("doc_id % 9 = 0").collect()
     got = {r.doc_id: r for r in T.score_documents(docs.where("doc_id % 9 = 0"), model).collect()}
     for r in rows:
-        found = {one(w) for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+", r.text or "")}
+        found = {h for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+", r.text or "") for h in known(w)}
         score = sum(weight.get(h, 0.0) for h in found)
         below = [0.0, *(1 / (1 + math.exp(score - t)) for t in model.thresholds), 1.0]
         p = [b - a for a, b in zip(below, below[1:])]
@@ -74,14 +75,23 @@ def test_words_are_those_of_greatest_odds(spark):
     docs = spark.createDataFrame(rows + [(3, "another text of id three")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
     model = T.fit(docs, labels)
-    hashes = {w: int(T.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]) for w in ("vile", "kind", "common", "rare")}
+    hashes = {w: int(T.feature_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]) for w in ("vile", "kind", "common", "rare")}
     kept = dict(zip(model.words.tolist(), model.weights))
     assert kept[hashes["vile"]] > 0 > kept[hashes["kind"]] and hashes["common"] not in kept and hashes["rare"] not in kept
     scored = {r.doc_id: r.toxic for r in T.score_documents(docs.limit(60), model).collect()}
     assert all(scored[i] == bool(i % 2) for i in range(60) if i != 3)
 
 
+def test_beginnings_are_of_characters():
+    words = ["schön", "schöner", "schö", "scho", "schonen"]
+    got = []
+    for w in words:
+        data = np.frombuffer(w.encode(), np.uint8)
+        got.append(T.feature_hashes(data, np.array([0, len(data)]))[0].tolist())
+    assert [len(g) for g in got] == [2, 2, 1, 1, 2] and got[0][1] == got[1][1] != got[4][1] and got[0][1] != got[2][0]
+
+
 def test_words():
     text = "Ab, aB cd\n\nÉt ab".encode()
-    hashes, doc = T.word_hashes(np.frombuffer(text + b"ab", np.uint8), np.array([0, len(text), len(text) + 2]))
+    hashes, doc = T.feature_hashes(np.frombuffer(text + b"ab", np.uint8), np.array([0, len(text), len(text) + 2]))
     assert doc.tolist() == [0, 0, 0, 0, 0, 1] and len(set(hashes.tolist())) == 3
