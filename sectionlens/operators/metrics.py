@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def per_query(hits: DataFrame, questions: DataFrame, *keys: str) -> DataFrame:
     """One row for each question (those without hits too): ranked ids and sections, first rank."""
@@ -65,6 +67,39 @@ def evaluate(rows: DataFrame, *keys: str, ks: tuple[int, ...] = (1, 3, 5, 10), s
     )
 
 
+def _first_relevant(hits: DataFrame, questions: DataFrame, relevant: Column) -> DataFrame:
+    """(query_id, first_rank) of every question, null where no hit is relevant."""
+    first = hits.join(questions, "query_id").where(relevant).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
+    return questions.select("query_id").join(first, "query_id", "left")
+
+
+def jaccard_relevance(hits: DataFrame, questions: DataFrame, threshold: float = 0.3, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """One row (mrr, recall_k): a hit is relevant if its text is alike enough to the question's own context.
+
+    ``hits``: (query_id, rank, text); ``questions``: (query_id, context).  Recall is the share of
+    questions with a relevant hit among the first k.
+    """
+    rows = _first_relevant(hits, questions, T.jaccard(F.col("text"), F.col("context")) >= threshold)
+    return rows.agg(F.coalesce(F.avg(reciprocal_rank(F.col("first_rank"))), F.lit(0.0)).alias("mrr"), *(F.coalesce(F.avg(hit_at(k)), F.lit(0.0)).alias(f"recall_{k}") for k in ks))
+
+
+def hybrid_relevance(hits: DataFrame, questions: DataFrame, strategy: str, of_context: float = 0.15, of_question: float = 0.12, score: float = 0.55, faithful: bool = True) -> DataFrame:
+    """One row (strategy, MRR, recall_1, recall_3, recall_5, n_questions, n_found): a hit is relevant
+    by likeness to the context or to the question, or by its score.
+
+    ``hits``: (query_id, rank, text, score); ``questions``: (query_id, question, context).  The
+    ``faithful`` recall is 0 always, as the published computation's gold id is one that no chunk
+    has; otherwise it is the share of questions with a relevant hit among the first k.
+    """
+    relevant = (T.jaccard(F.col("text"), F.col("context")) >= of_context) | (T.jaccard(F.col("text"), F.col("question")) >= of_question) | (F.col("score") >= score)
+    rows = _first_relevant(hits, questions, relevant)
+    recalls = [F.lit(0.0) if faithful else F.round(F.coalesce(F.avg(hit_at(k)), F.lit(0.0)), 4) for k in (1, 3, 5)]
+    return rows.agg(
+        F.round(F.coalesce(F.avg(reciprocal_rank(F.col("first_rank"))), F.lit(0.0)), 4).alias("MRR"), *(c.alias(f"recall_{k}") for c, k in zip(recalls, (1, 3, 5))),
+        F.count("*").alias("n_questions"), F.count("first_rank").alias("n_found"),
+    ).select(F.lit(strategy).alias("strategy"), "*")
+
+
 def accuracy(predicted: Column, gold: Column) -> Column:
     """Mean of equal answers, ends and case aside."""
     return F.coalesce(F.avg((F.lower(F.trim(predicted)) == F.lower(F.trim(gold))).cast("double")), F.lit(0.0))

@@ -6,46 +6,84 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import vectors as V
 
 #: Vectors of the index and of the queries in one block.
 INDEX_BLOCK, QUERY_BLOCK = 8192, 1024
-HIT = "query_id long, chunk_idx long, score double"
 
 
-def _blocks(vectors: DataFrame, key: str, size: int, n: int) -> DataFrame:
-    block = F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // size)))).alias("_block")
-    return vectors.where(F.col("embedding").isNotNull()).groupBy(block).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), V.doubles(F.col("embedding")).alias("v"))).alias("rows"))
+def _ascending(ids: pa.Array) -> pa.Array:
+    """Places of ids in ascending order; fields of structs in turn."""
+    fields = ids.flatten() if pa.types.is_struct(ids.type) else [ids]
+    names = [f"f{k}" for k in range(len(fields))]
+    return pc.sort_indices(pa.table(fields, names=names), sort_keys=[(n, "ascending") for n in names], null_placement="at_start")
+
+
+def _blocks(vectors: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows (ids, v) of at most ``size`` vectors, v their numbers end to end, ids ascending.
+
+    They are packed where the rows are, so nothing is counted or sorted first, and then dealt
+    out evenly, which also keeps what made them from running again for every pair.
+    """
+    kind = vectors.schema[key].dataType
+    schema = StructType([StructField("ids", ArrayType(kind)), StructField("v", ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def block(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.take(_ascending(rows.column(0).combine_chunks()))
+            ids, v = (rows.column(k).combine_chunks() for k in range(2))
+            flat = v.flatten()
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.record_batch([one(ids), one(flat)], names=["ids", "v"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= size:
+                rows = pa.Table.from_batches(held)
+                for i in range(0, len(rows) // size * size, size):
+                    yield block(rows.slice(i, size))
+                held = rows.slice(len(rows) // size * size).to_batches()
+        rows = pa.Table.from_batches(held) if held else None
+        if rows is not None and len(rows):
+            yield block(rows)
+
+    rows = vectors.where(F.col("embedding").isNotNull()).select(F.col(key).alias("id"), V.doubles(F.col("embedding")).alias("v"))
+    return rows.mapInArrow(run, schema).hint("rebalance")
 
 
 def top_k(queries: DataFrame, index: DataFrame, k: int = 5, query_key: str = "query_id", index_key: str = "chunk_idx") -> DataFrame:
     """(query_id, chunk_idx, score, rank): each query's k rows of greatest cosine, the least id
-    of equals first.
+    of equals first.  Keys are of any type that can be ordered.
 
     A stated query set against all rows, in blocks: the pairs that are joined are blocks of
     vectors; a task multiplies two and keeps k rows a query, and one shuffle by query ranks
-    what blocks have kept.  Neither side is broadcast or collected.
+    what blocks have kept.  Neither side is broadcast or collected, whatever its size.
     """
-    a = _blocks(queries, query_key, QUERY_BLOCK, queries.count()).select(F.col("rows").alias("q"))
-    b = _blocks(index, index_key, INDEX_BLOCK, index.count()).select(F.col("rows").alias("x"))
+    a = _blocks(queries, query_key, QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
+    b = _blocks(index, index_key, INDEX_BLOCK).hint("shuffle_replicate_nl")
+    hit = StructType([StructField("query_id", queries.schema[query_key].dataType), StructField("chunk_idx", index.schema[index_key].dataType), StructField("score", DoubleType())])
 
-    def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array([r["id"] for r in rows])
-        v = np.array([r["v"] for r in rows], float)
-        return ids, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
+    def unit(ids: pa.Array, v: pa.Array) -> np.ndarray:
+        x = v.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                (qs, q), (ids, x) = (unit(batch.column(c)[i].as_py()) for c in (0, 1))
-                scores = np.round(q @ x.T, 12)
-                by = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                yield pa.record_batch([pa.array(np.repeat(qs, by.shape[1])), pa.array(ids[by].ravel()), pa.array(np.take_along_axis(scores, by, 1).ravel())], names=["query_id", "chunk_idx", "score"])
+                qs, qv, ids, xv = (batch.column(c)[i].values for c in range(4))
+                scores = np.round(unit(qs, qv) @ unit(ids, xv).T, 12)
+                by = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ids ascend, so the least of equals stands first
+                found = [qs.take(pa.array(np.repeat(np.arange(len(qs)), by.shape[1]))), ids.take(pa.array(by.ravel())), pa.array(np.take_along_axis(scores, by, 1).ravel())]
+                yield pa.record_batch(found, names=["query_id", "chunk_idx", "score"])
 
-    found = a.crossJoin(b).mapInArrow(run, HIT)
+    found = a.crossJoin(b).mapInArrow(run, hit)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_idx")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

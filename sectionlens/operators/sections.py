@@ -64,14 +64,24 @@ def conditions(paragraphs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def sections(paragraphs: DataFrame, *keys: str) -> DataFrame:
-    """Sections in the order of their titles' first paragraphs: texts joined by an empty line."""
+    """Sections in the order of their titles' first paragraphs, at the level of the first: texts
+    joined by an empty line."""
     by = [*keys, "doc_id"]
     parts = F.array_sort(F.collect_list(F.struct("position", "text")))
-    rows = paragraphs.groupBy(*by, "section_title").agg(F.min("position").alias("_first"), F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))
+    level = [F.min_by("section_level", "position").alias("level")] if "section_level" in paragraphs.columns else []
+    rows = paragraphs.groupBy(*by, "section_title").agg(F.min("position").alias("_first"), *level, F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))
     order = Window.partitionBy(*by).orderBy("_first")
     return rows.withColumn("ord", F.row_number().over(order) - 1).drop("_first")
 
 
+def condition_articles(articles: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(condition, doc_id, title, abstract, references, sections) of the conditions' paragraphs:
+    titles and abstracts are the articles', references are none."""
+    own = F.array_sort(F.collect_list(F.struct("ord", "section_title", "level", "text")))
+    built = sections(paragraphs, "condition").groupBy("condition", "doc_id").agg(own.alias("sections"))
+    return built.join(articles.select("doc_id", "title", "abstract"), "doc_id", "left").select("condition", "doc_id", "title", "abstract", F.array().cast("array<string>").alias("references"), "sections")
+
+
 def offsets(paragraphs: DataFrame, separator: int = 2) -> DataFrame:
     """Adds char_start and char_end of each paragraph in the text that joins a document's paragraphs."""
     before = Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)

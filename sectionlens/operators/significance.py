@@ -70,3 +70,8 @@ def significance(per_query_rr: DataFrame, baseline: str, n_bootstrap: int = 10_0
     joined = rest.join(base, ["condition", "query_id"]).withColumn("_have", F.count("*").over(Window.partitionBy("condition", "competitor")))
     pairs = joined.join(whole, "condition").where("_have = _n").withColumnRenamed("query_id", "seq").drop("_have", "_n")
     return holm(bootstrap(pairs, "condition", "competitor", n_bootstrap=n_bootstrap, seed=seed), "condition")
+
+
+def rounded(tests: DataFrame, digits: int = 6) -> DataFrame:
+    """The report's digits; corrections are worked out before."""
+    return tests.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in tests.dtypes))

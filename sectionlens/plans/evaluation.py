@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chunking, entities, metrics, retrieval
+from ..functions import text as T
+from ..operators import chunking, entities, metrics, qa, retrieval
 from ..operators.embedding import Embedder, TokenEncoder, embed
+from ..sources import sinks
+from ..sources.work import work_dir, written
 
 TOP_K = 20
 
@@ -50,33 +56,94 @@ def chunks_of(paragraphs: DataFrame, chunker: str, embedder: Embedder, tokens: T
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string" if name == "section_title" else "array<float>"))
     rows = embed(rows.select("doc_id", "position", "text", "section_title", "embedding"), embedder)
-    return rows.withColumn("chunk_idx", F.col("doc_id") * 100_000 + F.col("position"))
+    return rows.withColumn("chunk_idx", F.struct("doc_id", "position"))
 
 
 def hits_of(questions: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
     """Ranked hits with the chunks' documents and sections.  ``questions``: (query_id, embedding)."""
     found = retrieval.top_k(questions.select("query_id", "embedding"), chunks, k)
-    return found.join(chunks.select("chunk_idx", "doc_id", "section_title"), "chunk_idx")
+    return found.join(chunks.select("chunk_idx", *(c for c in ("doc_id", "section_title", "text") if c in chunks.columns)), "chunk_idx")
 
 
-def evaluate(paragraphs: DataFrame, questions: DataFrame, strategy: Strategy, embedder: Embedder, tokens: TokenEncoder, terms: DataFrame | None = None, k: int = TOP_K) -> DataFrame:
-    """One row of metrics of a strategy.  ``questions``: (query_id, question, gold, required);
-    those whose gold documents are all absent are left out."""
-    known = paragraphs.select(F.col("doc_id").cast("string").alias("_doc")).distinct()
-    asked = questions.withColumn("_gold", F.explode(F.col("gold").cast("array<string>"))).join(known, F.col("_gold") == F.col("_doc"), "left_semi").select("query_id").distinct()
-    questions = embed(questions.join(asked, "query_id", "left_semi"), embedder, "question")
+def article_of(doc_id: Column) -> Column:
+    """The part of a document's id before ``__``: conditions of one article share it."""
+    return F.substring_index(doc_id.cast("string"), "__", 1)
+
+
+def known_questions(questions: DataFrame, paragraphs: DataFrame, gold: str = "gold", short: bool = False) -> DataFrame:
+    """Questions one of whose gold documents is in the corpus; ``short`` compares ids up to ``__``."""
+    cut = article_of if short else (lambda c: c.cast("string"))
+    known = paragraphs.select(cut(F.col("doc_id")).alias("_doc")).distinct()
+    asked = questions.select("query_id", F.explode(F.col(gold).cast("array<string>")).alias("_gold")).withColumn("_gold", cut(F.col("_gold")))
+    return questions.join(asked.join(known, F.col("_gold") == F.col("_doc"), "left_semi").select("query_id").distinct(), "query_id", "left_semi")
+
+
+@dataclass
+class Searched:
+    """What a strategy finds: its embedded chunks, the questions asked, and their ranked hits."""
+
+    chunks: DataFrame
+    questions: DataFrame
+    hits: DataFrame
+
+
+def search(paragraphs: DataFrame, questions: DataFrame, strategy: Strategy, embedder: Embedder, tokens: TokenEncoder, terms: DataFrame | None = None, k: int = TOP_K, pool: int | None = None) -> Searched:
+    """Chunks the articles, embeds chunks and questions, and ranks the best ``k`` chunks of each
+    question; re-ranking strategies draw from a pool of ``pool`` hits (``k`` if not given).
+
+    Chunks are a written table: they are read by the search, by the entity joins and by the
+    join that gives hits their documents.
+    """
+    spark = paragraphs.sparkSession
+    questions = embed(known_questions(questions, paragraphs), embedder, "question")
     mentions = vectors = None
     if terms is not None:
         mentions = entities.mentions(texts_of(paragraphs, "\n\n"), terms)
-    chunks = chunks_of(paragraphs, strategy.chunker, embedder, tokens, mentions).persist()
+    chunks = written(chunks_of(paragraphs, strategy.chunker, embedder, tokens, mentions), work_dir(spark, "chunks"))
     if strategy.infused and terms is not None:
-        named = entities.mentions(chunks, terms, "chunk_idx").select("chunk_idx", F.col("text").alias("name"))
+        named = written(entities.mentions(chunks, terms, "chunk_idx").select("chunk_idx", F.col("text").alias("name")), work_dir(spark, "chunk-names"))
         vectors = embed(entities.vocabulary(named.withColumnRenamed("name", "text")), embedder, "name", "vec")
-        chunks = entities.infuse_chunks(chunks, named, vectors)
-    hits = hits_of(questions, chunks, k)
-    if strategy.reranked and vectors is not None:
+        chunks = written(entities.infuse_chunks(chunks, named, vectors), work_dir(spark, "infused"))
+    reranked = strategy.reranked and vectors is not None
+    hits = hits_of(questions, chunks, max(k, pool or k) if reranked else k)
+    if reranked:
         asked_names = entities.mentions(questions.select("query_id", F.col("question").alias("text")), terms, "query_id").select("query_id", F.col("text").alias("name"))
         ranked = retrieval.rerank(hits, asked_names, named, vectors, k, 0.7, "script")
-        hits = ranked.join(chunks.select("chunk_idx", "doc_id", "section_title"), "chunk_idx")
-    rows = metrics.per_query(hits, questions.select("query_id", "gold", "required"))
+        hits = ranked.join(chunks.select("chunk_idx", "doc_id", "section_title", "text"), "chunk_idx")
+    return Searched(chunks, questions, hits)
+
+
+def evaluate(paragraphs: DataFrame, questions: DataFrame, strategy: Strategy, embedder: Embedder, tokens: TokenEncoder, terms: DataFrame | None = None, k: int = TOP_K) -> DataFrame:
+    """One row of metrics of a strategy.  ``questions``: (query_id, question, gold, required);
+    those whose gold documents are all absent are left out."""
+    found = search(paragraphs, questions, strategy, embedder, tokens, terms, k)
+    rows = metrics.per_query(found.hits.drop("text"), found.questions.select("query_id", "gold", "required"))
     return metrics.evaluate(rows).select(F.lit(strategy.name).alias("strategy"), "*")
+
+
+def evaluate_all(paragraphs: DataFrame, questions: DataFrame, embedder: Embedder, tokens: TokenEncoder, terms: DataFrame | None = None, strategies: tuple[Strategy, ...] = STRATEGIES) -> DataFrame:
+    """A row of metrics for each strategy."""
+    rows = [evaluate(paragraphs, questions, s, embedder, tokens, terms) for s in strategies]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def generation(paragraphs: DataFrame, questions: DataFrame, strategy: Strategy, embedder: Embedder, tokens: TokenEncoder, answer: Callable[[str], str] = qa.extractive_answer, terms: DataFrame | None = None, condition: str = "fulltext", model: str = "extractive") -> DataFrame:
+    """One row: mean F1 of answers (against the questions, as the published figures are), mean
+    number of different sections among the five contexts, and tokens used, of a strategy."""
+    found = search(paragraphs, questions, strategy, embedder, tokens, terms, 5, TOP_K)
+    own = F.array_sort(F.collect_list(F.struct("rank", "text", F.coalesce("section_title", F.lit("")).alias("section"))))
+    contexts = found.hits.where("rank <= 5").groupBy("query_id").agg(own.alias("_own"))
+    rows = found.questions.select("query_id", "question").join(contexts, "query_id", "left").withColumn("_own", F.coalesce("_own", F.array()))
+    prompts = rows.select("question", F.size(F.array_distinct(F.transform("_own", lambda x: x["section"]))).alias("n_sections"), T.user_prompt(F.col("question"), F.transform("_own", lambda x: x["text"])).alias("prompt"))
+    answered = qa.generate(prompts, answer)
+    return qa.generation_summary(answered).select(F.lit(strategy.name).alias("strategy"), F.lit(condition).alias("condition"), "*", F.lit(model).alias("model"))
+
+
+def build_indexes(paragraphs: DataFrame, folder: str, embedder: Embedder, tokens: TokenEncoder, strategies: tuple[Strategy, ...] = STRATEGIES[:4]) -> DataFrame:
+    """Writes an index for each strategy; (strategy, n_chunks, seconds), a row each."""
+    spark, out = paragraphs.sparkSession, []
+    for s in strategies:
+        began = time.time()
+        sinks.write_index(chunks_of(paragraphs, s.chunker, embedder, tokens), f"{folder}/{s.name}", embedder.dim)
+        out.append((s.name, sinks.read_index(spark, f"{folder}/{s.name}").count(), time.time() - began))
+    return spark.createDataFrame(out, "strategy string, n_chunks long, seconds double")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking, embedding, entities, metrics, qa, retrieval, sections, significance
-from ..sources import articles
+from ..sources import articles, sinks
+from ..sources.work import work_dir, written
 from . import evaluation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,7 +153,7 @@ def condition_paragraphs(spark, sf_dir):
     return sections.conditions(paragraphs(spark, sf_dir)).drop("section_level")
 
 
-@query(f"WITH {COND}, g AS (SELECT condition, doc_id, section_title, min(position) AS f, string_agg(text, chr(10) || chr(10) ORDER BY position) AS text FROM cond GROUP BY 1, 2, 3) SELECT condition, doc_id, section_title, text, (row_number() OVER (PARTITION BY condition, doc_id ORDER BY f) - 1)::BIGINT AS ord FROM g")
+@query(f"WITH {COND}, g AS (SELECT condition, doc_id, section_title, min(position) AS f, string_agg(text, chr(10) || chr(10) ORDER BY position) AS text FROM cond GROUP BY 1, 2, 3) SELECT condition, doc_id, section_title, 0::BIGINT AS level, text, (row_number() OVER (PARTITION BY condition, doc_id ORDER BY f) - 1)::BIGINT AS ord FROM g")
 def condition_sections(spark, sf_dir):
     return sections.sections(sections.conditions(paragraphs(spark, sf_dir)), "condition")
 
@@ -233,19 +234,35 @@ def hash_embed(spark, sf_dir):
     return embedding.hashed_counts(table(spark, sf_dir, "benchmark"), "item_id", "text", 64)
 
 
-@query(f"""WITH {SENTENCES}, c AS (SELECT doc_id, position, {HASHED.format(16)} AS b, count(*)::DOUBLE AS n FROM (SELECT doc_id, position, unnest({sql_words('lower(text)')}) AS w FROM sent) GROUP BY 1, 2, 3),
+GROUPS = f"""{SENTENCES}, c AS (SELECT doc_id, position, {HASHED.format(16)} AS b, count(*)::DOUBLE AS n FROM (SELECT doc_id, position, unnest({sql_words('lower(text)')}) AS w FROM sent) GROUP BY 1, 2, 3),
 n AS (SELECT doc_id, position, sqrt(sum(n * n)) AS norm FROM c GROUP BY 1, 2),
 d AS (SELECT a.doc_id, a.position, sum(a.n * b.n) AS dot FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.position = a.position - 1 AND a.b = b.b GROUP BY 1, 2),
-s AS (SELECT n.doc_id, n.position, CASE WHEN n.position > 0 THEN coalesce(d.dot, 0) / (p.norm * n.norm) END AS sim FROM n LEFT JOIN n p ON p.doc_id = n.doc_id AND p.position = n.position - 1 LEFT JOIN d ON d.doc_id = n.doc_id AND d.position = n.position)
-SELECT doc_id, position, (sum(CASE WHEN coalesce(sim, 1) < 0.6 - 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY position))::BIGINT AS group_id FROM s""")
+s AS (SELECT n.doc_id, n.position, CASE WHEN n.position > 0 THEN coalesce(d.dot, 0) / (p.norm * n.norm) END AS sim FROM n LEFT JOIN n p ON p.doc_id = n.doc_id AND p.position = n.position - 1 LEFT JOIN d ON d.doc_id = n.doc_id AND d.position = n.position),
+g AS (SELECT doc_id, position, (sum(CASE WHEN coalesce(sim, 1) < 0.6 - 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY position))::BIGINT AS group_id FROM s)"""
+
+
+@query(f"WITH {GROUPS} SELECT * FROM g")
 def semantic_groups(spark, sf_dir):
     rows = embedding.embed(chunking.sentence_rows(docs(spark, sf_dir)), embedding.HashingEmbedder(16, normalise=False))
     return chunking.grouped(rows, 0.6 - 1e-9).select("doc_id", "position", "group_id")
 
 
-@query()
+#: Groups merged from left to right by a recursion over their numbers, all documents at once.
+MERGED = f"""{GROUPS},
+gi AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY group_id) AS k FROM (SELECT doc_id, group_id, sum(len({sql_words('text')})) AS n FROM g JOIN sent USING (doc_id, position) GROUP BY 1, 2)),
+r AS (SELECT doc_id, k, n AS acc, 0 AS m FROM gi WHERE k = 1 UNION ALL
+  SELECT gi.doc_id, gi.k, CASE WHEN r.acc < 50 THEN r.acc + gi.n ELSE gi.n END, CASE WHEN r.acc < 50 THEN r.m ELSE r.m + 1 END FROM r JOIN gi ON gi.doc_id = r.doc_id AND gi.k = r.k + 1),
+l AS (SELECT doc_id, max(m) AS mm, arg_max(acc, k) AS acc FROM r GROUP BY 1),
+mg AS (SELECT r.doc_id, r.k, CASE WHEN l.mm > 0 AND l.acc < 50 AND r.m = l.mm THEN r.m - 1 ELSE r.m END AS m FROM r JOIN l USING (doc_id)),
+tx AS (SELECT doc_id, m, string_agg(text, ' ' ORDER BY position) AS t FROM mg JOIN gi USING (doc_id, k) JOIN g USING (doc_id, group_id) JOIN sent USING (doc_id, position) GROUP BY 1, 2),
+tw AS (SELECT doc_id, m, t, {sql_words('t')} AS ws FROM tx),
+sp AS (SELECT doc_id, m, unnest(range(len(ps))) AS i, unnest(ps) AS text FROM (SELECT doc_id, m, CASE WHEN len(ws) > 256 THEN {sql_windows('ws', 256, 0)} ELSE [t] END AS ps FROM tw)),
+semantic AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY m, i) - 1)::BIGINT AS position, text FROM sp)"""
+
+
+@query(f"WITH RECURSIVE {MERGED} SELECT * FROM semantic")
 def semantic_chunks(spark, sf_dir):
-    return chunking.semantic(docs(spark, sf_dir), embedding.HashingEmbedder(64), 0.6, 256)
+    return chunking.semantic(docs(spark, sf_dir), embedding.HashingEmbedder(16, normalise=False), 0.6 - 1e-9, 256)
 
 
 @query("SELECT n, unnest(range(n))::BIGINT AS i, round(unnest(list_transform(range(n), lambda i: CASE WHEN n <= 1 THEN 1.0::DOUBLE ELSE 1 - abs(i - n / 2.0::DOUBLE + 0.5::DOUBLE) / (n / 2.0::DOUBLE) END)), 12) AS weight FROM (SELECT unnest(range(1, 65)) AS n)")
@@ -261,7 +278,13 @@ def window_starts(spark, sf_dir):
     return n.select("doc_id", "n", start.alias("start")).select("doc_id", "start", F.least(F.col("start") + 512, F.col("n")).alias("stop"))
 
 
-@query()
+#: Tokens with the white space before them make up a text; marks of sentences move no cut (the
+#: published computation compares them with places that no token begins at).
+TOKENS = rf"regexp_extract_all(text, '[{WS}]*(?:[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{WS}])')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {TOKENS} AS ts FROM documents), k AS (SELECT doc_id, ts, unnest(range(0, CAST(ceil(len(ts) / 256.0) AS BIGINT)))::BIGINT AS position FROM t)
+SELECT doc_id, position, position * 256 AS token_start, least((position + 1) * 256, len(ts))::BIGINT AS token_end, {sql_strip("array_to_string(ts[position * 256 + 1 : (position + 1) * 256], '')")} AS text FROM k""")
 def late_chunks(spark, sf_dir):
     return chunking.late(docs(spark, sf_dir), embedding.HashingTokenEncoder(32)).select("doc_id", "position", "token_start", "token_end", "text")
 
@@ -449,10 +472,20 @@ def entity_vocab(spark, sf_dir):
     return entities.vocabulary(entities.mentions(docs(spark, sf_dir), terms(spark, sf_dir)))
 
 
-@query(f"WITH {TERMS}, {WORDS}, c0 AS (SELECT doc_id, {sql_windows('ws', 256, 32)} AS cs FROM w), c AS (SELECT doc_id * 100000 + unnest(range(len(cs))) AS chunk_idx, unnest(cs) AS t FROM c0), r AS (SELECT chunk_idx, unnest({SQL_RUNS.format('t')}) AS x FROM c) SELECT chunk_idx, x AS name, count(*) AS n FROM r WHERE lower(x) IN (SELECT term FROM terms) GROUP BY 1, 2")
+CHUNKS = f"{WORDS}, c0 AS (SELECT doc_id, {sql_windows('ws', 256, 32)} AS cs FROM w), ch AS (SELECT doc_id, unnest(range(len(cs)))::BIGINT AS position, unnest(cs) AS text FROM c0)"
+
+
+@query(f"WITH {TERMS}, {CHUNKS}, r AS (SELECT doc_id, position, unnest({SQL_RUNS.format('text')}) AS x FROM ch) SELECT doc_id, position, x AS name, count(*) AS n FROM r WHERE lower(x) IN (SELECT term FROM terms) GROUP BY 1, 2, 3")
 def chunk_mentions(spark, sf_dir):
-    chunks = chunking.naive(docs(spark, sf_dir), 256, 32).withColumn("chunk_idx", F.col("doc_id") * 100_000 + F.col("position"))
-    return entities.mentions(chunks, terms(spark, sf_dir), "chunk_idx").groupBy("chunk_idx", F.col("text").alias("name")).agg(F.count("*").alias("n"))
+    chunks = chunking.naive(docs(spark, sf_dir), 256, 32).withColumn("chunk_idx", F.struct("doc_id", "position"))
+    rows = entities.mentions(chunks, terms(spark, sf_dir), "chunk_idx")
+    return rows.groupBy("chunk_idx.doc_id", "chunk_idx.position", F.col("text").alias("name")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {TERMS}, r AS (SELECT doc_id, unnest({SQL_RUNS.format('text')}) AS w FROM documents) SELECT doc_id, w AS text, count(*) AS n FROM r WHERE lower(w) IN (SELECT term FROM terms) GROUP BY 1, 2")
+def entity_mentions_joined(spark, sf_dir):
+    """As for a dictionary too large to broadcast."""
+    return entities.mentions(docs(spark, sf_dir), terms(spark, sf_dir), most=0).groupBy("doc_id", "text").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -509,18 +542,37 @@ def prompt_build(spark, sf_dir):
 _TEMPLATE_ROWS = ", ".join(f"({i}, '{t}', '{s}', {r!r}, '{q}')" for i, (t, s, r, q) in enumerate(qa.TEMPLATES))
 
 
-@query(f"""WITH {LABELLED}, tp(ord, template_type, source, required, template) AS (VALUES {_TEMPLATE_ROWS}),
+TEMPLATED = f"""{LABELLED}, tp(ord, template_type, source, required, template) AS (VALUES {_TEMPLATE_ROWS}),
 d AS (SELECT doc_id, list(DISTINCT label) AS ls FROM lab GROUP BY 1), f AS (SELECT doc_id, label, text FROM lab QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY position) = 1),
 ph AS (SELECT doc_id, label, array_to_string({sql_words("string_split(text, '.')[1]")}[1:15], ' ') AS p FROM f),
 m AS (SELECT d.doc_id, tp.*, lower(left(p, 1)) || p[2:] AS p FROM d, tp JOIN ph ON ph.label = tp.source WHERE ph.doc_id = d.doc_id AND len(list_intersect(tp.required, d.ls)) = 2 AND p <> ''),
-g AS (SELECT m.doc_id, m.ord, list(lab.position ORDER BY lab.position) AS gold FROM m JOIN lab ON lab.doc_id = m.doc_id AND list_contains(m.required, lab.label) GROUP BY 1, 2)
-SELECT m.doc_id AS article_id, replace(template, '{{phrase}}', p) AS question, array_to_string(required, ',') AS required_sections, array_to_string(gold, ',') AS gold_paragraph_ids, template_type FROM m JOIN g USING (doc_id, ord) QUALIFY row_number() OVER (PARTITION BY m.doc_id ORDER BY m.ord) <= 3""")
+g AS (SELECT m.doc_id, m.ord, list(lab.position ORDER BY lab.position) AS gold FROM m JOIN lab ON lab.doc_id = m.doc_id AND list_contains(m.required, lab.label) GROUP BY 1, 2),
+tq AS (SELECT m.doc_id AS article_id, replace(template, '{{phrase}}', p) AS question, required, gold, template_type FROM m JOIN g USING (doc_id, ord) QUALIFY row_number() OVER (PARTITION BY m.doc_id ORDER BY m.ord) <= 5)"""
+
+
+@query(f"WITH {TEMPLATED} SELECT article_id, question, array_to_string(required, ',') AS required_sections, array_to_string(gold, ',') AS gold_paragraph_ids, template_type FROM tq")
 def template_qa(spark, sf_dir):
-    rows = qa.template_questions(paragraphs(spark, sf_dir), 3)
+    rows = qa.template_questions(paragraphs(spark, sf_dir))
     return rows.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("required_sections", "gold_paragraph_ids")})
 
 
-@query()
+def sql_f1(a: str, b: str) -> str:
+    """Token F1 of two texts, from counts of words by map."""
+    x, y = (f"coalesce({sql_words(f'lower({t})')}, [])" for t in (a, b))
+    common = f"coalesce(list_sum(list_transform(list_distinct({x}), lambda w: least(len(list_filter({x}, lambda v: v = w)), len(list_filter({y}, lambda v: v = w))))), 0)"
+    return f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * {common} / (len({x}) + len({y})) END"
+
+
+def sql_decision(t: str) -> str:
+    first = f"regexp_replace(lower({sql_words(t)}[1]), '[.,;:!]+$', '')"
+    return f"CASE WHEN {first} IN ('yes', 'no', 'maybe') THEN {first} ELSE 'unknown' END"
+
+
+PROMPTS = "pr AS (SELECT conv_id, first(text ORDER BY turn) AS f, string_agg('[' || i || '] ' || text, chr(10) ORDER BY turn) AS body FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) GROUP BY conv_id)"
+
+
+@query(f"""WITH {PROMPTS}, q AS (SELECT conv_id, string_split(f, chr(10))[1] AS answer, string_split('Context:' || chr(10) || body || chr(10) || chr(10) || 'Question: ' || f, 'Question: ')[-1] AS question FROM pr)
+SELECT conv_id, {sql_decision('answer')} AS decision, round({sql_f1('answer', 'question')}, 9) AS f1 FROM q""")
 def generation_eval(spark, sf_dir):
     """Prompts of conversations, extractive answers, and their token F1 against the question."""
     answered = qa.generate(prompt_build(spark, sf_dir))
@@ -528,12 +580,22 @@ def generation_eval(spark, sf_dir):
     return answered.select("conv_id", "decision", F.round(T.token_f1(F.col("full_answer"), question), 9).alias("f1"))
 
 
+@query(f"""WITH {TURNS}, a AS (SELECT CASE WHEN conv_id % 2 = 0 THEN 'Unknown ' ELSE 'yes' END AS label, answer, string_split(answer, chr(10))[1] AS full_answer FROM t)
+SELECT round(avg(CASE WHEN {sql_decision('full_answer')} = lower(trim(label)) THEN 1 ELSE 0 END), 9) AS accuracy, round(avg({sql_f1('full_answer', 'answer')}), 9) AS avg_f1, count(*) AS n_questions FROM a""")
+def generation_scores(spark, sf_dir):
+    """Accuracy of decisions and mean F1 of extractive answers of conversations' turns."""
+    label = F.when(F.col("conv_id") % 2 == 0, "Unknown ").otherwise("yes").alias("label")
+    prompts = turns(spark, sf_dir).select(label, F.col("answer").alias("long_answer"), T.user_prompt(F.col("text"), F.array("answer")).alias("prompt"))
+    scores = qa.answer_scores(qa.generate(prompts))
+    return scores.select(F.round("accuracy", 9).alias("accuracy"), F.round("avg_f1", 9).alias("avg_f1"), "n_questions")
+
+
 # ---- significance and reports ----------------------------------------------------------
 
 
 def strategy_rr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(condition, strategy, query_id, rr): dense hits, hits re-ranked by entities, and a reversed list."""
-    h = hits(spark, sf_dir).select("query_id", "chunk_idx", "rank", "score", "doc_id", "section_title").persist()
+    h = written(hits(spark, sf_dir).select("query_id", "chunk_idx", "rank", "score", "doc_id", "section_title"), work_dir(spark, "hits"))
     ranked = retrieval.rerank(h, *names(spark, sf_dir), k=20, variant="script").join(h.select("query_id", "chunk_idx", "doc_id", "section_title"), ["query_id", "chunk_idx"])
     back = h.withColumn("rank", 21 - F.col("rank"))
     out = None
@@ -546,7 +608,7 @@ def strategy_rr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_significance(spark, sf_dir):
-    return significance.significance(strategy_rr(spark, sf_dir), "graph")
+    return significance.rounded(significance.significance(strategy_rr(spark, sf_dir), "graph"))
 
 
 @query("""SELECT source AS competitor, p AS p_value, round(max(least(p * (n - k + 1), 1)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING), 9) AS adjusted_p_value FROM (
@@ -619,15 +681,146 @@ def llm_json_parse(spark, sf_dir):
     return rows.select("article_id", "question", F.array_join("required_sections", ",").alias("required_sections"), F.array_join(F.col("gold_paragraph_ids").cast("array<string>"), ",").alias("gold_paragraph_ids"))
 
 
+@query(f"""WITH {PARAS} SELECT doc_id::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY position) - 1)::BIGINT AS position, t AS text, section_title FROM (SELECT doc_id, position, section_title, trim(regexp_replace(text, '[{WS}]+', ' ', 'g')) AS t FROM para) WHERE t <> ''""")
+def xml_articles(spark, sf_dir):
+    """Documents written as XML articles, a section for each placed title, and parsed again."""
+    clean = F.regexp_replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", " ")
+    p = paragraphs(spark, sf_dir).select("doc_id", "position", "section_title", F.concat(F.lit("<p>"), clean, F.lit("</p>")).alias("p"))
+    own = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "p"))), lambda x: x["p"]), "")
+    secs = p.groupBy("doc_id", "section_title").agg(F.min("position").alias("first"), F.concat(F.lit("<sec><title>"), "section_title", F.lit("</title>"), own, F.lit("</sec>")).alias("sec"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "sec"))), lambda x: x["sec"]), "")
+    xml = F.concat(F.lit('<article><front><article-id pub-id-type="pmc">'), F.col("doc_id").cast("string"), F.lit("</article-id></front><body>"), body, F.lit("</body></article>"))
+    files = secs.groupBy("doc_id").agg(F.encode(xml, "UTF-8").alias("content")).select(F.concat(F.lit("x/"), F.col("doc_id").cast("string"), F.lit(".xml")).alias("path"), "content")
+    return articles.paragraphs_of(articles.parse_articles(files)).select("doc_id", "position", "text", "section_title")
+
+
+@query(f"WITH {COND} SELECT doc_id, position, text, section_title FROM cond WHERE condition = 'partial'")
+def condition_roundtrip(spark, sf_dir):
+    """Conditions as the sink writes them, one of them read by the loader."""
+    folder = work_dir(spark, "conditions")
+    sinks.write_partitioned(sections.conditions(paragraphs(spark, sf_dir)), folder, "condition")
+    return articles.read_condition(spark, folder, "partial").drop("section_level")
+
+
+@query("SELECT item_id::VARCHAR AS id, text AS question, CASE item_id % 3 WHEN 0 THEN text || chr(10) || 'more' WHEN 1 THEN text ELSE '' END AS context, '' AS long_answer, 'yes' AS label, item_id::VARCHAR AS pmid FROM benchmark")
+def question_source(spark, sf_dir):
+    """Benchmark items as a JSON list of questions, contexts of every kind, read by the source."""
+    context = F.when(F.col("item_id") % 3 == 0, F.to_json(F.struct(F.array("text", F.lit("more")).alias("contexts")))).when(F.col("item_id") % 3 == 1, F.to_json(F.struct(F.col("text").alias("c")))).otherwise(F.lit(""))
+    inner = F.when(F.col("item_id") % 3 == 1, F.regexp_replace(F.regexp_replace(context, r'^\{"c":', ""), r"\}$", "")).otherwise(context)
+    named = F.concat(F.lit('{"pubid":'), F.col("item_id").cast("string"), F.lit(',"final_decision":"YES","question":'), F.regexp_extract(F.to_json(F.struct(F.col("text").alias("q"))), r'(?s)^\{"q":(.*)\}$', 1))
+    one = F.concat(named, F.when(F.col("item_id") % 3 < 2, F.concat(F.lit(',"context":'), inner)).otherwise(F.lit("")), F.lit("}"))
+    folder = work_dir(spark, "questions")
+    rows = table(spark, sf_dir, "benchmark").agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value"))  # a list is one value
+    rows.write.mode("overwrite").text(f"{folder}/list")
+    return articles.read_questions(spark, f"{folder}/none.json", f"{folder}/list")
+
+
 # ---- flagship --------------------------------------------------------------------------
 
+#: Vectors of the searches below: counts of words in 64 buckets, whole numbers in SQL as in Spark.
+COUNTS = embedding.HashingEmbedder(64, normalise=False)
 
-@query()
+
+def sql_hits(k: int) -> str:
+    """Ranked hits of ``qs`` (query_id, question) among the chunks ``ch``, as CTEs."""
+
+    def counted(key: str, text: str, rows: str) -> str:
+        return f"SELECT {key}, {HASHED.format(64)} AS b, count(*)::DOUBLE AS n FROM (SELECT {key}, unnest({sql_words(f'lower({text})')}) AS w FROM {rows}) GROUP BY ALL"
+
+    score = "round(dot / (qn.norm * cn.norm), 12)"
+    return f"""cv AS ({counted('doc_id, position', 'text', 'ch')}), qv AS ({counted('query_id', 'question', 'qs')}),
+cn AS (SELECT doc_id, position, sqrt(sum(n * n)) AS norm FROM cv GROUP BY 1, 2), qn AS (SELECT query_id, sqrt(sum(n * n)) AS norm FROM qv GROUP BY 1),
+dots AS (SELECT query_id, doc_id, position, sum(qv.n * cv.n) AS dot FROM qv JOIN cv USING (b) GROUP BY 1, 2, 3),
+hits AS (SELECT query_id, doc_id, position, {score} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, doc_id, position) AS rank FROM dots JOIN qn USING (query_id) JOIN cn USING (doc_id, position) QUALIFY rank <= {k})"""
+
+
+def search_chunks(spark: SparkSession, sf_dir: str, questions: DataFrame, k: int) -> DataFrame:
+    """Hits of (query_id, question) among all documents' fixed windows."""
+    chunks = chunking.naive(docs(spark, sf_dir), 256, 32)
+    chunks = written(embedding.embed(chunks, COUNTS).withColumn("chunk_idx", F.struct("doc_id", "position")), work_dir(spark, "chunks"))
+    return evaluation.hits_of(embedding.embed(questions, COUNTS, "question"), chunks, k)
+
+
+def passages(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFrame:
+    """Benchmark items as questions (their first words, if a number is given) with their text as context."""
+    text = F.array_join(F.slice(T.words(F.col("text")), 1, words), " ") if words else F.col("text")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("question"), F.col("text").alias("context"))
+
+
+PASSAGES = f"qs AS (SELECT item_id AS query_id, array_to_string({sql_words('text')}[1:12], ' ') AS question, text AS context FROM benchmark)"
+
+
+@query(f"WITH {CHUNKS}, qs AS (SELECT item_id AS query_id, text AS question FROM benchmark), {sql_hits(5)} SELECT query_id, doc_id, position, round(score, 9) AS score, rank FROM hits")
 def passage_search(spark, sf_dir):
     """Benchmark passages against all chunks: fixed windows, hashed vectors, exact top k."""
-    e = embedding.HashingEmbedder(64)
-    chunks = chunking.naive(docs(spark, sf_dir), 256, 32).withColumn("chunk_idx", F.col("doc_id") * 100_000 + F.col("position"))
-    asked = embedding.embed(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), e)
-    found = retrieval.top_k(asked, embedding.embed(chunks, e), 5)
-    return found.select("query_id", "chunk_idx", F.round("score", 9).alias("score"), "rank")
+    found = search_chunks(spark, sf_dir, passages(spark, sf_dir), 5)
+    return found.select("query_id", "doc_id", "chunk_idx.position", F.round("score", 9).alias("score"), "rank")
+
+
+def sql_jaccard(a: str, b: str) -> str:
+    x, y = (f"list_distinct({sql_words(f'lower({t})')})" for t in (a, b))
+    return f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({x}, {y})) / len(list_distinct({x} || {y}))::DOUBLE END"
+
+
+def sql_relevant(condition: str) -> str:
+    return f"{CHUNKS}, {PASSAGES}, {sql_hits(5)}, f AS (SELECT query_id, min(rank) AS first_rank FROM hits JOIN ch USING (doc_id, position) JOIN qs USING (query_id) WHERE {condition} GROUP BY 1), q AS (SELECT query_id, first_rank FROM qs LEFT JOIN f USING (query_id))"
+
+
+RR = "coalesce(avg(coalesce(1.0::DOUBLE / first_rank, 0)), 0)"
+
+
+@query(f"WITH {sql_relevant(sql_jaccard('text', 'context') + ' >= 0.3')} SELECT round({RR}, 9) AS mrr, {', '.join(f'round(avg(CASE WHEN first_rank <= {k} THEN 1 ELSE 0 END), 9) AS recall_{k}' for k in (1, 3, 5))} FROM q")
+def jaccard_retrieval(spark, sf_dir):
+    asked = passages(spark, sf_dir, 12)
+    rows = metrics.jaccard_relevance(search_chunks(spark, sf_dir, asked, 5), asked)
+    return rows.select(*(F.round(c, 9).alias(c) for c in rows.columns))
+
+
+@query(f"WITH {sql_relevant(' OR '.join([sql_jaccard('text', 'context') + ' >= 0.15', sql_jaccard('text', 'question') + ' >= 0.12', 'score >= 0.55']))} SELECT 'naive' AS strategy, round({RR}, 4) AS MRR, 0.0::DOUBLE AS recall_1, 0.0::DOUBLE AS recall_3, 0.0::DOUBLE AS recall_5, count(*) AS n_questions, count(first_rank) AS n_found FROM q")
+def hybrid_retrieval(spark, sf_dir):
+    asked = passages(spark, sf_dir, 12)
+    return metrics.hybrid_relevance(search_chunks(spark, sf_dir, asked, 5), asked, "naive")
+
+
+def template_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Template questions (query_id, question, gold, required), their article being the gold one."""
+    rows = qa.template_questions(paragraphs(spark, sf_dir))
+    return rows.select(F.concat_ws(":", F.col("article_id").cast("string"), "template_type").alias("query_id"), "question", F.array("article_id").alias("gold"), F.col("required_sections").alias("required"))
+
+
+ASKED = f"{TEMPLATED}, qs AS (SELECT article_id::VARCHAR || ':' || template_type AS query_id, question, article_id AS gold, required FROM tq)"
+FULL_EVAL = f"""WITH {ASKED}, {CHUNKS}, {sql_hits(20)}, q1 AS (SELECT qs.query_id, min(CASE WHEN doc_id = gold THEN rank END) AS first_rank, coalesce(sum(CASE WHEN doc_id = gold AND rank <= 10 THEN 1 / log2(rank + 1) END), 0) AS ndcg, count(rank) AS n
+  FROM qs LEFT JOIN hits USING (query_id) GROUP BY 1)
+SELECT 'naive' AS strategy, round({RR}, 9) AS MRR, {', '.join(f'round(avg(CASE WHEN first_rank <= {k} THEN 1 ELSE 0 END), 9) AS recall_{k}' for k in (1, 3, 5, 10))}, round(avg(ndcg), 9) AS ndcg_10, count(*) AS n_questions, count(first_rank) AS n_found,
+  {', '.join(f'0.0::DOUBLE AS cross_section_recall_{k}, round(avg(least(n, 1)), 9) AS section_coverage_{k}' for k in (5, 10, 20))} FROM q1"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+@query(FULL_EVAL)
+def eval_naive(spark, sf_dir):
+    """The whole evaluation of one strategy, from articles and template questions to metrics."""
+    return _rounded(evaluation.evaluate(paragraphs(spark, sf_dir), template_rows(spark, sf_dir), evaluation.STRATEGIES[0], COUNTS, embedding.HashingTokenEncoder(64)))
+
+
+@query()
+def eval_strategies(spark, sf_dir):
+    """All six strategies."""
+    return _rounded(evaluation.evaluate_all(paragraphs(spark, sf_dir), template_rows(spark, sf_dir), embedding.HashingEmbedder(64), embedding.HashingTokenEncoder(64), terms(spark, sf_dir)))
+
+
+@query(f"""WITH {ASKED}, {CHUNKS}, {sql_hits(5)}, x AS (SELECT qs.query_id, any_value(question) AS question, count(rank) AS n, sum(len({sql_words('text')})) AS nw, coalesce(max(CASE WHEN rank = 1 THEN text END), '') AS answer FROM qs LEFT JOIN hits USING (query_id) LEFT JOIN ch USING (doc_id, position) GROUP BY 1)
+SELECT 'naive' AS strategy, 'fulltext' AS condition, round(avg({sql_f1('answer', 'question')}), 4) AS avg_f1, round(avg(least(n, 1)), 2) AS avg_section_diversity, count(*) AS n_questions,
+  sum(2 + n + coalesce(nw, 0) + len({sql_words('question')}) + len({sql_words('answer')}))::BIGINT AS total_tokens, 'extractive' AS model FROM x""")
+def generation_summary(spark, sf_dir):
+    return evaluation.generation(paragraphs(spark, sf_dir), template_rows(spark, sf_dir), evaluation.STRATEGIES[0], COUNTS, embedding.HashingTokenEncoder(64))
+
 
+@query(f"WITH {CHUNKS} SELECT 'naive' AS strategy, count(*) AS n_chunks FROM ch UNION ALL SELECT 'late_chunking', sum(ceil(len({TOKENS}) / 256.0))::BIGINT FROM documents")
+def index_build(spark, sf_dir):
+    """Indexes of two strategies, written, and their sizes."""
+    chosen = tuple(s for s in evaluation.STRATEGIES if s.name in ("naive", "late_chunking"))
+    built = evaluation.build_indexes(paragraphs(spark, sf_dir), work_dir(spark, "indexes"), embedding.HashingEmbedder(16), embedding.HashingTokenEncoder(16), chosen)
+    return built.select("strategy", "n_chunks")

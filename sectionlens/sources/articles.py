@@ -8,7 +8,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -117,8 +117,9 @@ class ArticleParser:
         self.sections.append({"path": [k], "level": 0, "title": title, "text": "\n".join(texts)})
 
 
-def read_articles(spark: SparkSession, path: str, mode: str = "nested") -> DataFrame:
-    """One row for each XML file of a folder (``ARTICLE``); files that don't parse have an error and nothing else."""
+def parse_articles(files: DataFrame, mode: str = "nested") -> DataFrame:
+    """One row (``ARTICLE``) for each row (path, content) of XML bytes; those that don't parse have
+    an error and nothing else."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parse = ArticleParser(mode)
@@ -133,8 +134,14 @@ def read_articles(spark: SparkSession, path: str, mode: str = "nested") -> DataF
                     rows.append(dict.fromkeys(names) | {"doc_id": stem, "error": str(e)})
             yield pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in names})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path).select("path", "content")
-    return files.mapInPandas(run, ARTICLE)
+    return files.select("path", "content").mapInPandas(run, ARTICLE)
+
+
+def read_articles(spark: SparkSession, path: str, mode: str = "nested") -> DataFrame:
+    """The articles (``ARTICLE``) of a folder's XML files.  A folder that isn't there has none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], ARTICLE)
+    return parse_articles(spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path), mode)
 
 
 def paragraphs_of(articles: DataFrame) -> DataFrame:
@@ -168,26 +175,86 @@ def page_paragraphs(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "position", T.squeeze(text).alias("text"))
 
 
-QA_RAW = "question string, context struct<contexts:array<string>>, long_answer string, final_decision string, pubid string"
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
 
+#: ``context`` is read as a string: JSON that isn't a string stays JSON text there.
+QA_RAW = "question string, context string, long_answer string, final_decision string, pubid string, id string, label string, pmid string"
 
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Questions of a JSON list, contexts joined by lines, labels in lower case."""
-    rows = spark.read.schema(QA_RAW).json(path, multiLine=True)
-    context = F.array_join("context.contexts", "\n")
-    return rows.select(F.col("pubid").alias("id"), "question", context.alias("context"), "long_answer", F.lower("final_decision").alias("label"), F.col("pubid").alias("pmid"))
+
+def read_questions(spark: SparkSession, *paths: str) -> DataFrame:
+    """Questions of the first of several JSON lists that exists; none if none does.
+
+    A context that is an object of ``contexts`` is these, joined by lines; a string is itself;
+    anything else is its JSON text; a missing one is empty.  Labels are in lower case; ids of
+    lists that were processed before (``id``, ``label``, ``pmid``) are kept.
+    """
+    rows = read_first_of(spark, QA_RAW, *paths)
+    listed = F.from_json("context", "contexts array<string>")["contexts"]
+    context = F.when(F.col("context").rlike(r"^\s*\{") & F.get_json_object("context", "$.contexts").isNotNull(), F.array_join(listed, "\n")).when(F.col("context").rlike(r"^\s*\{\s*\}\s*$"), F.lit("")).otherwise(F.coalesce("context", F.lit("")))
+    number = F.coalesce("pubid", "id", F.lit(""))
+    return rows.select(number.alias("id"), "question", context.alias("context"), F.coalesce("long_answer", F.lit("")).alias("long_answer"), F.lower(F.coalesce("final_decision", "label", F.lit(""))).alias("label"), F.coalesce("pmid", number).alias("pmid"))
 
 
 def read_first_of(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
     """The first of several JSON files that exists; an empty frame if none does."""
-    jvm = spark.sparkContext._jvm
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        if exists(spark, p):
             return spark.read.schema(schema).json(p, multiLine=True)
     return spark.createDataFrame([], schema)
 
 
+_STORED = "text string, section_title string, section_level int, position int, citations array<string>"
+STORED_ARTICLE = f"pmid string, title string, abstract string, references array<string>, is_pubmedqa boolean, paragraphs array<struct<{', '.join(x.replace(' ', ':', 1) for x in _STORED.split(', '))}>>"
+
+
+def stored_articles(rows: DataFrame) -> DataFrame:
+    """Articles of ``STORED_ARTICLE`` rows with their defaults: empty strings and lists, level 0, and
+    for a paragraph without a position its place in the list."""
+    none = F.array().cast("array<string>")
+
+    def whole(p: Column, i: Column) -> Column:
+        return F.struct(
+            F.coalesce(p["position"], i).alias("position"), F.coalesce(p["text"], F.lit("")).alias("text"), F.coalesce(p["section_title"], F.lit("")).alias("section_title"),
+            F.coalesce(p["section_level"], F.lit(0)).alias("section_level"), F.coalesce(p["citations"], none).alias("citations"),
+        )
+
+    return rows.select(
+        *(F.coalesce(c, F.lit("")).alias(n) for c, n in (("pmid", "doc_id"), ("title", "title"), ("abstract", "abstract"))), F.coalesce("references", none).alias("references"),
+        F.coalesce("is_pubmedqa", F.lit(False)).alias("is_pubmedqa"), F.transform(F.coalesce("paragraphs", F.array().cast(rows.schema["paragraphs"].dataType)), whole).alias("paragraphs"),
+    )
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed articles of a JSON list, or of a folder of JSON files; none if the path isn't there."""
+    if not exists(spark, path):
+        return stored_articles(spark.createDataFrame([], STORED_ARTICLE))
+    return stored_articles(spark.read.schema(STORED_ARTICLE).json(path, multiLine=True, pathGlobFilter="*.json"))
+
+
+def read_condition(spark: SparkSession, root: str, condition: str, without_tagged: bool = False, short_ids: bool = False) -> DataFrame:
+    """Paragraphs of one condition, from what ``write_partitioned`` (by ``condition``) wrote under
+    ``root`` or from a folder of JSON files named after it; none if neither is there.
+
+    ``without_tagged`` leaves out articles that questions were made for; ``short_ids`` cuts ids
+    at ``__``.
+    """
+    columns = ["doc_id", "position", "text", "section_title", "section_level"]
+    if exists(spark, f"{root.rstrip('/')}/condition={condition}"):
+        rows = spark.read.parquet(root).where(F.col("condition") == condition)  # one partition is read
+        if without_tagged and "is_pubmedqa" in rows.columns:
+            rows = rows.where(~F.coalesce("is_pubmedqa", F.lit(False)))
+    else:
+        found = read_stored(spark, f"{root.rstrip('/')}/{condition}")
+        found = found.where(~F.col("is_pubmedqa")) if without_tagged else found
+        rows = found.select("doc_id", F.explode("paragraphs").alias("p")).select("doc_id", "p.*")
+    rows = rows.withColumn("doc_id", F.substring_index(F.col("doc_id").cast("string"), "__", 1)) if short_ids else rows
+    return rows.select(*(c for c in columns if c in rows.columns))
+
+
 def descriptor_id(uid: str) -> str:
     """``D`` and a number filled up to six digits."""
     return "D" + re.sub(r"\D", "", str(uid)).zfill(6)

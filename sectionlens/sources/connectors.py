@@ -15,7 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .articles import descriptor_id
+from .articles import descriptor_id, exists
+from .seed_terms import seed_terms
 
 
 @dataclass
@@ -91,6 +92,43 @@ def terms_table(spark: SparkSession, records: Iterable[tuple[str, list[str]]], l
     return named.where(F.char_length("term") >= least).select(F.lower("term").alias("term"), "concept_id").distinct()
 
 
+def term_records(page: Callable[[list[str]], dict[str, object]], ids: Iterable[str], batch: int = 100, least: int = 3, limiter: RateLimiter | None = None) -> list[tuple[str, list[str]]]:
+    """Records (uid, names) of summaries asked for in batches; a batch that fails is left out.
+
+    Names of a list need ``least`` characters; a single name is taken as it is.
+    """
+    out: list[tuple[str, list[str]]] = []
+    ids = [str(i) for i in ids]
+    for k in range(0, len(ids), batch):
+        if limiter:
+            limiter.wait()
+        try:
+            found = page(ids[k : k + batch])
+        except (OSError, ValueError):
+            continue
+        for uid in ids[k : k + batch]:
+            names = found.get(uid) or []
+            names = [names] if isinstance(names, str) else [n for n in names if n and len(n) >= least]
+            out.append((uid, names))
+    return [r for r in out if r[1]]
+
+
+def load_terms(spark: SparkSession, cache: str, fetch: Callable[[], list[tuple[str, list[str]]]] | None = None) -> DataFrame:
+    """(term, concept_id): the cached table if it has rows, else what ``fetch`` brings, else the seed
+    terms; what was found is cached."""
+    if exists(spark, cache):
+        rows = spark.read.schema("term string, concept_id string").json(cache)
+        if not rows.isEmpty():
+            return rows
+    try:
+        records = fetch() if fetch else []
+    except OSError:
+        records = []
+    terms = terms_table(spark, records, 1) if records else seed_terms(spark)
+    terms.select("term", "concept_id").write.mode("overwrite").json(cache)
+    return spark.read.schema("term string, concept_id string").json(cache)
+
+
 class ConceptClient:
     """Searches a concept service: a ticket for granting tickets, one ticket a call, paced calls."""
 
@@ -127,4 +165,4 @@ class ConceptClient:
         return [{k: r.get(k, "") for k in ("relatedIdName", "relationLabel", "relatedId")} for r in self._results(f"/rest/content/current/CUI/{concept}/relations")]
 
 
-__all__ = ["ConceptClient", "RateLimiter", "descriptor_id", "land", "not_landed", "related", "search", "terms_table"]
+__all__ = ["ConceptClient", "RateLimiter", "descriptor_id", "land", "load_terms", "not_landed", "related", "search", "term_records", "terms_table"]

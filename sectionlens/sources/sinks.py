@@ -7,17 +7,26 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
+
 
 def write_partitioned(df: DataFrame, path: str, *keys: str) -> None:
     """Overwrites only the partitions that the rows have."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def write_index(chunks: DataFrame, path: str) -> None:
-    """A chunk table as an index; one without vectors is refused."""
-    if "embedding" not in chunks.columns or chunks.where("embedding is not null").isEmpty():
+def write_index(chunks: DataFrame, path: str, dim: int | None = None) -> None:
+    """A chunk table as an index, its vectors of length 1; one without vectors, or with some of
+    another width than ``dim`` (that of the first, if not given), is refused."""
+    if "embedding" not in chunks.columns:
+        raise ValueError("the index has not been built")
+    rows = chunks.where("embedding is not null")
+    widths = rows.agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+    if widths.low is None:
         raise ValueError("the index has not been built")
-    chunks.write.mode("overwrite").parquet(path)
+    if (widths.low, widths.high) != (dim or widths.low,) * 2:
+        raise ValueError(f"vectors of {widths.low} to {widths.high} numbers in an index of {dim or widths.low}")
+    rows.withColumn("embedding", V.l2_normalise(F.col("embedding")).cast("array<float>")).write.mode("overwrite").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -33,6 +42,45 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def chunk_entity_map(chunk_names: DataFrame, key: str = "chunk_idx") -> DataFrame:
+    """(key, names): the entities of each chunk, one entry a mention, by name; for ``write_json``."""
+    return chunk_names.groupBy(F.col(key).cast("string").alias(key)).agg(F.sort_array(F.collect_list("name")).alias("names"))
+
+
+def summary(results: DataFrame, condition: str | None = None) -> DataFrame:
+    """Results without their per-query values, which are too large for a summary."""
+    rows = results.drop("per_query_rr")
+    return rows if condition is None else rows.withColumn("condition", F.lit(condition))
+
+
+def significance_map(tests: DataFrame) -> DataFrame:
+    """(condition, tests): each condition's tests as a map by competitor, rounded; for ``write_json``."""
+    values = [c for c, t in tests.dtypes if t == "double"]
+    one = F.struct("competitor", F.struct(*(F.round(c, 6).alias(c) for c in values)).alias("test"))
+    return tests.groupBy("condition").agg(F.map_from_entries(F.sort_array(F.collect_list(one))).alias("tests"))
+
+
+def figure_frames(metrics: DataFrame, base: str, conditions: list[str]) -> dict[str, DataFrame]:
+    """The frames behind the report's figures, from rows (condition, strategy, MRR, section_coverage_20, ...):
+    bars of a metric by strategy, steps from a base strategy, MRR over conditions, and a heat map."""
+    of_base = metrics.where(F.col("strategy") == base).select("condition", F.col("MRR").alias("_base"))
+    return {
+        "bars": metrics.unpivot(["condition", "strategy"], [c for c, t in metrics.dtypes if t == "double"], "metric", "value"),
+        "waterfall": metrics.join(of_base, "condition").select("condition", "strategy", (F.col("MRR") - F.col("_base")).alias("delta")),
+        "crossover": metrics.select("condition", "strategy", "MRR"),
+        "heat": metrics.groupBy("strategy").pivot("condition", conditions).agg(F.first("MRR")),
+        "coverage": metrics.select("condition", "strategy", *(c for c in metrics.columns if c.startswith("section_coverage_"))),
+    }
+
+
+def console_table(metrics: DataFrame, columns: list[str], rows: int = 100) -> str:
+    """A report-sized frame as lines of text."""
+    found = metrics.select("strategy", *columns).orderBy("strategy").limit(rows).collect()
+    shown = [["strategy", *columns], *([r.strategy, *("--" if r[c] is None else f"{r[c]:.4f}" if isinstance(r[c], float) else str(r[c]) for c in columns)] for r in found)]
+    width = [max(len(r[k]) for r in shown) for k in range(len(columns) + 1)]
+    return "\n".join("  ".join(x.ljust(w) if k == 0 else x.rjust(w) for k, (x, w) in enumerate(zip(r, width))) for r in shown)
+
+
 def latex_table(metrics: DataFrame, columns: list[str], caption: str, label: str) -> str:
     """A LaTeX table of a report-sized frame (strategy, columns...), greatest values in bold."""
     rows = metrics.select("strategy", *columns).orderBy("strategy").limit(100).collect()

@@ -12,13 +12,17 @@ DOCUMENTS = "doc_id long, text string"
 
 
 def landed(spark: SparkSession, folder: str, schema: str = DOCUMENTS, files_a_batch: int = 64) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
+    """Parquet files of a folder as a stream; ``landed_at`` is when a row's file was written."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
+    return rows.withColumn("landed_at", F.col("_metadata.file_modification_time"))
 
 
-def chunk_stream(docs: DataFrame, most: int = 256, overlap: int = 32) -> DataFrame:
-    """Fixed-window chunks; documents that arrive again are dropped, by id, among those remembered."""
-    once = docs.dropDuplicates(["doc_id"])
+def chunk_stream(docs: DataFrame, most: int = 256, overlap: int = 32, remember: str = "7 days") -> DataFrame:
+    """Fixed-window chunks; documents that arrive again within ``remember`` are dropped by id.
+
+    Older ids leave the state, which so stays as large as what lands in that time.
+    """
+    once = docs.withWatermark("landed_at", remember).dropDuplicatesWithinWatermark(["doc_id"])
     return once.select("doc_id", F.posexplode(T.windows(T.words(F.col("text")), most, overlap)).alias("position", "text"))
 
 

@@ -85,12 +85,13 @@ def merged(groups, least):
     return acc
 
 
-def test_merge_small(spark):
+def test_merged_groups():
     rng = random.Random(1)
-    cases = [[("w " * n).strip() for n in [10, 20, 30, 60, 5, 70, 8]], [], ["a"]] + [[("v " * rng.randint(1, 60)).strip() for _ in range(rng.randint(1, 9))] for _ in range(30)]
-    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, g array<string>")
-    for r in df.select("i", chunking.merge_small(F.col("g"), 50).alias("m")).collect():
-        assert r.m == merged(cases[r.i], 50)
+    cases = [[10, 20, 30, 60, 5, 70, 8], [], [1]] + [[rng.randint(1, 60) for _ in range(rng.randint(1, 9))] for _ in range(200)]
+    for case in cases:
+        begin = chunking.merged_groups(case, 50)
+        got = [" ".join(" ".join(["w"] * n) for n in case[a:b]) for a, b in zip(begin, [*begin[1:], len(case)])]
+        assert got == merged([" ".join(["w"] * n) for n in case], 50)
 
 
 def test_semantic_covers_the_text(spark):
@@ -101,12 +102,29 @@ def test_semantic_covers_the_text(spark):
     assert all(len(r.text.split()) <= 64 for r in rows)
 
 
+def slow_token_vectors(text, encoder, most, overlap):
+    """Window by window and token by token."""
+    tokens = [text[a:b] for a, b in encoder.tokenize(text)]
+    step = most - overlap if most > overlap else max(1, most // 2)
+    sums, weights, start = [np.zeros(encoder.dim) for _ in tokens], [0.0] * len(tokens), 0
+    while start < len(tokens):
+        own = tokens[start : start + most]
+        for i, v in enumerate(encoder.encode_window(own)):
+            w = 1.0 if len(own) <= 1 else 1 - abs(i - len(own) / 2 + 0.5) / (len(own) / 2)
+            sums[start + i] += w * v
+            weights[start + i] += w
+        if start + most >= len(tokens):
+            break
+        start += step
+    return np.array([x / max(w, 1e-12) for x, w in zip(sums, weights)])
+
+
 def test_token_vectors_blend_windows():
     e = embedding.HashingTokenEncoder(16)
     text = " ".join(f"w{i}" for i in range(50))
-    whole, starts = chunking.token_vectors(text, e, 64, 16)
-    parts, _ = chunking.token_vectors(text, e, 20, 8)
-    assert whole.shape == parts.shape == (50, 16) and np.allclose(whole, parts, atol=0.3) and starts[1] == 3
+    for most, overlap in ((64, 16), (20, 8), (7, 7), (5, 9), (1, 0)):
+        got, starts = chunking.token_vectors(text, e, most, overlap)
+        assert np.allclose(got, slow_token_vectors(text, e, most, overlap), atol=1e-6) and starts[1] == 3
     assert chunking.window_bounds(10, 4, 9) == [(0, 4), (2, 6), (4, 8), (6, 10)]
     assert np.allclose(chunking.triangular(4), [0.25, 0.75, 0.75, 0.25]) and chunking.triangular(1) == 1
 
@@ -169,6 +187,89 @@ def test_structure_chunks(spark):
     assert {r.section_title for r in rows} == {"A", "B"}
 
 
+def slow_structure(paras, encoder, least, most, threshold):
+    """Spans, sections and texts, with means and overlaps worked out one by one."""
+    text = "\n\n".join(p[0] for p in paras)
+    if not text.strip():
+        return []
+    starts = [a for a, _ in encoder.tokenize(text)]
+    vectors = slow_token_vectors(text, encoder, most, least)
+    scores = slow_scores(paras, vectors, starts, [], 64)
+    cuts = chunking.selected_boundaries(np.round(scores, 6), threshold, least, most, len(starts))
+    bounds, out = [0, *(c for c in cuts if 0 < c < len(starts)), len(starts)], []
+    owner, at = {}, 0
+    for body, title, _ in paras:
+        owner |= dict.fromkeys(range(at, at + len(body)), title)
+        at += len(body) + 2
+    for a, b in zip(bounds, bounds[1:]):
+        end = starts[b] if b < len(starts) else len(text)
+        titles = [owner[i] for i in range(starts[a], end) if i in owner]
+        first = list(dict.fromkeys(titles))
+        out.append((a, b, max(first, key=titles.count) if first else "", text[starts[a] : end].strip()))
+    return out
+
+
+def test_structure_query_equals_slow_version(spark, monkeypatch):
+    from sectionlens.plans import queries
+
+    rounded = chunking.boundary_scores
+    monkeypatch.setattr(chunking, "boundary_scores", lambda *a, **k: np.round(rounded(*a, **k), 6))
+    small = "/root/testdata/sf0.001"
+    rows = queries.paragraphs(spark, small).where("doc_id % 4 = 0").collect()
+    encoder = embedding.HashingTokenEncoder(32)
+    got = {}
+    of_doc = {d: sorted((r for r in rows if r.doc_id == d), key=lambda r: r.position) for d in {r.doc_id for r in rows}}
+    for d, own in of_doc.items():
+        paras = [(r.text, r.section_title, 0) for r in own]
+        if sum(len(p[0]) for p in paras) < 12_000:
+            got[d] = [(a, b, title, t) for a, b, t, title, _ in chunking.structure_aware_chunks(paras, encoder, (), 64, 256, 0.3)]
+            assert got[d] == slow_structure(paras, encoder, 64, 256, 0.3)
+    monkeypatch.undo()
+    found = chunking.structure_aware(queries.paragraphs(spark, small), encoder, None, 64, 256, 0.3).where("doc_id % 4 = 0").collect()
+    for d, own in got.items():
+        mine = sorted((r.position, r.token_start, r.token_end, r.section_title, r.text) for r in found if r.doc_id == d)
+        assert len(mine) > 0 or not own
+        assert mine[0][1] == 0 and mine[-1][2] == own[-1][1] if own else True
+
+
+EXTREME = [2**63 - 1, -(2**63), None, 9007199254740993, 9007199254740993, 5, 5]
+
+
+def test_chunkers_keep_ids_of_any_kind(spark):
+    encoder, embedder = embedding.HashingTokenEncoder(8), embedding.HashingEmbedder(8)
+    text = "One sentence is here. Another one follows it! " * 60
+    tables = [
+        spark.createDataFrame([(i, text, "clash") for i in EXTREME], "doc_id long, text string, position string"),
+        spark.createDataFrame([("PMC77", text, "x"), (None, text, "y"), ("é日", None, "z")], "doc_id string, text string, position string"),
+    ]
+    for docs in tables:
+        ids = sorted(str(r.doc_id) for r in docs.where("text is not null").collect())
+        for rows in (chunking.naive(docs), chunking.semantic(docs, embedder), chunking.late(docs, encoder)):
+            assert rows.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+            assert sorted(str(r.doc_id) for r in rows.where("position = 0").collect()) == ids
+        paras = docs.select("doc_id", F.lit(0).alias("position"), "text", F.lit("A").alias("section_title"), F.lit(0).alias("section_level"))
+        found = {str(r.doc_id) for r in chunking.structure_aware(paras, encoder, None, 64, 256).collect()}
+        assert found == {str(r.doc_id) for r in docs.where("doc_id is not null and text is not null").collect()}
+        terms = spark.createDataFrame([("sentence is", "D1"), ("another", "D2"), ("sentence", "D3")], "term string, concept_id string")
+        for most in (100, 0):
+            linked = entities.mentions(docs, terms, most=most).collect()
+            assert sorted(str(r.doc_id) for r in linked if r.concept_id == "D1") == sorted(ids * 60) and not any(r.concept_id == "D3" for r in linked)
+        empty = docs.limit(0)
+        assert chunking.late(empty, encoder).count() == chunking.semantic(empty, embedder).count() == entities.mentions(empty, terms).count() == 0
+
+
+def test_joined_mentions_equal_the_linker(spark):
+    rng = random.Random(3)
+    words = ["heart", "Heart", "failure", "T", "cells", "x", "covid-19", "ab", "l'été", "naïve"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", ", ", "-", ""]) for _ in range(rng.randint(0, 30))) for _ in range(150)] + [None, ""]
+    docs = spark.createDataFrame([(i % 40, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    terms = spark.createDataFrame([("heart failure", "1"), ("heart", "2"), ("t cells", "3"), ("covid-19", "4"), ("failure t", "5"), ("ab", "6"), ("naïve", "7"), ("cells x", "8")], "term string, concept_id string")
+    a, b = (sorted(tuple(r) for r in entities.mentions(docs, terms, most=m).collect()) for m in (100, 0))
+    assert a == b and len(a) > 100
+    with pytest.raises(ValueError):
+        entities.mentions_by_join(docs, spark.createDataFrame([("-x-y", "9")], "term string, concept_id string"))
+
+
 def test_linker():
     linker = entities.Linker({"heart failure": "1", "heart": "2", "t cells": "3", "covid-19": "4", "ab": "5", "-x-y": "6"})
     text = "Heart failure, heart; t cellsx T Cells COVID-19 ab heart failures a-x-y"
@@ -190,6 +291,17 @@ def test_projection():
     assert np.allclose(moved, [[0] * 3, [0.1] * 3, [0.1] * 3, [0.1] * 3])
 
 
+def test_projection_of_a_table(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 12)) * np.arange(1, 13)
+    df = spark.createDataFrame([(f"n{i:03d}", v.tolist()) for i, v in enumerate(x)], "name string, vec array<double>").repartition(5)
+    got = np.array([r.vec for r in entities.project_table(df, 5).orderBy("name").collect()])
+    assert np.allclose(got, entities.project(x, 5), atol=1e-8)
+    few = np.array([r.vec for r in entities.project_table(df.where("name < 'n002'"), 5).orderBy("name").collect()])
+    assert few.shape == (2, 5) and np.allclose(few[:, 2:], 0) and np.allclose(np.abs(few[:, 0]), np.abs(entities.project(x[:2], 5)[:, 0]))
+    assert entities.project_table(df, 12).count() == 300 and entities.project_table(df.limit(0), 3).count() == 0
+
+
 def test_cache_tables(spark):
     old = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "name string, vec array<double>")
     new = spark.createDataFrame([("b", [3.0]), ("c", [4.0])], "name string, vec array<double>")
@@ -209,6 +321,11 @@ def test_top_k(spark, monkeypatch):
     for q in range(0, 71, 10):
         expected = sorted(range(71), key=lambda i: (-round(float(unit[i] @ unit[q]), 12), i))[:5]
         assert [r.chunk_idx for r in got if r.query_id == q] == expected
+    keyed = index.select(F.struct(F.concat(F.lit("d"), (F.col("chunk_idx") % 3).cast("string")).alias("doc"), F.col("chunk_idx").alias("at")).alias("chunk_idx"), "embedding")
+    named = retrieval.top_k(queries.withColumn("query_id", F.concat(F.lit("q"), F.col("query_id").cast("string"))), keyed, 5).orderBy("query_id", "rank").collect()
+    assert [r.chunk_idx.at for r in named if r.query_id == "q10"] == [r.chunk_idx for r in got if r.query_id == 10]
+    plan = retrieval.top_k(queries, index, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoop" not in plan
     assert retrieval.top_k(queries.limit(0), index, 5).count() == 0 and retrieval.top_k(queries, index.limit(0), 5).count() == 0
 
 
@@ -292,8 +409,10 @@ def test_llm_questions(spark):
     )
     rows = qa.llm_questions(answers, article(spark, 3)).collect()
     assert [(r.question, r.required_sections, r.gold_paragraph_ids, r.source) for r in rows] == [("A?", [M, M], [1, 1], "llm")]
-    prompt = qa.article_prompt(paragraphs(spark, [(1, 0, "A", 0, "x" * 600), (1, 1, "A", 0, "y"), (1, 2, "B", 0, "z")])).first().prompt
-    assert prompt == "## A\n" + "x" * 500 + "...\ny\n## B\nz"
+    rows = paragraphs(spark, [(1, 0, "A", 0, "x" * 600), (1, 1, "A", 0, "y"), (1, 2, "B", 0, "z" * 500)])
+    assert qa.article_prompt(rows).first().prompt == "Title: \nAbstract: \n\nSections:\n\n## A\n" + "x" * 497 + "...\ny\n\n## B\n" + "z" * 500
+    about = spark.createDataFrame([(1, "On x", "It is short.")], "doc_id long, title string, abstract string")
+    assert qa.article_prompt(rows, about).first().prompt.startswith("Title: On x\nAbstract: It is short.\n\nSections:\n\n## A\n")
 
 
 def test_retries():
@@ -312,7 +431,33 @@ def test_retries():
 
 def test_generation(spark):
     row = qa.generate(spark.createDataFrame([("Context:\n[1] Yes, so it is\n[2] b\n\nQuestion: q",)], "prompt string")).first()
-    assert (row.full_answer, row.decision) == ("Yes, so it is", "yes")
+    assert (row.full_answer, row.decision, row.usage_tokens) == ("Yes, so it is", "yes", 14)
+
+    def fails(prompt):
+        if "bad" in prompt:
+            raise ValueError(prompt)
+        return "yes, it is so"
+
+    rows = spark.createDataFrame([("good", "yes", "yes it is"), ("bad", "yes", "x"), ("good too", None, None)], "prompt string, label string, long_answer string")
+    scores = qa.answer_scores(qa.generate(rows, fails)).first()
+    assert scores.accuracy == pytest.approx(1 / 3) and scores.avg_f1 == pytest.approx(4 / 7 / 3) and scores.n_questions == 3  # "yes," is a word of its own
+
+
+def test_relevance_by_likeness(spark):
+    hits = spark.createDataFrame([(1, 1, "x y z", 0.1), (1, 2, "a b c d", 0.2), (2, 1, "q r", 0.6)], "query_id long, rank int, text string, score double")
+    asked = spark.createDataFrame([(1, "a", "a b c e"), (2, "nothing", "else"), (3, "no hits", "")], "query_id long, question string, context string")
+    row = metrics.jaccard_relevance(hits, asked).first()
+    assert (row.mrr, row.recall_1, row.recall_3) == (pytest.approx(0.5 / 3), 0, pytest.approx(1 / 3))
+    row = metrics.hybrid_relevance(hits, asked, "s").first()
+    assert (row.strategy, row.MRR, row.recall_5, row.n_questions, row.n_found) == ("s", 0.5, 0, 3, 2)
+    assert metrics.hybrid_relevance(hits, asked, "s", faithful=False).first().recall_1 == pytest.approx(1 / 3, abs=1e-4)
+
+
+def test_question_filters(spark):
+    paras = spark.createDataFrame([("77__intro", 0)], "doc_id string, position int")
+    asked = spark.createDataFrame([(1, ["77"]), (2, ["8"]), (3, ["77__fulltext", "8"])], "query_id long, gold array<string>")
+    assert evaluation.known_questions(asked, paras).count() == 0
+    assert sorted(r.query_id for r in evaluation.known_questions(asked, paras, short=True).collect()) == [1, 3]
 
 
 def test_vectors(spark):
@@ -329,6 +474,12 @@ def test_strategies_end_to_end(spark, strategy):
     terms = spark.createDataFrame([(f"topic{d}", f"D{d}") for d in range(6)], "term string, concept_id string")
     row = evaluation.evaluate(paras, questions, strategy, embedding.HashingEmbedder(256), embedding.HashingTokenEncoder(256), terms).first()
     assert row.strategy == strategy.name and row.n_questions == 6 and row.n_found == 6 and row.MRR > 0.2
+    named = paras.withColumn("doc_id", F.concat(F.lit("PMC"), "doc_id"))
+    gold = questions.withColumn("gold", F.transform("gold", lambda x: F.concat(F.lit("PMC"), x)))
+    again = evaluation.evaluate(named, gold, strategy, embedding.HashingEmbedder(256), embedding.HashingTokenEncoder(256), terms).first()
+    assert again == row
+    made = evaluation.generation(named, gold, strategy, embedding.HashingEmbedder(256), embedding.HashingTokenEncoder(256), terms=terms).first()
+    assert made.n_questions == 6 and 0 < made.avg_f1 <= 1 and made.avg_section_diversity >= 1 and made.total_tokens > 0
 
 
 def test_bootstrap_query_draws_as_many_as_the_reference(monkeypatch):
@@ -345,6 +496,7 @@ def test_bootstrap_query_draws_as_many_as_the_reference(monkeypatch):
         seen.append(bound.arguments["n_bootstrap"])
 
     monkeypatch.setattr(queries.significance, "significance", record)
+    monkeypatch.setattr(queries.significance, "rounded", lambda tests: tests)
     monkeypatch.setattr(queries, "strategy_rr", lambda spark, sf_dir: None)
     queries.bootstrap_significance(None, "")
     assert seen == [10_000]

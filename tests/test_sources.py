@@ -44,13 +44,57 @@ def test_flat_articles(spark, folder):
 
 
 def test_questions(spark, tmp_path):
-    (tmp_path / "q.json").write_text('[{"question": "Q?", "context": {"contexts": ["a", "b"]}, "long_answer": "L", "final_decision": "Yes", "pubid": "9"}]')
-    row = articles.read_questions(spark, str(tmp_path / "q.json")).first()
-    assert (row.id, row.context, row.label, row.pmid) == ("9", "a\nb", "yes", "9")
-    assert articles.read_first_of(spark, articles.QA_RAW, str(tmp_path / "no.json"), str(tmp_path / "q.json")).count() == 1
+    kinds = ['{"contexts": ["a", "b"], "labels": ["x"]}', '"plain text"', "5", "{}", '["p", "q"]', '{"contexts": []}']
+    rows = [f'{{"question": "Q?", "context": {c}, "long_answer": "L", "final_decision": "Yes", "pubid": {i}}}' for i, c in enumerate(kinds)]
+    (tmp_path / "q.json").write_text(f"[{', '.join([*rows, '{"question": "Q?"}'])}]")
+    got = {r.id: r for r in articles.read_questions(spark, str(tmp_path / "none.json"), str(tmp_path / "q.json")).collect()}
+    assert [got[str(i)].context for i in range(6)] == ["a\nb", "plain text", "5", "", '["p", "q"]', ""]
+    assert (got["0"].label, got["0"].pmid, got["0"].long_answer) == ("yes", "0", "L") and (got[""].context, got[""].label) == ("", "")
+    (tmp_path / "p.json").write_text('[{"id": "7", "question": "Q?", "context": "c", "label": "no", "pmid": "8"}]')
+    row = articles.read_questions(spark, str(tmp_path / "p.json")).first()
+    assert (row.id, row.label, row.pmid) == ("7", "no", "8") and articles.read_questions(spark, str(tmp_path / "no.json")).count() == 0
+    assert articles.read_first_of(spark, articles.QA_RAW, str(tmp_path / "no.json"), str(tmp_path / "q.json")).count() == 7
     assert articles.read_first_of(spark, articles.QA_RAW, str(tmp_path / "no.json")).count() == 0
 
 
+def test_stored_articles_and_conditions(spark, tmp_path):
+    root = tmp_path / "conditions"
+    (root / "fulltext").mkdir(parents=True)
+    (root / "fulltext" / "a.json").write_text('{"pmid": "1__fulltext", "title": "T", "is_pubmedqa": true, "paragraphs": [{"text": "x", "section_title": "A", "section_level": 1, "position": 4}, {"text": "y"}]}')
+    (root / "fulltext" / "b.json").write_text('{"pmid": "2", "paragraphs": []}')
+    (root / "fulltext" / "notes.txt").write_text("no")
+    got = {r.doc_id: r for r in articles.read_stored(spark, str(root / "fulltext")).collect()}
+    assert [(p.position, p.text, p.section_title, p.section_level, p.citations) for p in got["1__fulltext"].paragraphs] == [(4, "x", "A", 1, []), (1, "y", "", 0, [])]
+    assert got["1__fulltext"].is_pubmedqa and got["2"].abstract == "" and got["2"].references == [] and not got["2"].is_pubmedqa
+    rows = articles.read_condition(spark, str(root), "fulltext", short_ids=True).orderBy("position").collect()
+    assert [(r.doc_id, r.text) for r in rows] == [("1", "y"), ("1", "x")]
+    assert articles.read_condition(spark, str(root), "fulltext", without_tagged=True).count() == 0
+    assert articles.read_condition(spark, str(root), "intro").count() == 0 and articles.read_stored(spark, str(root / "none")).count() == 0
+    table = spark.createDataFrame([("intro", 5, 0, "t", True), ("partial", 6, 0, "u", False)], "condition string, doc_id long, position int, text string, is_pubmedqa boolean")
+    sinks.write_partitioned(table, str(tmp_path / "written"), "condition")
+    assert [r.doc_id for r in articles.read_condition(spark, str(tmp_path / "written"), "partial").collect()] == [6]
+    assert articles.read_condition(spark, str(tmp_path / "written"), "intro", without_tagged=True).count() == 0
+    assert articles.read_articles(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_articles_go_all_the_way(spark, folder):
+    """From XML files to conditions, chunks and metrics, ids as the files have them."""
+    from sectionlens.operators import embedding, sections
+    from sectionlens.plans import evaluation
+
+    parsed = articles.read_articles(spark, folder)
+    paras = articles.paragraphs_of(parsed).drop("citations")
+    conditions = sections.conditions(paras, 1)
+    assert {(r.condition, r.doc_id) for r in conditions.collect()} == {("partial", "77"), ("fulltext", "77"), ("fulltext", "b")}
+    built = {(r.condition, r.doc_id): r for r in sections.condition_articles(parsed, conditions).collect()}
+    full = built["fulltext", "77"]
+    assert full.title == "A big title" and full.references == [] and [(s.section_title, s.level, s.text) for s in full.sections] == [("Methods", 0, "We cite 1 and 2.\n\nAfter."), ("Study population", 1, "Inner.")]
+    asked = spark.createDataFrame([(1, "We cite after", ["77"], ["Methods"]), (2, "Only text", ["b"], [])], "query_id long, question string, gold array<string>, required array<string>")
+    for strategy in evaluation.STRATEGIES[:4]:
+        row = evaluation.evaluate(paras, asked, strategy, embedding.HashingEmbedder(64), embedding.HashingTokenEncoder(64)).first()
+        assert (row.n_questions, row.n_found, row.MRR) == (2, 2, 1.0)
+
+
 def test_search_and_land(tmp_path):
     pages = {0: ["1", "2", "3"], 3: ["4"]}
     asked = []
@@ -106,10 +150,30 @@ def test_rate_limit_and_tickets():
 def test_terms(spark):
     rows = connectors.terms_table(spark, [("42", ["Heart", "ab"]), ("1234567", ["LUNG"])]).collect()
     assert {(r.term, r.concept_id) for r in rows} == {("heart", "D000042"), ("lung", "D1234567")} and connectors.descriptor_id("42") == "D000042"
+    asked = []
+
+    def page(ids):
+        asked.append(len(ids))
+        if len(asked) == 2:
+            raise OSError
+        return {"1": ["Heart", "ab", ""], "2": "xy", "3": []}
+
+    assert connectors.term_records(page, [str(i) for i in range(1, 251)]) == [("1", ["Heart"]), ("2", ["xy"])] and asked == [100, 100, 50]
     ids = spark.createDataFrame([("1",), ("2",)], "id string")
     assert [r.id for r in connectors.not_landed(ids, ids.where("id = '1'")).collect()] == ["2"]
 
 
+def test_terms_come_from_cache_fetch_or_seed(spark, tmp_path):
+    def gone():
+        raise OSError
+
+    fetched = connectors.load_terms(spark, str(tmp_path / "a"), lambda: [("42", ["Heart"])])
+    assert [(r.term, r.concept_id) for r in fetched.collect()] == [("heart", "D000042")]
+    assert connectors.load_terms(spark, str(tmp_path / "a"), gone).count() == 1
+    assert connectors.load_terms(spark, str(tmp_path / "b"), gone).count() > 100
+    assert connectors.load_terms(spark, str(tmp_path / "c"), lambda: []).count() > 100
+
+
 def test_sinks(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([("a", 1), ("b", 2)], "condition string, n int")
@@ -119,9 +183,24 @@ def test_sinks(spark, tmp_path):
     assert [r.condition for r in sinks.pending(df, df.where("n = 1"), "condition").collect()] == ["b"] and sinks.pending(df, None, "condition").count() == 2
     with pytest.raises(ValueError):
         sinks.write_index(df, path)
-    chunks = df.withColumn("embedding", F.array(F.lit(1.0)))
-    sinks.write_index(chunks, str(tmp_path / "i"))
-    assert sinks.read_index(spark, str(tmp_path / "i")).count() == 2
+    chunks = df.withColumn("embedding", F.array(F.lit(3.0), F.lit(4.0)))
+    with pytest.raises(ValueError):
+        sinks.write_index(chunks, path, 3)
+    with pytest.raises(ValueError):
+        sinks.write_index(chunks.union(df.withColumn("embedding", F.array(F.lit(1.0)))), path)
+    with pytest.raises(ValueError):
+        sinks.write_index(df.withColumn("embedding", F.lit(None).cast("array<double>")), path)
+    sinks.write_index(chunks, str(tmp_path / "i"), 2)
+    assert [r.embedding for r in sinks.read_index(spark, str(tmp_path / "i")).collect()] == [pytest.approx([0.6, 0.8])] * 2
+    names = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c")], "chunk_idx long, name string")
+    assert {r.chunk_idx: r.names for r in sinks.chunk_entity_map(names).collect()} == {"1": ["a", "a", "b"], "2": ["c"]}
+    tests = spark.createDataFrame([("f", "a", 0.1234567), ("f", "b", 0.5)], "condition string, competitor string, p_value double")
+    assert sinks.significance_map(tests).first().tests["a"].p_value == 0.123457
+    results = spark.createDataFrame([("f", "a", 0.5, 1.0, [1.0]), ("f", "b", 0.75, 2.0, [0.5])], "condition string, strategy string, MRR double, section_coverage_20 double, per_query_rr array<double>")
+    assert sinks.summary(results, "g").columns == ["condition", "strategy", "MRR", "section_coverage_20"]
+    frames = sinks.figure_frames(results.drop("per_query_rr"), "a", ["f"])
+    assert {r.strategy: r.delta for r in frames["waterfall"].collect()} == {"a": 0, "b": 0.25} and frames["bars"].count() == 4 and frames["heat"].count() == 2
+    assert sinks.console_table(results, ["MRR"]).split("\n")[1].split() == ["a", "0.5000"]
 
 
 def test_reports(spark):
