@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, SparkSession
@@ -22,6 +26,23 @@ def open_random(uri: str) -> pa.NativeFile:
     return pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a task, which gives freed memory back to the system when it ends: workers
+    live on between tasks, and what they hold counts beside the JVM's heap."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -30,4 +51,4 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-__all__ = ["filesystem", "open_random", "shuffle_partitions", "text_or_empty", "work_dir", "written"]
+__all__ = ["filesystem", "lean", "open_random", "shuffle_partitions", "text_or_empty", "work_dir", "written"]

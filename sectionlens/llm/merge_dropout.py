@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import lean
 from ._tokens import BlockEncoder, _values, crc32, gathered, text_blocks
 
 MOST_LOCKSTEP = 32
@@ -382,7 +383,7 @@ def encode_documents(docs: DataFrame, model: str, seed: int = 0, rate: float = 0
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(tokens.astype(np.int32)))
                 yield pa.record_batch([names, lists], names=["doc_id", "ids"])
 
-    return _columns(docs).mapInArrow(run, ENCODED)
+    return _columns(docs).mapInArrow(lean(run), ENCODED)
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
@@ -396,7 +397,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
             texts = table.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
             yield pa.record_batch([batch.column(0), pa.array([x.decode("utf-8") for x in texts])], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def encode_and_decode(docs: DataFrame, model: str, seed: int = 0, rate: float = 0.1) -> DataFrame:
@@ -418,4 +419,4 @@ def encode_and_decode(docs: DataFrame, model: str, seed: int = 0, rate: float =
                 ]
                 yield pa.record_batch(columns, names=[x.split()[0] for x in DIGEST.split(", ")])
 
-    return _columns(docs).mapInArrow(run, DIGEST)
+    return _columns(docs).mapInArrow(lean(run), DIGEST)

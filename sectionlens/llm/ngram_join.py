@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ._shared import open_random, shuffle_partitions, work_dir, written
+from ._shared import lean, open_random, shuffle_partitions, work_dir, written
 from ._tokens import text_blocks
 
 NGRAM, RECALL = 5, 0.9999
@@ -367,7 +367,7 @@ def _grouped(docs: DataFrame, recall: float, carry: tuple[str, ...] = ()) -> _Gr
     n_parts, n_to = max(1, len(files)), shuffle_partitions(spark)
     parts = spark.createDataFrame(list(enumerate(files)), "part int, file string").repartitionById(n_parts, "part")
     bands, rows = bands_for(THRESHOLD[0] / THRESHOLD[1], recall)
-    signed = written(parts.mapInArrow(_sign(bands, rows), SIGNED), f"{folder}/signed")
+    signed = written(parts.mapInArrow(lean(_sign(bands, rows)), SIGNED), f"{folder}/signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "part", "row")).alias("first")
     of_class = signed.where("cls is not null").groupBy("cls").agg(F.count("*").alias("n_copies"), first, F.first("bands").alias("bands"))
     classes = written(of_class, f"{folder}/classes")
@@ -380,8 +380,8 @@ def _grouped(docs: DataFrame, recall: float, carry: tuple[str, ...] = ()) -> _Gr
     tiles = comps.groupBy("label").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n_tiles"))
     tile = F.pmod(F.hash("cls"), F.col("n_tiles"))
     asked = classes.join(comps, classes["cls"] == comps["node"]).join(tiles, "label").select("first.part", "first.row", "cls", "n_copies", F.col("label").alias("comp"), tile.alias("tile"), "n_tiles")
-    sets = asked.repartitionById(n_parts, "part").mapInArrow(_send_sets(files, n_to), "to int, task binary, payload binary")
-    found = written(sets.repartitionById(n_to, "to").sortWithinPartitions("task").mapInArrow(_verify, "cls binary, n_links long, root binary"), f"{folder}/links")
+    sets = asked.repartitionById(n_parts, "part").mapInArrow(lean(_send_sets(files, n_to)), "to int, task binary, payload binary")
+    found = written(sets.repartitionById(n_to, "to").sortWithinPartitions("task").mapInArrow(lean(_verify), "cls binary, n_links long, root binary"), f"{folder}/links")
     groups = connected(found.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")), f"{folder}/groups")
     links = found.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
     grouped = classes.select("cls", "n_copies", "first").join(links, "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
@@ -413,7 +413,7 @@ def representatives(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
     if others:
         schema.add("carried", docs.select(F.struct(*others).alias("carried")).schema["carried"].dataType)
-    rows = stay.mapInArrow(_kept_rows(g.files, bool(others)), schema)
+    rows = stay.mapInArrow(lean(_kept_rows(g.files, bool(others))), schema)
     return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col("carried")[c].alias(c) for c in docs.columns))
 
 

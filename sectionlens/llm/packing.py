@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import lean
 from ._tokens import BlockEncoder, crc32, text_blocks, with_end
 
 #: Ids that one block of packing holds.
@@ -99,7 +100,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
                 pa.array([len(texts[d]) for d in doc], pa.int64()), pa.array([sequence + s for s in seq], pa.int64()), pa.array(offset, pa.int64()),
             ]
             if with_ids:
-                columns.append(pa.array([x.astype(np.int32) for x in parts], pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.concatenate(parts).astype(np.int32))))
             sequence += seq[-1] + 1
             return pa.record_batch(columns, names=[x.split()[0] for x in (PIECE_WITH_IDS if with_ids else PIECE).split(", ")])
 
@@ -117,4 +118,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
             yield close(names, texts)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    return rows.mapInArrow(packed, PIECE_WITH_IDS if with_ids else PIECE)
+    return rows.mapInArrow(lean(packed), PIECE_WITH_IDS if with_ids else PIECE)

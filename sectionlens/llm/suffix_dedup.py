@@ -49,7 +49,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import open_random, shuffle_partitions, work_dir
+from ._shared import lean, open_random, shuffle_partitions, work_dir
 from ._tokens import text_blocks
 
 LENGTH, GRAM = 100, 32
@@ -551,12 +551,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
     most = max(1, SAMPLES_A_RANGE * n_to // n_parts)
     words = np.sort(np.array([r.word for r in parts.mapInArrow(_sample_words(length, gram, most), "word binary").collect()], f"S{gram}"))
     splitters = np.unique(words[np.linspace(0, len(words) - 1, n_to + 1).astype(int)[1:-1]]) if len(words) else words
-    asked = parts.mapInArrow(_send_hashes(length, gram, n_to), _PACK).repartitionById(n_to, "to")
-    repeated = asked.mapInArrow(_return_repeated(hot_share), _PACK).repartitionById(n_parts, "to")
-    suffixes = repeated.mapInArrow(_send_suffixes(files, splitters, n_to, length, gram), _PACK).repartitionById(n_to, "to")
-    spans = suffixes.mapInArrow(_compare(length, gram), _PACK)
+    asked = parts.mapInArrow(lean(_send_hashes(length, gram, n_to)), _PACK).repartitionById(n_to, "to")
+    repeated = asked.mapInArrow(lean(_return_repeated(hot_share)), _PACK).repartitionById(n_parts, "to")
+    suffixes = repeated.mapInArrow(lean(_send_suffixes(files, splitters, n_to, length, gram)), _PACK).repartitionById(n_to, "to")
+    spans = suffixes.mapInArrow(lean(_compare(length, gram)), _PACK)
     asks = parts.select(F.col("part").alias("to"), F.lit(0).alias("sender"), F.lit(None).cast("binary").alias("payload"))
     schema = RESULT_WITH_TEXT if with_text else RESULT
     if carry:
         schema += f", carried {docs.select(carried).schema['carried'].dataType.simpleString()}"
-    return spans.unionByName(asks).repartitionById(n_parts, "to").mapInArrow(_cut(files, with_text, bool(carry)), schema)
+    return spans.unionByName(asks).repartitionById(n_parts, "to").mapInArrow(lean(_cut(files, with_text, bool(carry))), schema)

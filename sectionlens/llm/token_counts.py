@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import lean
 from ._tokens import BlockEncoder, text_blocks
 
 #: Lengths whose sums one window holds.
@@ -39,7 +40,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, end_tokens: int = 0) -> Da
                     counts[n] = counts.get(n, 0) + k
         yield pa.record_batch([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["length", "n_docs"])
 
-    return docs.select("text").mapInArrow(lengths, "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return docs.select("text").mapInArrow(lean(lengths), "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def with_suffix_sums(histogram: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ written table of one row per file, holds the names of the attempts that succeede
 executors and repeated attempts leave no wrong file behind.  Readers get one file per task.
 
 Defined cases: a null text is empty (its document has the end id alone); null ids come
-first; rows with equal ids are kept, in the order of their texts' hashes; an empty table gives an
+first; rows with equal ids are kept, in the order of their texts' hashes (``docs`` is a table or
+anything else that gives its rows in one order, should a task run again); an empty table gives an
 empty manifest; other columns of the input are not read, so their names can't clash.
 """
 
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import filesystem, open_random, shuffle_partitions, work_dir, written
+from ._shared import filesystem, lean, open_random, shuffle_partitions, work_dir, written
 from ._tokens import BlockEncoder, text_blocks, with_end
 
 MANIFEST = "part int, file string, index_file string, n_docs long, n_ids long, n_sequences long"
@@ -145,7 +146,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
     order = [F.col("doc_id").asc_nulls_first(), "_hash", "_row"]
     ordered = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
-    return written(ordered.mapInArrow(write, MANIFEST), f"{folder}/manifest")
+    return written(ordered.mapInArrow(lean(write), MANIFEST), f"{folder}/manifest")
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
@@ -170,4 +171,4 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     # one row a file: the window's single task grows with the number of files, not of documents
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    return based.repartitionById(shuffle_partitions(manifest.sparkSession), "part").mapInArrow(read, DOCUMENT)
+    return based.repartitionById(shuffle_partitions(manifest.sparkSession), "part").mapInArrow(lean(read), DOCUMENT)

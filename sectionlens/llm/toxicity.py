@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import work_dir, written
+from ._shared import lean, work_dir, written
 from ._tokens import text_blocks
 from .ngram_join import _BYTE, _mix, _powers
 
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_words: int
     one bit for each of these and each row of the sample.
     """
     rows, stands_for = labelled_sample(docs, labels, sample)
-    found = written(rows.mapInArrow(_features, "row long, grade int, words binary"), work_dir(docs.sparkSession, "toxicity"))
+    found = written(rows.mapInArrow(lean(_features), "row long, grade int, words binary"), work_dir(docs.sparkSession, "toxicity"))
     # of documents that share a labelled id, one stands for the label
     one = found.groupBy("row").agg(F.first("grade").alias("grade"), F.min(F.struct(F.xxhash64("words"), "words")).alias("of")).select("grade", F.col("of.words").alias("words"))
     size = {r["bad"]: r["n"] for r in one.groupBy((F.col("grade") > 0).alias("bad")).agg(F.count("*").alias("n")).collect()}
@@ -226,4 +226,4 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 columns = [batch.column(0).slice(i, j - i), pa.array(p @ np.arange(GRADES)), pa.array(p.argmax(axis=1), pa.int32()), pa.array(p[:, 0] < 0.5)]
                 yield pa.record_batch(columns, names=["doc_id", "expected_severity", "grade", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCORED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lean(run), SCORED)
