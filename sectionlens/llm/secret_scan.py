@@ -21,6 +21,7 @@ dropped; repeated rows are scanned each; other columns are not read unless carri
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from itertools import product
 
@@ -67,38 +68,108 @@ MOST_WAYS = 64
 MOST_CLASS = 8
 
 
-def _ways(parsed) -> list[list[str | None]]:
-    """Ways through a parsed expression: literals, with None where anything may stand."""
-    import re._constants as sre
-
-    ways: list[list[str | None]] = [[]]
-    for op, arg in parsed:
-        if op is sre.LITERAL:
-            options: list[list[str | None]] = [[chr(arg)]]
-        elif op is sre.IN and arg[0][0] is not sre.NEGATE and all(k in (sre.LITERAL, sre.RANGE) for k, _ in arg):
-            members = [chr(c) for k, v in arg for c in ([v] if k is sre.LITERAL else range(v[0], v[1] + 1))]
-            options = [[c] for c in members] if len(members) <= MOST_CLASS else [[None]]
-        elif op is sre.SUBPATTERN:
-            options = _ways(arg[3])
-        elif op is sre.BRANCH:
-            options = [w for branch in arg[1] for w in _ways(branch)]
-        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
-            low, high, inner = arg
-            once = _ways(inner)
-            if high == 1 and low == 0:
-                options = [[], *once]
-            elif low == high == 1:
-                options = once
+#: Escapes that stand for a class, and those that stand for no character.
+_CLASSES, _EMPTY = set("dDsSwW"), set("bBAZz")
+#: A quantifier: one of ? * + or {m}, {m,}, {m,n}, then a mark of how it is matched.
+_REPEAT = re.compile(r"(?:([?*+])|\{(\d*)(,?)(\d*)\})[?+]?")
+
+
+class _Ways:
+    """Ways through an expression: literals, with None where anything may stand.
+
+    Reads what rules are made of: literals and escapes, classes, groups, alternatives,
+    quantifiers and anchors.
+    """
+
+    def __init__(self, pattern: str):
+        self.pattern, self.at = pattern, 0
+
+    def alternatives(self) -> list[list[str | None]]:
+        ways = self._sequence()
+        while self.at < len(self.pattern) and self.pattern[self.at] == "|":
+            self.at += 1
+            ways = ways + self._sequence()
+        return ways
+
+    def _sequence(self) -> list[list[str | None]]:
+        ways: list[list[str | None]] = [[]]
+        while self.at < len(self.pattern) and self.pattern[self.at] not in "|)":
+            options = self._repeated(self._atom())
+            if len(ways) * len(options) > MOST_WAYS:
+                options = [[None]]
+            ways = [a + b for a, b in product(ways, options)]
+        return ways
+
+    def _repeated(self, once: list[list[str | None]]) -> list[list[str | None]]:
+        found = _REPEAT.match(self.pattern, self.at)
+        if not found:
+            return once
+        self.at = found.end()
+        sign, low, comma, high = found.groups()
+        least = {"?": 0, "*": 0, "+": 1}[sign] if sign else int(low or 0)
+        most = {"?": 1, "*": None, "+": None}[sign] if sign else int(high) if high else None if comma else least
+        if most == 1:
+            return once if least else [[], *once]
+        return [[*w, None] for w in once] if least else [[None]]
+
+    def _escape(self) -> str | None:
+        """The character of an escape; None for a class, the empty string for a place between characters."""
+        c = self.pattern[self.at + 1]
+        self.at += 2
+        if c == "x":
+            self.at += 2
+            return chr(int(self.pattern[self.at - 2 : self.at], 16))
+        return None if c in _CLASSES else "" if c in _EMPTY else {"n": "\n", "t": "\t", "r": "\r"}.get(c, c)
+
+    def _atom(self) -> list[list[str | None]]:
+        c = self.pattern[self.at]
+        if c == "\\":
+            literal = self._escape()
+            return [[]] if literal == "" else [[literal]]
+        if c == "[":
+            return self._class()
+        if c == "(":
+            return self._group()
+        self.at += 1
+        return [[]] if c in "^$" else [[None]] if c == "." else [[c]]
+
+    def _group(self) -> list[list[str | None]]:
+        self.at += 1
+        if flags := re.compile(r"\?[a-zA-Z]+\)").match(self.pattern, self.at):
+            self.at = flags.end()
+            return [[]]
+        if self.pattern.startswith("?", self.at):
+            if not self.pattern.startswith("?:", self.at):
+                raise ValueError(f"{self.pattern}: a group of a kind that rules don't have")
+            self.at += 2
+        ways = self.alternatives()
+        self.at += 1
+        return ways
+
+    def _class(self) -> list[list[str | None]]:
+        self.at += 1
+        other = self.pattern.startswith("^", self.at)
+        self.at += other
+        members: list[str | None] = []
+        first = True
+        while first or self.pattern[self.at] != "]":
+            first, c = False, self.pattern[self.at]
+            if c == "\\":
+                members.append(self._escape())
+                continue
+            self.at += 1
+            if c == "-" and members and members[-1] and self.pattern[self.at] != "]":  # a range from the last one on
+                if self.pattern[self.at] == "\\":
+                    end = self._escape()
+                else:
+                    end = self.pattern[self.at]
+                    self.at += 1
+                members += [chr(x) for x in range(ord(members[-1]) + 1, ord(end or "\0") + 1)]
             else:
-                options = [[*w, None] for w in once] if low else [[None]]
-        elif op is sre.AT:
-            options = [[]]
-        else:
-            options = [[None]]
-        if len(ways) * len(options) > MOST_WAYS:
-            options = [[None]]
-        ways = [a + b for a, b in product(ways, options)]
-    return ways
+                members.append(c)
+        self.at += 1
+        known = not other and None not in members and len(members) <= MOST_CLASS
+        return [[m] for m in members] if known else [[None]]
 
 
 def trigram_clauses(pattern: str) -> list[list[str]] | None:
@@ -106,10 +177,8 @@ def trigram_clauses(pattern: str) -> list[list[str]] | None:
 
     None if some way through the expression needs no trigram: the rule must scan fully.
     """
-    import re._parser as parser
-
     clauses = []
-    for way in _ways(parser.parse(pattern)):
+    for way in _Ways(pattern).alternatives():
         runs = "".join("\0" if c is None else c.lower() for c in way).split("\0")
         grams = sorted({run[i : i + 3] for run in runs for i in range(len(run) - 2)})
         if not grams:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from sectionlens.llm import secret_scan as S
@@ -51,6 +52,10 @@ def test_clauses():
     assert S.trigram_clauses("abc(de|f)?g+h") == [["abc", "bcd", "cde", "deg"], ["abc", "bcf", "cfg"], ["abc", "bcg"]]
     assert S.trigram_clauses("a.c") is None and S.trigram_clauses("(abcd|x)") is None
     assert ["api", "ike", "key", "pik"] in S.trigram_clauses(S.BASE[0].pattern)
+    assert S.trigram_clauses(r"a\x62c[.\]x-z]{1}d?") == [["abc", "bc."], ["abc", "bc]"], ["abc", "bcx"], ["abc", "bcy"], ["abc", "bcz"]]
+    assert S.trigram_clauses(r"(?i)(?:ABC|d\.f)\b") == [["abc"], ["d.f"]] and S.trigram_clauses(r"abc|\d+") is None and S.trigram_clauses("[]a]bc") == [["]bc"], ["abc"]]
+    with pytest.raises(ValueError):
+        S.trigram_clauses("(?=abc)")
     assert set(S.indexed_rules(S.RULES)) == {r.kind for r in S.RULES} - {"hex"}
 
 
