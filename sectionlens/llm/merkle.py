@@ -38,7 +38,7 @@ from .quality_rules import let
 from .secret_scan import sums_before
 
 #: Ranges of ids for each shuffle partition, and keys that are sampled for each range.
-RANGES, SAMPLES = 8, 24
+RANGES, SAMPLES = 4, 10
 LEAF = r"[^.!?|]{1,256}[.!?|]{0,64}|[.!?|]{1,256}"
 
 

@@ -151,7 +151,31 @@ def _secret_sql() -> str:
     )
 
 
+#: Every 100-byte window of every text by its digest; all but the first of equal ones cover what goes.
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, i, md5_number(substr(h, 2 * i + 1, {2 * suffix_dedup.LENGTH})) AS k FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - {suffix_dedup.LENGTH - 1})) AS i FROM d)),
+f AS (SELECT k, min((rid, i)) AS first FROM w GROUP BY k HAVING count(*) > 1),
+c AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + {suffix_dedup.LENGTH} THEN 0 ELSE 1 END AS fresh FROM w JOIN f USING (k) WHERE (rid, i) <> first),
+s AS (SELECT rid, min(i) AS a, max(i) + {suffix_dedup.LENGTH} AS b FROM (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS n FROM c) GROUP BY rid, n),
+p AS (SELECT s.rid, sum(b - a) AS gone, count(*) AS n, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(b) AS last FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM s) s JOIN d ON d.rid = s.rid GROUP BY 1)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN p USING (rid)
+"""
+#: All pairs that share an n-gram, verified; groups by following links until nothing new is reached.
+OP2_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {ngram_join.NGRAM} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {ngram_join.NGRAM - 2}), lambda i: array_to_string(w[i : i + {ngram_join.NGRAM - 1}], ' ')) END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y, c = a.n AND c = b.n AS same FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE {ngram_join.THRESHOLD[1]} * c >= {ngram_join.THRESHOLD[0]} * (a.n + b.n - c)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT doc_id, least(doc_id, m) AS class_id, least(doc_id, e) AS copy_id, coalesce(k, 0) AS n_links FROM documents
+LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM r GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS k, min(y) FILTER (WHERE same) AS e FROM l GROUP BY 1) USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": OP2_SQL,
+    "op6_suffix_dedup": OP6_SQL,
     "op7_fingerprints": OP7_SQL,
     "op10_secret_scan": _secret_sql(),
     "op4_quality_rules": OP4_SQL,
