@@ -267,10 +267,14 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, n_base: int = len(BAS
     """
     kept = ["doc_id", *(["carried"] if carry else [])]
     indexed = indexed_rules(rules)
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text", *([F.struct(*carry).alias("carried")] if carry else []))
+    # ids and texts are written and shuffled once, also if they are carried
+    rest = [c for c in carry if c not in ("doc_id", "text")]
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text", *([F.struct(*rest).alias("_rest")] if rest else []))
     rows = written(rows, work_dir(docs.sparkSession, "secret-scan"))
     hits = candidates(trigram_index(rows, rules, "_row"), rules).select(F.col("doc_id").alias("_hit"), F.col("kinds").alias("_kinds"))
     rows = rows.join(hits, F.col("_row") == F.col("_hit"), "left").withColumn("_text", F.coalesce("text", F.lit("")))
+    if carry:
+        rows = rows.withColumn("carried", F.struct(*(F.col(c) if c not in rest else F.col("_rest")[c].alias(c) for c in carry)))
     none = F.array().cast("array<struct<start:int,order:int,end:int>>")
 
     def spans(rule: Rule, order: int) -> Column:
