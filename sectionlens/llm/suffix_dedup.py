@@ -57,6 +57,8 @@ LENGTH, GRAM = 100, 32
 BLOCK, ROWS = 1 << 20, 512
 #: Splitters are drawn from so many leading words for each range.
 SAMPLES_A_RANGE = 64
+#: Surroundings whose windows are hashed at once, or one anchor's if it has more.
+WINDOW_ROWS = 1 << 14
 #: An anchor whose occurrences are more than this times the rows (of any repeated anchor, one
 #: for each part) that the task which counts it holds would weigh down its range: its windows
 #: are dealt out by their own content.
@@ -274,27 +276,34 @@ def first_and_repeats(rows: np.ndarray, low: np.ndarray, high: np.ndarray, rank:
     is_first = rank[order] == first_of[cls]
     later = order[~is_first]
     out_low[later], out_high[later] = low[later], high[later]
-    # distinct surroundings of one anchor: compare their windows
+    # distinct surroundings of one anchor: compare their windows, some anchors at a time
     several = np.bincount(group[is_first], minlength=group[-1] + 1 if n else 0)[group] > 1
     pick = np.flatnonzero(is_first & several)
-    pick = pick[np.argsort(rank[order[pick]], kind="stable")]
-    ids, groups = order[pick], group[pick]
-    if not len(ids):
-        return out_low, out_high
-    own = rows[ids]
-    base = np.uint64(_BASE)
-    prefix = np.zeros((own.shape[1] + 1, len(ids)), np.uint64)
+    pick = pick[np.lexsort((rank[order[pick]], group[pick]))]
+    starts = np.flatnonzero(np.append(True, np.diff(group[pick]) != 0)) if len(pick) else pick
+    at = 0
+    while at < len(pick):
+        end = int(np.append(starts, len(pick))[max(np.searchsorted(starts, at) + 1, np.searchsorted(starts, at + WINDOW_ROWS, "right") - 1)])
+        ids = order[pick[at:end]]
+        least, most = _window_repeats(rows[ids], low[ids], high[ids], group[pick[at:end]], length, gram)
+        out_low[ids], out_high[ids] = np.minimum(out_low[ids], least), np.maximum(out_high[ids], most)
+        at = end
+    return out_low, out_high
+
+
+def _window_repeats(own: np.ndarray, lo: np.ndarray, hi: np.ndarray, groups: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest reach of the windows that an earlier row of the same group has as well."""
+    least, most = np.full(len(own), 1 << 30, np.int64), np.full(len(own), -1, np.int64)
+    base, over = np.uint64(_BASE), np.uint64(pow(_BASE, length, 1 << 64))
+    prefix = np.zeros((own.shape[1] + 1, len(own)), np.uint64)
     for j in range(own.shape[1]):
         prefix[j + 1] = prefix[j] * base + _BYTE[own[:, j]]
-    over = np.uint64(pow(_BASE, length, 1 << 64))
     salt = groups.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    left = length - gram
-    lo, hi = low[ids], high[ids]
     for reach in range(int(lo.min()), int(hi.max()) + 1):
         has = np.flatnonzero((lo <= reach) & (reach <= hi))
         if len(has) < 2:
             continue
-        at = left - reach
+        at = length - gram - reach
         key = (prefix[at + length, has] - prefix[at, has] * over) ^ salt[has]
         by = np.argsort(key, kind="stable")
         same = np.append(False, np.diff(key[by]) == 0)
@@ -306,9 +315,8 @@ def first_and_repeats(rows: np.ndarray, low: np.ndarray, high: np.ndarray, rank:
         for i in range(0, len(a), 1 << 15):  # equal hashes are checked byte by byte
             p, q = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
             p = p[(own[p, at : at + length] == own[q, at : at + length]).all(axis=1) & (groups[p] == groups[q])]
-            out_low[ids[p]] = np.minimum(out_low[ids[p]], reach)
-            out_high[ids[p]] = np.maximum(out_high[ids[p]], reach)
-    return out_low, out_high
+            least[p], most[p] = np.minimum(least[p], reach), np.maximum(most[p], reach)
+    return least, most
 
 
 def _send_hashes(length: int, gram: int, n_to: int):

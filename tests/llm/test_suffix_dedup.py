@@ -81,6 +81,26 @@ def test_multikey_order():
             assert depth[i] == next((k for k in range(5) if rows[i][k] != rows[i - 1][k]), 5)
 
 
+def test_window_portions_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    length, gram, n = 12, 5, 500
+    left = length - gram
+    rows = rng.integers(97, 99, (n, left + length)).astype(np.uint8)
+    rows[:, left : left + gram] = np.frombuffer(b"abcde", np.uint8)
+    rows[:, left] = rng.integers(65, 75, n)  # ten anchors
+    low, high = rng.integers(0, 3, n), rng.integers(3, left + 1, n)
+    rank = rng.permutation(n)
+    whole = S.first_and_repeats(rows, low, high, rank, length, gram)
+    expected = []
+    for i in range(n):
+        own = [r for r in range(low[i], high[i] + 1) if any(rank[j] < rank[i] and low[j] <= r <= high[j] and (rows[i, left - r : left - r + length] == rows[j, left - r : left - r + length]).all() and (rows[i, left : left + gram] == rows[j, left : left + gram]).all() for j in range(n))]
+        expected.append((min(own, default=1 << 30), max(own, default=-1)))
+    assert list(zip(*(x.tolist() for x in whole))) == expected
+    for size in (1, 7, 100):
+        monkeypatch.setattr(S, "WINDOW_ROWS", size)
+        assert all((a == b).all() for a, b in zip(whole, S.first_and_repeats(rows, low, high, rank, length, gram)))
+
+
 def test_anchors_are_of_the_windows_content():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 100, 3000, dtype=np.uint8)
