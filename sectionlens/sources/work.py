@@ -32,5 +32,5 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, folder: str) -> DataFrame:
     """The rows of a frame as a written table: its lineage ends here and its tasks have run once."""
-    df.write.mode("overwrite").parquet(folder)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

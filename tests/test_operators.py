@@ -287,7 +287,7 @@ def test_projection():
     assert entities.project(x[:2], 4).shape == (2, 4) and np.allclose(entities.project(x[:2], 4)[:, 2:], 0)
     assert np.array_equal(entities.project(x, 8), x)
     tokens = np.zeros((4, 3))
-    moved = entities.infuse_tokens(tokens, [(1, 9, "a"), (0, 1, "wide"), (0, 1, "none")], {"a": np.ones(3), "wide": np.ones(5)})
+    moved = chunking.infuse_tokens(tokens, [(1, 9, "a"), (0, 1, "wide"), (0, 1, "none")], {"a": np.ones(3), "wide": np.ones(5)})
     assert np.allclose(moved, [[0] * 3, [0.1] * 3, [0.1] * 3, [0.1] * 3])
 
 
@@ -302,6 +302,55 @@ def test_projection_of_a_table(spark):
     assert entities.project_table(df, 12).count() == 300 and entities.project_table(df.limit(0), 3).count() == 0
 
 
+def test_entity_encoder_and_its_cache(spark):
+    class Counting:
+        dim = 4
+
+        def encode(self, texts):
+            assert "b" not in texts
+            return np.full((len(texts), 4), 0.5)
+
+    names = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "name string")
+    cached = spark.createDataFrame([("b", [9.0] * 4), ("z", [1.0] * 4)], "name string, vec array<double>")
+    assert {r.name: r.vec for r in entities.encode_entities(names, Counting(), cached).collect()} == {"a": [0.5] * 4, "b": [9.0] * 4}
+    v = embedding.HashingEntityEncoder(64).encode(["Diabetes", "diabetes type", "lung", ""])
+    assert v[0] @ v[1] > 0.5 > v[0] @ v[2] and np.allclose(np.linalg.norm(v[:3], axis=1), 1)
+
+
+def test_embedding_keeps_what_is_there(spark):
+    class Counting:
+        dim = 2
+
+        def encode(self, texts):
+            assert None not in texts and "old" not in texts
+            return np.ones((len(texts), 2))
+
+    df = spark.createDataFrame([("old", [5.0, 6.0], 1), ("new", None, 2)], "text string, embedding array<float>, n int")
+    rows = embedding.embed(df, Counting()).orderBy("n").collect()
+    assert [r.embedding for r in rows] == [[5.0, 6.0], [1.0, 1.0]] and [r.text for r in rows] == ["old", "new"]
+
+
+def test_auto_boundaries_move_to_marks():
+    text = "".join(c for c in "a" * 500)
+    starts = list(range(500))
+    plain = chunking.auto_boundaries(starts, text, 100, 20)
+    assert plain == [100, 200, 300, 400]
+    marked = text[:89] + ". " + text[91:209] + "!\n" + text[211:330] + ". " + text[332:]
+    # a token that starts right after a mark, at its white space, draws the cut; the nearest, then the earliest
+    assert chunking.auto_boundaries(starts, marked, 100, 20) == [90, 190, 290, 390, 490]
+    assert chunking.auto_boundaries(starts, marked, 100, 21) == [90, 210, 310, 410]  # 331 is the first place out of reach
+    twice = text[:94] + ". " + text[96:104] + ". " + text[106:]
+    assert chunking.auto_boundaries(starts, twice, 100, 20)[0] == 95
+
+
+def test_token_infusion(spark):
+    paras = paragraphs(spark, [(1, 0, "A", 0, "heart failure is here"), (2, 0, "A", 0, "nothing")])
+    found = entities.mentions(paras.select("doc_id", "text"), spark.createDataFrame([("heart failure", "D1")], "term string, concept_id string"))
+    encoder = embedding.HashingTokenEncoder(4)
+    plain, moved = (chunking.structure_aware(paras, encoder, found, infused=v).orderBy("doc_id").collect() for v in (None, {"heart failure": [10.0, 0, 0, 0], "wide": [1.0]}))
+    assert np.allclose(np.array(moved[0].embedding) - plain[0].embedding, [0.5, 0, 0, 0], atol=1e-6) and moved[1].embedding == plain[1].embedding
+
+
 def test_cache_tables(spark):
     old = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "name string, vec array<double>")
     new = spark.createDataFrame([("b", [3.0]), ("c", [4.0])], "name string, vec array<double>")
@@ -500,3 +549,12 @@ def test_bootstrap_query_draws_as_many_as_the_reference(monkeypatch):
     monkeypatch.setattr(queries, "strategy_rr", lambda spark, sf_dir: None)
     queries.bootstrap_significance(None, "")
     assert seen == [10_000]
+
+
+def test_white_space_is_that_of_python(spark):
+    every = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    text = "".join(f"a{c}" for c in every)
+    row = spark.createDataFrame([(text,)], "t string").select(T.words(F.col("t")).alias("w"), T.word_count(F.col("t")).alias("n")).first()
+    assert row.w == text.split() and row.n == len(text.split())
+    ends = spark.createDataFrame([(f"{c}b{c}",) for c in every if c.isspace()], "t string")
+    assert {r.s for r in ends.select(T.strip(F.col("t")).alias("s")).collect()} == {"b"}

@@ -198,6 +198,11 @@ def test_sinks(spark, tmp_path):
     assert sinks.significance_map(tests).first().tests["a"].p_value == 0.123457
     results = spark.createDataFrame([("f", "a", 0.5, 1.0, [1.0]), ("f", "b", 0.75, 2.0, [0.5])], "condition string, strategy string, MRR double, section_coverage_20 double, per_query_rr array<double>")
     assert sinks.summary(results, "g").columns == ["condition", "strategy", "MRR", "section_coverage_20"]
+    sinks.write_json(results.drop("per_query_rr"), str(tmp_path / "r"))
+    (tmp_path / "one.json").write_text('{"condition": "f",\n "MRR": 0.5}')
+    kind = "condition string, MRR double"
+    assert sinks.read_results(spark, kind, str(tmp_path / "no"), str(tmp_path / "r")).count() == 2 and sinks.read_results(spark, kind, str(tmp_path / "no")).count() == 0
+    assert sinks.read_results(spark, kind, str(tmp_path / "one.json")).first().MRR == 0.5
     frames = sinks.figure_frames(results.drop("per_query_rr"), "a", ["f"])
     assert {r.strategy: r.delta for r in frames["waterfall"].collect()} == {"a": 0, "b": 0.25} and frames["bars"].count() == 4 and frames["heat"].count() == 2
     assert sinks.console_table(results, ["MRR"]).split("\n")[1].split() == ["a", "0.5000"]
