@@ -11,14 +11,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.work import work_dir, written
-
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """Arrow's file system for a folder or file of the shared store, and the path there."""
-    if uri.startswith("file:/") and not uri.startswith("file:///"):
-        uri = "file:///" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
+from ..sources.work import filesystem, work_dir, written
 
 def open_random(uri: str) -> pa.NativeFile:
     """A file for random reads; memory-mapped where the store is a local or mounted one."""
