@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sectionlens.operators import embedding, retrieval
+from sectionlens.plans import evaluation
 
 
 def counts(n: int, width: int, seed: int) -> np.ndarray:
@@ -53,3 +54,19 @@ def test_embed_completes_missing_vectors(spark):
     plain = spark.createDataFrame([(1, "a b")], "id int, text string")
     assert embedding.embed(plain, encoder).first().embedding == encoder.encode(["a b"])[0].tolist()
     assert embedding.embed(plain.where(F.lit(False)), encoder).count() == 0
+
+
+def test_strategies_share_what_they_have_in_common(spark, monkeypatch):
+    titles = ["Introduction", "Methods", "Results", "Discussion"]
+    paras = spark.createDataFrame([(d, p, f"topic{d} is a word of part{p} and word{(d * p) % 5} .", t, 0) for d in range(4) for p, t in enumerate(titles)], "doc_id long, position int, text string, section_title string, section_level int")
+    questions = spark.createDataFrame([(d, f"what of topic{d}", [d], ["Methods"]) for d in range(4)], "query_id long, question string, gold array<long>, required array<string>")
+    terms = spark.createDataFrame([(f"topic{d}", f"D{d}") for d in range(4)], "term string, concept_id string")
+    models = embedding.HashingEmbedder(32), embedding.HashingTokenEncoder(32)
+    chosen = evaluation.STRATEGIES[3:]
+    alone = evaluation.evaluate(paras, questions, chosen[2], *models, terms).first()
+    chunked, searched, real = [], [], (evaluation.chunks_of, evaluation.retrieval.top_k)
+    monkeypatch.setattr(evaluation, "chunks_of", lambda *a: chunked.append(a) or real[0](*a))
+    monkeypatch.setattr(evaluation.retrieval, "top_k", lambda *a, **b: searched.append(a) or real[1](*a, **b))
+    rows = {r.strategy: r for r in evaluation.evaluate_all(paras, questions, *models, terms, chosen).collect()}
+    assert len(chunked) == 1 and len(searched) == 2  # once a strategy before
+    assert rows["kg_infused_graph"] == alone and set(rows) == {s.name for s in chosen} and alone.n_found == 4
