@@ -70,3 +70,14 @@ def test_strategies_share_what_they_have_in_common(spark, monkeypatch):
     rows = {r.strategy: r for r in evaluation.evaluate_all(paras, questions, *models, terms, chosen).collect()}
     assert len(chunked) == 1 and len(searched) == 2  # once a strategy before
     assert rows["kg_infused_graph"] == alone and set(rows) == {s.name for s in chosen} and alone.n_found == 4
+
+
+def test_generation_joins_five_texts_a_question(spark, monkeypatch):
+    paras = spark.createDataFrame([(d, 0, f"topic{d} is here .", "Results", 0) for d in range(9)], "doc_id long, position int, text string, section_title string, section_level int")
+    questions = spark.createDataFrame([(d, f"what of topic{d}", [d], ["Results"]) for d in range(9)], "query_id long, question string, gold array<long>, required array<string>")
+    made, real = [], evaluation.written
+    monkeypatch.setattr(evaluation, "written", lambda df, folder: made.append(real(df, folder)) or made[-1])
+    row = evaluation.generation(paras, questions, evaluation.STRATEGIES[0], embedding.HashingEmbedder(32), embedding.HashingTokenEncoder(32)).first()
+    hits = made[-1]  # the search runs once, before texts come in
+    assert {"query_id", "rank", "doc_id", "section_title"} <= set(hits.columns) and "text" not in hits.columns and hits.count() == 45
+    assert row.n_questions == 9 and row.avg_section_diversity == 1 and row.avg_f1 > 0
