@@ -18,11 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are held as numpy arrays at once; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
 #: Distinct pieces, and ids, that a worker keeps between blocks.
 CACHE_PIECES, CACHE_IDS = 800_000, 8_000_000
+#: Pieces whose encodings, objects of the library, exist at once.
+ENCODED_AT_ONCE = 4096
 
 #: Kinds of bytes; the exclusive or of two kinds tells the pair.
 _OTHER, _SPACE, _LETTER, _PUNCTUATION = 0, 1, 2, 4
@@ -92,7 +95,7 @@ class BlockEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self._slot: dict[bytes, int] = {}
+        self._known = pa.array([], pa.binary())  # end to end: as objects, pieces took 300 bytes each
         self._len = np.zeros(0, np.int64)
         self._off = np.zeros(0, np.int64)
         self._ids = np.zeros(0, np.uint32)
@@ -143,23 +146,24 @@ class BlockEncoder:
 
     def _encode_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, end to end, and how many each has."""
-        lists = [x.ids for x in self.tokenizer.encode_batch([x.decode("utf-8") for x in pieces], add_special_tokens=False)]
-        lens = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter((i for x in lists for i in x), np.uint32, int(lens.sum())), lens
+        flat, lens = [], []
+        for i in range(0, len(pieces), ENCODED_AT_ONCE):
+            lists = [x.ids for x in self.tokenizer.encode_batch([x.decode("utf-8") for x in pieces[i : i + ENCODED_AT_ONCE]], add_special_tokens=False)]
+            lens.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            flat.append(np.fromiter((i for x in lists for i in x), np.uint32, int(lens[-1].sum())))
+        return np.concatenate(flat), np.concatenate(lens)
 
     def _look_up(self, pieces: pa.Array) -> np.ndarray:
         """The place of each piece in the cache, into which new ones are encoded."""
         coded = pieces.dictionary_encode()
-        distinct = _values(coded.dictionary)
-        get = self._slot.get
-        slots = np.fromiter((get(x, -1) for x in distinct), np.int64, len(distinct))
+        distinct = coded.dictionary
+        slots = pc.index_in(distinct, self._known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         missing = np.flatnonzero(slots < 0)
         if len(missing):
-            new = [distinct[i] for i in missing.tolist()]
-            flat, lens = self._encode_new(new)
-            base = len(self._len)
-            slots[missing] = np.arange(base, base + len(new))
-            self._slot.update(zip(new, range(base, base + len(new))))
+            new = distinct.take(pa.array(missing))
+            flat, lens = self._encode_new(_values(new))
+            slots[missing] = np.arange(len(self._known), len(self._known) + len(new))
+            self._known = pa.concat_arrays([self._known, new])
             self._off = np.concatenate([self._off, len(self._ids) + np.cumsum(lens) - lens])
             self._len = np.concatenate([self._len, lens])
             self._ids = np.concatenate([self._ids, flat])
@@ -186,7 +190,7 @@ class BlockEncoder:
         flat, off, lens = self._ids_of(pieces, first_piece, *own)
         ids = gathered(flat, off, lens)
         bounds = np.append(0, np.cumsum(lens))[first_piece]
-        if len(self._slot) > CACHE_PIECES or len(self._ids) > CACHE_IDS:
+        if len(self._known) > CACHE_PIECES or len(self._ids) > CACHE_IDS:
             self._reset()
         return ids, np.diff(bounds)
 

@@ -1,5 +1,6 @@
 import json
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -176,3 +177,26 @@ def test_pack_cuts_only_what_no_sequence_holds():
             left[s] -= n
             cost[s] += n + n * n / 2048
         assert not any(left)
+
+
+def test_encoder_keeps_pieces_without_an_object_each(monkeypatch):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choices("abcdefgh", k=9)) for _ in range(20_000)})
+    text = " ".join(words).encode()
+    coder, sizes = BlockEncoder(BYTE_BPE), []
+    real = coder.tokenizer
+
+    class Library:
+        def encode_batch(self, texts, **named):
+            sizes.append(len(texts))
+            return real.encode_batch(texts, **named)
+
+    coder.tokenizer = Library()
+    tracemalloc.start()
+    try:
+        coder.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) >= len(words) and max(sizes) <= 4096  # all at once before
+    assert held / sum(sizes) < 80  # ids and places alone; a dictionary of bytes took more
