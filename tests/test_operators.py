@@ -558,3 +558,14 @@ def test_white_space_is_that_of_python(spark):
     assert row.w == text.split() and row.n == len(text.split())
     ends = spark.createDataFrame([(f"{c}b{c}",) for c in every if c.isspace()], "t string")
     assert {r.s for r in ends.select(T.strip(F.col("t")).alias("s")).collect()} == {"b"}
+
+
+def test_words_of_prompts_are_counted_where_they_are_answered(spark):
+    spaces = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    texts = [f"a{c}b{c}{c}" for c in [*spaces, "\u200b", "\u180e", "\ufeff"]] + ["", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, prompt string")
+    answered = qa.generate(rows, lambda x: None if x == "" else "yes it is")
+    assert "regexp_count" not in answered._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.i: r.usage_tokens for r in answered.collect()}
+    count = {r.i: r.n for r in rows.select("i", T.word_count(F.col("prompt")).alias("n")).collect()}
+    assert got == {i: 0 if t == "" else count[i] + 3 for i, t in enumerate(texts)}
